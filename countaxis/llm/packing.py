@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from countaxis.llm.shared import as_text
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, token_bytes binary"
-#: Strings in the worker's cache of encoded units; it is emptied when full, which changes speed only.
-CACHE_UNITS = 400_000
+#: Strings in the worker's cache of encoded units; once full it takes no more, which changes speed only.
+CACHE_UNITS = 500_000
 _units: dict[str, dict[str, bytes]] = {}
 _models: dict[str, tuple] = {}
 
@@ -42,22 +42,20 @@ def splits_at_blanks(model) -> bool:
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Each text's ids as little-endian 32-bit values. Units between blanks are encoded once a worker and then looked up."""
     model, special, units = _model(path)
+    cut = [None if special is None or any(x in t for x in special) else t.replace("\n", " ").split(" ") for t in texts]
+    new = list({x for parts in cut if parts for x in parts if x not in units})
+    rest = {x: np.array(y.ids, "<u4").tobytes() for x, y in zip(new, model.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+    if len(units) < CACHE_UNITS:
+        units.update(rest)
     out: list[bytes] = []
-    for text in texts:
-        if special is None or any(x in text for x in special):
+    for text, parts in zip(texts, cut, strict=True):
+        if parts is None:
             out.append(np.array(model.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
             continue
-        parts = text.replace("\n", " ").split(" ")
         try:
             out.append(b"".join([units[x] for x in parts]))
         except KeyError:
-            new = list({x for x in parts if x not in units})
-            if len(units) + len(new) > CACHE_UNITS:
-                units.clear()
-                new = list(set(parts))
-            for x, ids in zip(new, model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                units[x] = np.array(ids.ids, "<u4").tobytes()
-            out.append(b"".join([units[x] for x in parts]))
+            out.append(b"".join([units[x] if x in units else rest[x] for x in parts]))
     return out
 
 
