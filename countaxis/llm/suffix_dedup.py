@@ -362,9 +362,9 @@ def _sort_suffixes(length: int, groups: int):
     return run
 
 
-def _remove(length: int, schema: pa.Schema, keys: tuple[str, str, str], columns: list[str]):
+def _remove(length: int, schema: pa.Schema, keys: tuple[str, str, str], columns: list[str], as_string: bool):
     """Documents with the bytes of repeated windows taken out."""
-    out = pa.schema([schema.field(c) for c in columns] + [("_n_bytes", pa.int64()), ("_n_removed", pa.int64()), ("_spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), ("_kept", pa.binary())])
+    out = pa.schema([schema.field(c) for c in columns] + [("_n_bytes", pa.int64()), ("_n_removed", pa.int64()), ("_spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), ("_kept", pa.string() if as_string else pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
         repeats = all_of([b for k, b in _kinds(table) if k == REPEATS], REPEAT)
@@ -388,8 +388,10 @@ def _remove(length: int, schema: pa.Schema, keys: tuple[str, str, str], columns:
                 else:
                     kept.append(data.tobytes())
                 n_bytes.append(len(data))
-                n_removed.append(len(data) - len(kept[-1]))
+                n_removed.append(sum(r["length"] for r in runs))
                 spans.append(runs)
+                if as_string:
+                    kept[-1] = kept[-1].decode("utf-8", "ignore")
             batches.append(pa.RecordBatch.from_arrays([batch.column(schema.get_field_index(c)) for c in columns] + [pa.array(x, t) for x, t in zip((n_bytes, n_removed, spans, kept), out.types[-4:], strict=True)], schema=out))
         return pa.Table.from_batches(batches, out)
 
@@ -407,9 +409,10 @@ def _deal(keys: tuple[str, str, str], groups: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, columns: list[str] | None = None, length: int = 100, shards: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, columns: list[str] | None = None, length: int = 100, shards: int | None = None, as_string: bool = False) -> DataFrame:
     """``columns`` of ``docs`` (needs doc_id, text), and _n_bytes, _n_removed, _spans (maximal removed runs: start, length in
-    bytes), _kept (the remaining bytes), one row for each row of ``docs``.
+    bytes), _kept (the remaining bytes; ``as_string``: as a string, without what is left of
+    characters of which bytes were removed), one row for each row of ``docs``.
 
     A byte is removed if a string of ``length`` bytes that covers it also starts earlier: in a row of smaller doc_id, or in
     the same row further left. All is judged on the input. Null texts count as empty; texts shorter than ``length`` stay
@@ -440,26 +443,14 @@ def remove_repeats(docs: DataFrame, columns: list[str] | None = None, length: in
     found = bytes_only.mapInArrow(_deal(keys, groups), ROWS).unionByName(wanted).groupBy("grp").applyInArrow(_extract(shards, length, to_arrow_schema(bytes_only.schema), keys), ROWS)
     sorted_ = stored(found.groupBy("grp").applyInArrow(_sort_suffixes(length, groups), ROWS), "suffix-repeats")
     repeats = compared.filter(F.col("kind") == REPEATS).unionByName(sorted_)
-    result = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema if f.name in columns), "_n_bytes long, _n_removed long, _spans array<struct<start:long,length:long>>, _kept binary"])
-    return texts.unionByName(repeats).groupBy("grp").applyInArrow(_remove(length, schema, keys, columns), result)
+    result = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema if f.name in columns), "_n_bytes long, _n_removed long, _spans array<struct<start:long,length:long>>, _kept " + ("string" if as_string else "binary")])
+    return texts.unionByName(repeats).groupBy("grp").applyInArrow(_remove(length, schema, keys, columns, as_string), result)
 
 
 def deduplicated(docs: DataFrame, length: int = 100) -> DataFrame:
     """``docs`` with repeated bytes taken out of text, and with docs' columns. A character of which bytes were removed goes as
     a whole; n_chars, if there, is counted anew; rows stay even if no text is left."""
-    kept = remove_repeats(docs, length=length)
-    text = F.when(F.col("_n_removed") > 0, _decoded()(F.col("_kept"))).otherwise(F.col("_kept").cast("string"))
-    out = kept.withColumn("text", text)
+    out = remove_repeats(docs, length=length, as_string=True).withColumn("text", F.col("_kept"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
-
-
-def _decoded():
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def decode(x: pd.Series) -> pd.Series:
-        return x.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
-    return decode
