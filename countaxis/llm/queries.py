@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countaxis.llm import decontaminate, jaccard_join, neighbours, packing, suffix_dedup, token_counts, toxicity, url_filter
+from countaxis.llm import class_lm, decontaminate, jaccard_join, neighbours, packing, suffix_dedup, token_counts, toxicity, url_filter
 from countaxis.llm.shared import held_out, table
 
 
@@ -63,6 +63,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score_texts(table(spark, sf_dir, "documents"), held_out("doc_id", 7, 2))
+
+
 #: The rules that op8 is given.
 URL_RULES = [url_filter.Rule(*x.split()) for x in ("allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/")]
 
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_decontaminate": op6_decontaminate,
+    "op7_class_lm": op7_class_lm,
     "op8_url_filter": op8_url_filter,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
