@@ -7,6 +7,7 @@ from packed bits, and the estimate's error bound decides which vectors are reran
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +34,15 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<double>").alias("embedding")).filter(fine & F.col("vec_id").isNotNull())
 
 
+def code_bits(dims: int) -> int:
+    """Bits of a code: vectors are padded with zeros before the rotation, since the error falls with the code's length."""
+    return max(256, 8 * dims)
+
+
+@functools.cache
 def rotation(dims: int, seed: int = 7) -> np.ndarray:
-    """A random orthogonal matrix: the same for the same number of dimensions."""
-    q, r = np.linalg.qr(np.random.default_rng([seed, dims]).standard_normal((dims, dims)))
+    """The first ``dims`` columns of a random orthogonal matrix (what padded vectors need of it); the same each time."""
+    q, r = np.linalg.qr(np.random.default_rng([seed, dims]).standard_normal((code_bits(dims), dims)))
     return q * np.sign(np.diag(r))
 
 
@@ -76,7 +83,7 @@ def build_index(vectors: DataFrame, centres: dict[int, np.ndarray], block: int =
             residual = m - centres[d]
             norms = np.sqrt((residual * residual).sum(1))
             rotated = (residual / np.where(norms > 0, norms, 1)[:, None]) @ rotation(d).T
-            factors = np.abs(rotated).sum(1) / np.sqrt(d)  # inner product of the code's unit vector and the residual's
+            factors = np.abs(rotated).sum(1) / np.sqrt(code_bits(d))  # inner product of the code's unit vector and the residual's
             row = {"dims": d, "n": len(ids), "ids": ids.astype("<i8").tobytes(), "codes": np.packbits(rotated > 0, axis=1).tobytes(), "norms": norms.tobytes(), "factors": factors.tobytes(), "vectors": m.tobytes()}
             return pa.RecordBatch.from_pylist([row], schema)
 
@@ -116,12 +123,12 @@ class Nearest:
         self.who = np.full((len(ids), k), np.iinfo(np.int64).max)
 
     def block(self, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, factors: np.ndarray, vectors: np.ndarray) -> None:
-        d = self.queries.shape[1]
-        signs = np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1
+        bits = code_bits(self.queries.shape[1])
+        signs = np.unpackbits(codes, axis=1, count=bits).astype(np.float32) * 2 - 1
         for low in range(0, len(self.ids), 256):  # bounds the estimates held at once
             part = slice(low, low + 256)
-            product = (self.rotated[part] @ signs.T) / np.sqrt(d) / factors
-            error = SIGMAS * np.sqrt(np.maximum(1 - factors**2, 0) / factors**2 / max(d - 1, 1))
+            product = (self.rotated[part] @ signs.T) / np.sqrt(bits) / factors
+            error = SIGMAS * np.sqrt(np.maximum(1 - factors**2, 0) / factors**2 / (bits - 1))
             scale = 2 * self.norms[part][:, None] * norms
             middle = self.norms[part][:, None] ** 2 + norms**2 - scale * product
             slack = scale * error + 1e-6 * (1 + middle.clip(0))
