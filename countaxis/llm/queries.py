@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countaxis.llm import class_lm, decontaminate, jaccard_join, neighbours, packing, suffix_dedup, token_counts, toxicity, url_filter
+from countaxis.llm import class_lm, decontaminate, jaccard_join, kn_quality, neighbours, packing, suffix_dedup, token_counts, toxicity, url_filter
 from countaxis.llm.shared import held_out, table
 
 
@@ -24,6 +24,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted", "n_hits")
 
 
+def op2_kn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = toxicity.training_labels(table(spark, sf_dir, "labels"))
+    return kn_quality.judge_quality(table(spark, sf_dir, "documents"), labels).withColumn("held_out", held_out("doc_id", 4, 2))
+
+
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
@@ -89,6 +94,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_kn_quality": op2_kn_quality,
     "op3_neighbours": op3_neighbours,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_suffix_dedup": op5_suffix_dedup,
