@@ -8,7 +8,7 @@
 3. Equal sets are one set throughout. Sets on a list are searched by T-occurrence (DivideSkip): lists of shingles of a group
    of sets are split into long and short ones, the short ones are merged, and sets that the long ones can still lift to the
    required overlap are probed for there. First each list is searched around its smallest member only, then, of lists that
-   still hold unconnected sets, all. Groups of more sets than fit a task are cut into blocks, and pairs of blocks searched.
+   still hold unconnected sets, all; before full sets are sent, bitmaps of the sets rule out what differs too much. Groups of more sets than fit a task are cut into blocks, and pairs of blocks searched.
 """
 
 from __future__ import annotations
@@ -282,6 +282,60 @@ def _search(percent: int):
     return run
 
 
+def signature(shingles: np.ndarray) -> bytes:
+    """A bitmap of at least two bits a shingle (a power of two, 64 or more) in which each shingle turns one bit over. Two sets
+    differ in at least as many shingles as their bitmaps differ in bits; halves laid over each other give the shorter bitmap."""
+    bits = max(64, 1 << int(2 * len(shingles) - 1).bit_length())
+    places = (mixed(shingles) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def near_in(names: np.ndarray, sizes: np.ndarray, unshared: np.ndarray, roots: np.ndarray, signatures: list[bytes], percent: int) -> np.ndarray:
+    """Sets that their signatures let be linked with a set of the group that they aren't connected with yet."""
+    level = np.array([len(x) // 8 for x in signatures])
+    keep = np.zeros(len(names), bool)
+    for words in np.unique(level):
+        some = np.flatnonzero(level >= words)
+        folded = np.array([np.bitwise_xor.reduce(np.frombuffer(signatures[i], "<u8").reshape(-1, words), axis=0) for i in some])
+        exact = level[some] == words
+        n, u, r = sizes[some], unshared[some], roots[some]
+        for i in range(len(some) - 1):
+            rest = slice(i + 1, None)
+            differ = np.bitwise_count(folded[rest] ^ folded[i]).sum(1, dtype=np.int64) + u[rest] + u[i]
+            both = n[rest] + n[i]
+            may = (differ <= both - 2 * -(-percent * both // (100 + percent))) & (r[rest] != r[i]) & (exact[rest] | exact[i])
+            if may.any():
+                keep[some[i]] = True
+                keep[some[i + 1 :][may]] = True
+    return keep
+
+
+def _near(percent: int):
+    """Rows sorted by group: the members of each group that near_in() keeps."""
+    schema = pa.schema([("grp", pa.int64()), ("set", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+
+        def finish() -> pa.RecordBatch:
+            names, sizes, unshared, roots, signatures = (list(x) for x in zip(*rows, strict=True))
+            keep = near_in(np.array(names), np.array(sizes), np.array(unshared), np.array(roots), signatures, percent)
+            names = np.array(names)[keep]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(names), now)), pa.array(names)], schema=schema)
+
+        for batch in batches:
+            for group, *row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if group != now:
+                    if len(rows) > 1:
+                        yield finish()
+                    now, rows = group, []
+                rows.append(row)
+        if len(rows) > 1:
+            yield finish()
+
+    return run
+
+
 def _blocks(lists: DataFrame, block: int) -> DataFrame:
     """grp, set: lists as groups of at most two blocks of sets; a list of one block is a group itself."""
     n = F.ceil(F.size("sets") / block).cast("int")
@@ -293,9 +347,12 @@ def _blocks(lists: DataFrame, block: int) -> DataFrame:
 
 
 def _links(groups: DataFrame, sets: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
-    named = groups.join(sets, "set")
-    named = named.join(roots.select(F.col("node").alias("set"), "root"), "set", "left") if roots is not None else named.withColumn("root", F.col("set"))
-    rows = named.select("grp", "set", "n", F.coalesce("root", "set").alias("root"), "shingles")
+    """Links within groups (grp, set). What the signatures rule out isn't sent: full sets go where a link is possible."""
+    groups = groups.join(roots.select(F.col("node").alias("set"), "root"), "set", "left") if roots is not None else groups.withColumn("root", F.col("set"))
+    signed = groups.join(sets.select("set", "n", "unshared", "signature"), "set").select("grp", "set", "n", "unshared", F.coalesce("root", "set").alias("root"), "signature")
+    near = stored(signed.repartition("grp").sortWithinPartitions("grp").mapInArrow(_near(percent), "grp long, set long"), "near")
+    near = near.join(roots.select(F.col("node").alias("set"), "root"), "set", "left") if roots is not None else near.withColumn("root", F.col("set"))
+    rows = near.join(sets.select("set", "n", "shingles"), "set").select("grp", "set", "n", F.coalesce("root", "set").alias("root"), "shingles")
     return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(_search(percent), "a long, b long")
 
 
@@ -317,7 +374,7 @@ def shingle_documents(docs: DataFrame, width: int = 5, percent: int = 75, block:
     found = stored(texts.unionByName(codes).groupBy("grp").applyInArrow(_prefixes(schema, width, shards, percent), ROWS), "shingle-sets")
 
     documents_ = found.filter(F.col("kind") == DOCUMENTS).select("blob").mapInArrow(_document_rows, "_id long, _row int, set long, n_shingles long")
-    sets = found.filter(F.col("kind") == SETS).select("blob").mapInArrow(_set_rows, "set long, n long, shingles binary").dropDuplicates(["set"])
+    sets = found.filter(F.col("kind") == SETS).select("blob").mapInArrow(_set_rows, "set long, n long, unshared long, signature binary, shingles binary").dropDuplicates(["set"])
     sets = stored(sets, "linkable-sets")
     lists = found.filter(F.col("kind") == ENTRIES).groupBy("grp").applyInArrow(_lists(percent), "list long, sets array<long>")
     lists = stored(lists.dropDuplicates(["list"]), "lists")
@@ -353,8 +410,12 @@ def _document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         blobs = batch.column(0).to_pylist()
+        if not blobs:
+            continue
         heads = np.frombuffer(b"".join(b[:16] for b in blobs), "<i8").reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(heads[:, 0]), pa.array(heads[:, 1]), pa.array([b[16:] for b in blobs], pa.binary())], ["set", "n", "shingles"])
+        unshared = heads[:, 1] - np.array([len(b) // 8 - 2 for b in blobs])
+        signatures = [signature(np.frombuffer(b, "<u8", offset=16)) for b in blobs]
+        yield pa.RecordBatch.from_arrays([pa.array(heads[:, 0]), pa.array(heads[:, 1]), pa.array(unshared), pa.array(signatures, pa.binary()), pa.array([b[16:] for b in blobs], pa.binary())], ["set", "n", "unshared", "signature", "shingles"])
 
 
 def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
