@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,9 @@ from countaxis.llm.shared import as_text
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, token_bytes binary"
 #: Strings in the worker's cache of encoded units; once full it takes no more, which changes speed only.
-CACHE_UNITS = 500_000
+CACHE_UNITS = 1_000_000
+#: Signs cut off after words.
+SIGNS = ".,!?;:&-'\")"
 _units: dict[str, dict[str, bytes]] = {}
 _models: dict[str, tuple] = {}
 
@@ -33,29 +36,46 @@ def _model(path: str):
 
 
 def splits_at_blanks(model) -> bool:
-    """Whether the tokenizer drops white space before it forms tokens, so that texts may be encoded blank by blank."""
-    return not model.encode(" \n ", add_special_tokens=False).ids and all(
+    """Whether the tokenizer drops white space and case before it forms tokens, and parts letters and signs, so that texts may
+    be encoded blank by blank, in lower case, and words apart from the signs after them."""
+    both = lambda a, b: model.encode(a + b, add_special_tokens=False).ids == model.encode(a, add_special_tokens=False).ids + model.encode(b, add_special_tokens=False).ids
+    lower = all(model.encode(chr(c), add_special_tokens=False).ids == model.encode(chr(c).lower(), add_special_tokens=False).ids for c in range(33, 256))
+    return lower and all(both("word", x) and both("é", x) for x in (*SIGNS, "...", "!?", "'&-")) and not model.encode(" \n ", add_special_tokens=False).ids and all(
         model.encode(f"{a} {b}", add_special_tokens=False).ids == model.encode(a, add_special_tokens=False).ids + model.encode(b, add_special_tokens=False).ids for a, b in (("a", "b"), ("x'", "s"), ("1", "2"), ("e", "́"), ("?", "!"))
     )
 
 
+def _lower(text: str) -> str:
+    """A Latin-1 text in lower case, where that is what the tokenizer makes of it, so that fewer units differ."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Each text's ids as little-endian 32-bit values. Units between blanks are encoded once a worker and then looked up."""
     model, special, units = _model(path)
-    cut = [None if special is None or any(x in t for x in special) else t.replace("\n", " ").split(" ") for t in texts]
-    new = list({x for parts in cut if parts for x in parts if x not in units})
-    rest = {x: np.array(y.ids, "<u4").tobytes() for x, y in zip(new, model.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+    cut = [None if special is None or any(x in t for x in special) else _lower(t).replace("\n", " ").split(" ") for t in texts]
+    found = [parts and list(map(units.get, parts)) for parts in cut]
+    missing = {parts[i] for parts, have in zip(cut, found, strict=True) if parts and None in have for i, x in enumerate(have) if x is None}
+    halves = {x: (core, x[len(core) :]) for x in missing if (core := x.rstrip(SIGNS)).isalpha()}  # signs form tokens of their own
+    new = list({y for x in missing for y in halves.get(x, (x,)) if y not in units})
+    rest = {x: array("I", y.ids).tobytes() for x, y in zip(new, model.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+    for x, (core, tail) in halves.items():
+        if tail:
+            rest[x] = (rest[core] if core in rest else units[core]) + (rest[tail] if tail in rest else units[tail])
     if len(units) < CACHE_UNITS:
         units.update(rest)
     out: list[bytes] = []
-    for text, parts in zip(texts, cut, strict=True):
+    for text, parts, have in zip(texts, cut, found, strict=True):
         if parts is None:
-            out.append(np.array(model.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-            continue
-        try:
-            out.append(b"".join([units[x] for x in parts]))
-        except KeyError:
-            out.append(b"".join([units[x] if x in units else rest[x] for x in parts]))
+            out.append(array("I", model.encode(text, add_special_tokens=False).ids).tobytes())
+        elif None in have:
+            out.append(b"".join([rest[x] if y is None else y for x, y in zip(parts, have, strict=True)]))
+        else:
+            out.append(b"".join(have))
     return out
 
 
