@@ -76,7 +76,7 @@ def segments_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.
 
 # Blobs: a structured array column by column (so that like bytes stand together), compressed.
 def packed(array: np.ndarray, tail: bytes = b"") -> bytes:
-    parts = [np.array([len(array)], "<u4").tobytes(), *(np.ascontiguousarray(array[name]).view(np.uint8).reshape(len(array), -1).T.tobytes() for name in array.dtype.names), tail]
+    parts = [np.array([len(array)], "<u4").tobytes(), *(np.ascontiguousarray(array[name]).view(np.uint8).reshape(len(array), array.dtype[name].itemsize).T.tobytes() for name in array.dtype.names), tail]
     return zstandard.ZstdCompressor(1).compress(b"".join(parts))
 
 
