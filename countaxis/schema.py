@@ -68,7 +68,7 @@ def check_grid(grid: DataFrame) -> None:
 def check_loci(loci: DataFrame, grid: DataFrame) -> None:
     check(loci, "population_phase < 0 or population_phase > 1 or position < 1", "phases lie in 0 ... 1 and positions from 1 on")
     check(loci, "het < 0 or het > 1", "het lies in 0 ... 1")
-    placed = loci.join(grid.select("marker", "chrom", "start", "end"), "marker", "left")
+    placed = loci.drop("chrom").join(grid.select("marker", "chrom", "start", "end"), "marker", "left")
     check(placed, "chrom is null or position < start or position > end", "a locus lies outside its interval")
     w = W.partitionBy("chrom").orderBy("locus")
     chain = placed.withColumn("before", F.lag("position").over(w)).withColumn("cm_before", F.lag("genetic_cm").over(w))
