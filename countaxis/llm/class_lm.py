@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countaxis.llm.shared import LOWER, NOT_SPACE, as_text, chunks, mixed, prefix_hash, span_hash, stored, word_spans
+from countaxis.llm.shared import LOWER, NOT_SPACE, as_text, chunks, mixed, prefix_hash, span_hash, stored, word_spans, tidy
 from countaxis.llm.suffix_dedup import ROWS, _kinds, packed, rows_of, split_by, unpacked
 
 SEQUENCES, WORDS, COUNTS, TOP, VOCABULARY, ONCE, TWICE, TOKENS, BIGRAMS, VOTES, CLASSES = range(11)
@@ -186,7 +186,7 @@ def _count(least: float):
         rows += [(int((totals > 0).sum()), VOCABULARY, b""), (int((totals == 1).sum()), ONCE, b""), (int((totals == 2).sum()), TWICE, b"")]
         return pa.Table.from_batches([rows_of(rows)])
 
-    return run
+    return tidy(run)
 
 
 def _bigrams(top: np.ndarray, settings: Settings):
@@ -203,7 +203,7 @@ def _bigrams(top: np.ndarray, settings: Settings):
         out["pair"], out["count"] = pairs, counts
         return pa.Table.from_batches([rows_of([(g, BIGRAMS, packed(out[members])) for g, members in split_by(pairs // (16 * (m + 1)))])])
 
-    return run
+    return tidy(run)
 
 
 def _sum_bigrams(table: pa.Table) -> pa.Table:
@@ -285,7 +285,7 @@ def _vote(top: np.ndarray, classes: np.ndarray, settings: Settings):
             rows.append((int(chunk.shards["shard"][s]), VOTES, packed(out, _number(grp))))
         return pa.Table.from_batches([rows_of(rows)])
 
-    return run
+    return tidy(run)
 
 
 def _choose(top: np.ndarray, classes: np.ndarray, transitions: np.ndarray, settings: Settings):
@@ -320,7 +320,7 @@ def _choose(top: np.ndarray, classes: np.ndarray, transitions: np.ndarray, setti
             rows.append((grp, CLASSES, packed(chosen[place].view(CLASS), shard)))
         return pa.Table.from_batches([rows_of(rows)])
 
-    return run
+    return tidy(run)
 
 
 def _transitions(settings: Settings):
@@ -334,7 +334,7 @@ def _transitions(settings: Settings):
         at = np.flatnonzero(cells)
         return pa.table({"cell": pa.array(at, pa.int64()), "n": pa.array(cells[at], pa.int64())})
 
-    return run
+    return tidy(run)
 
 
 def _classes(chunk: Chunk, settings: Settings) -> np.ndarray:
@@ -387,7 +387,7 @@ def _score(model: Model, settings: Settings):
         sums = [np.add.reduceat(x, edges) if len(x) else np.zeros(0) for x in (~unknown * 1, base, logs)]
         return pa.table([pa.array(chunk.docs["id"], pa.int64(), mask=chunk.docs["null"].astype(bool)), pa.array(chunk.docs["held"].astype(bool)), pa.array(chunk.docs["n"].astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], schema=schema)
 
-    return run
+    return tidy(run)
 
 
 def score_texts(docs: DataFrame, held_out, settings: Settings = Settings(), shards: int | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from countaxis.llm.components import components
-from countaxis.llm.shared import as_text, column_bytes, mixed, stored
+from countaxis.llm.shared import as_text, column_bytes, mixed, stored, tidy
 from countaxis.llm.shingles import shingle_sets
 from countaxis.llm.suffix_dedup import NO_ID, ROWS, _deal, _kinds, documents, packed, rows_of, split_by, unpacked
 
@@ -81,7 +81,7 @@ def _tell_shingles(schema: pa.Schema, width: int, shards: int):
             rows.append((s, SHINGLES, packed(out, int(table.column("grp")[0].as_py()).to_bytes(8, "little"))))
         return pa.Table.from_batches([rows_of(rows)])
 
-    return run
+    return tidy(run)
 
 
 def _count_shingles(common: int):
@@ -102,7 +102,7 @@ def _count_shingles(common: int):
         shard = int(table.column("grp")[0].as_py()).to_bytes(8, "little")
         return pa.Table.from_batches([rows_of([(g, CODES, packed(p.view(CODE), shard)) for g, p in zip(groups, parts, strict=True)])])
 
-    return run
+    return tidy(run)
 
 
 def least_overlap(n: np.ndarray | int, percent: int):
@@ -146,7 +146,7 @@ def _prefixes(schema: pa.Schema, width: int, shards: int, percent: int):
                 rows.append((0, SETS, head + np.sort(shingles[a:b]).tobytes()))
         return pa.Table.from_batches([rows_of(rows)])
 
-    return run
+    return tidy(run)
 
 
 LIST_SCHEMA = pa.schema([("list", pa.int64()), ("sets", pa.list_(pa.int64()))])
@@ -172,7 +172,7 @@ def _lists(percent: int):
                     found.setdefault(int.from_bytes(hashlib.blake2b(sets.tobytes(), digest_size=8).digest(), "little", signed=True), sets.tolist())
         return pa.table([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], schema=LIST_SCHEMA)
 
-    return run
+    return tidy(run)
 
 
 class Forest:

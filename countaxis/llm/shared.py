@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy kernel handles at once in a Python worker; bounds its memory, not what is processed.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +49,25 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def released() -> None:
+    """Hand memory that is free back to the system: Python workers outlive their tasks, and what one kernel needed at its
+    peak would stay with them beside what the next one needs."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A group's function that hands its memory back when it is done."""
+
+    def tidied(table: pa.Table) -> pa.Table:
+        out = run(table)
+        released()
+        return out
+
+    return tidied
+
+
 def as_text(name: str = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -84,6 +105,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES
             last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)
             yield batch.slice(row, last - row), data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row]
             row = last
+        del data, offsets
+        released()
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

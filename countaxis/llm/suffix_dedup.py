@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countaxis.llm.shared import CHUNK_BYTES, as_text, column_bytes, mark, mixed, prefix_hash, ragged, span_hash, stored
+from countaxis.llm.shared import CHUNK_BYTES, as_text, column_bytes, mark, mixed, prefix_hash, ragged, released, span_hash, stored, tidy
 
 #: Bytes of the gram that anchors a window.
 GRAM = 20
@@ -172,6 +172,7 @@ def _hash_segments(length: int, shards: int, groups: int):
                 # Repeats go with the same shuffle, dealt by their documents, to the shards' tasks, which pass them on.
                 rows += [(g % shards, REPEATS, packed(repeats[members])) for g, members in split_by(group_of(repeats["id"], groups))]
                 yield rows_of(rows)
+            released()
 
     return run
 
@@ -193,7 +194,7 @@ def _compare_hashes(shards: int, groups: int):
             rows += [(g, CANDIDATES, packed(several[members])) for g, members in split_by(group_of(several["id"], groups))]
         return pa.Table.from_batches([rows_of(rows)])
 
-    return run
+    return tidy(run)
 
 
 def _extract(shards: int, length: int, schema: pa.Schema, keys: tuple[str, str, str]):
@@ -223,7 +224,7 @@ def _extract(shards: int, length: int, schema: pa.Schema, keys: tuple[str, str,
                 rows.append((s, SEGMENTS, packed(segments[members], text[ragged(starts[members], sizes[members])].tobytes())))
         return pa.Table.from_batches([rows_of(rows)])
 
-    return run
+    return tidy(run)
 
 
 def _kinds(table: pa.Table) -> Iterator[tuple[int, bytes]]:
@@ -359,7 +360,7 @@ def _sort_suffixes(length: int, groups: int):
         repeats = repeats_in(np.concatenate(segments), np.concatenate(texts), length)
         return pa.Table.from_batches([rows_of(list(repeat_rows(repeats, groups)))])
 
-    return run
+    return tidy(run)
 
 
 def _remove(length: int, schema: pa.Schema, keys: tuple[str, str, str], columns: list[str], as_string: bool):
@@ -395,7 +396,7 @@ def _remove(length: int, schema: pa.Schema, keys: tuple[str, str, str], columns:
             batches.append(pa.RecordBatch.from_arrays([batch.column(schema.get_field_index(c)) for c in columns] + [pa.array(x, t) for x, t in zip((n_bytes, n_removed, spans, kept), out.types[-4:], strict=True)], schema=out))
         return pa.Table.from_batches(batches, out)
 
-    return run
+    return tidy(run)
 
 
 def _deal(keys: tuple[str, str, str], groups: int):
