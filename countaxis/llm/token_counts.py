@@ -98,6 +98,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     misses = misses.select(F.col("content_digest").alias("_digest"), F.col("first_id").alias("_id"))
     todo = keyed.join(misses, (keyed.content_digest == misses._digest) & keyed.doc_id.eqNullSafe(misses._id), "left_semi")
     counted = todo.select("content_digest", "text").mapInArrow(_encode(tokenizer_path), "content_digest binary, n_tokens long")
+    counted = counted.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))  # rows that repeat id and text: one entry
     counted.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache_path)
     return keyed.drop("text").join(cached(), "content_digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
