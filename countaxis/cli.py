@@ -6,6 +6,7 @@ import argparse
 import json
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from countaxis import api
@@ -85,7 +86,7 @@ def main(argv: list[str] | None = None) -> int:
                 api.infer(bundles.read(spark, a.bundle), chosen).save(a.out)
             else:
                 api.run(spark, a.matrix, a.cells, a.genes, a.reference, a.alleles, a.genetic_map, chosen, a.out)
-    except (ValueError, RuntimeError, OSError) as e:
+    except (ValueError, RuntimeError, OSError, AnalysisException) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
     return 0

@@ -69,9 +69,9 @@ def dispersion(rows: DataFrame) -> DataFrame:
 
 def allele_bias(alleles: DataFrame) -> DataFrame:
     """bias: logit of the first haplotype's share over all, held to .45 ... .55; 0 without counts."""
-    share = F.sum("h1") / F.nullif(F.sum("h1") + F.sum("h2"), F.lit(0))
+    share = F.coalesce(F.sum("h1") / F.nullif(F.sum("h1") + F.sum("h2"), F.lit(0)), F.lit(0.5))
     held = F.greatest(F.lit(0.45), F.least(F.lit(0.55), share))
-    return alleles.agg(F.coalesce(logit(held), F.lit(0.0)).alias("bias"))
+    return alleles.agg(logit(held).alias("bias"))
 
 
 def class_names() -> list[str]:

@@ -55,7 +55,7 @@ def _triples(spark: SparkSession, data, indices, indptr, genes: list[str], cells
     import pandas as pd
 
     cell = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))
-    frame = pd.DataFrame({"gene": np.asarray(genes, object)[indices], "cell": np.asarray(cells, object)[cell], "n": np.asarray(data)})
+    frame = pd.DataFrame({"gene": np.asarray(genes, object)[indices], "cell": np.asarray(cells, object)[cell], "n": np.asarray(data, float)})
     rows = spark.createDataFrame(frame, "gene string, cell string, n double") if len(frame) else spark.createDataFrame([], "gene string, cell string, n double")
     check_counts(rows, "n")
     return summed(rows, "gene", "cell")

@@ -1,0 +1,156 @@
+import numpy as np
+import pandas as pd
+import pytest
+
+from countaxis.operators import clones, grouping, mixture, resample
+
+
+def planted(seed=3, noise=0.2, members=16, effect=1.0):
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(40, members)) * 0.1
+    x[:12, : members // 2] += effect
+    x[:12, members // 2 :] -= effect
+    return x, np.array([x + r.normal(size=x.shape) * noise for _ in range(30)])
+
+
+def same_partition(a, b):
+    return len(set(zip(a, b, strict=True))) == len(set(a)) == len(set(b))
+
+
+def test_trees_cuts_and_silhouettes():
+    p = np.array([0.0, 0.1, 0.25, 5.0, 5.2])
+    d = abs(p[:, None] - p)
+    assert grouping.upgma(d)[0][:2] == (0, 1) and grouping.upgma(d)[-1][2] == pytest.approx(np.mean([[abs(a - b) for b in p[3:]] for a in p[:3]]))
+    assert grouping.cut(grouping.upgma(d), 5, 2).tolist() == [0, 0, 0, 1, 1]
+    assert grouping.silhouette(d, np.array([0, 0, 0, 1, 1])) > 0.9 and grouping.silhouette(np.ones((2, 2)), np.array([0, 1])) == 0
+    x, _ = planted()
+    assert same_partition(grouping.phase_pools(x), [0] * 8 + [1] * 8) and set(grouping.phase_pools(x[:, :2])) == {1}
+
+
+def test_recursive_groups_recover_and_do_not_invent():
+    x, boot = planted()
+    truth = [0] * 8 + [1] * 8
+    assert same_partition(grouping.recursive_groups(x, boot).labels, truth) and same_partition(grouping.both_rules(x, boot)[0], truth)
+    none, noisy = planted(4, 0.6, effect=0.0)
+    assert len(set(grouping.recursive_groups(none, noisy).labels.tolist())) == 1
+    assert grouping.recursive_groups(x[:, :3], boot[:, :, :3]).nodes[0]["reason"] == "fewer_than_four_barcodes"
+    assert grouping.recursive_groups(np.ones((5, 6)), np.ones((20, 5, 6))).nodes[0]["reason"] == "no_profile_variation"
+    with pytest.raises(ValueError):
+        grouping.recursive_groups(x, boot[:5])
+    labels, _, _ = grouping.local_refinement(x, boot, np.array([1] * 14 + [0, 0]))
+    assert labels[14:].tolist() == [0, 0] and same_partition(labels[:14], [0] * 8 + [1] * 6)
+
+
+def test_refined_labels():
+    assert grouping.refined(np.array([1, 1, 1, 2, 2, 0]), np.array([1, 1, 2, 1, 1, 1])).tolist() == [1, 1, 0, 2, 2, 0]
+    with pytest.raises(ValueError):
+        grouping.refined(np.array([-1, 1]), np.array([1, 1]))
+
+
+def test_clone_calls_leave_a_mixture_unresolved():
+    paths = np.zeros((32, 9, 60), int)
+    paths[:, :4, :20], paths[:, 4:8, 20:40], paths[:, 8, :10], paths[:, 8, 20:30] = 1, 2, 1, 2
+    p, cells = np.eye(4)[paths[0]], np.full(9, 10.0)
+    d = clones.path_distances(paths)
+    assert d[0, 4, 0] == pytest.approx(40 / 60) and d[0, 1].max() == pytest.approx(0, abs=1e-7)
+    for method in ("mean_profile", "mean_distance", "draw_quantile"):
+        c = clones.call(d, p, cells, method)
+        assert same_partition(c.labels[:8], [0] * 4 + [1] * 4)
+    c = clones.call(d, p, cells)
+    assert c.labels[8] == 0 and c.membership[8]["reason"] == "ambiguous_preference"
+    assert set(clones.call(np.zeros((4, 4, 3)), p[:1].repeat(4, 0), cells[:4]).labels.tolist()) == {1}
+    kept = clones.call(d, p, cells, "expression", np.array([1] * 8 + [0])).labels
+    assert kept[8] == 0 and same_partition(kept[:8], [0] * 4 + [1] * 4)
+    with pytest.raises(ValueError):
+        clones.call(d, p, cells, "self_expression")
+    with pytest.raises(ValueError):
+        clones.call(d, p * 2, cells)
+
+
+@pytest.mark.parametrize("method", clones.SELF_METHODS)
+def test_self_calls(method):
+    x, boot = planted()
+    c = clones.call_self(x, boot, np.full(16, 10.0), method, {"x": x[:3], "boot": boot[:, :3], "coverage": np.ones((3, 16))})
+    assert same_partition(c.labels, [0] * 8 + [1] * 8)
+    assert (c.evidence == "self_expression_and_hf") == ("hf" in method)
+    scaled = clones.call_self(3 * x, 3 * boot, np.full(16, 10.0), method, {"x": 3 * x[:3], "boot": 3 * boot[:, :3], "coverage": np.ones((3, 16))})
+    assert (scaled.labels == c.labels).all()
+
+
+def test_path_distance_rows_equal_the_kernel(spark):
+    r = np.random.default_rng(2)
+    paths = r.integers(0, 3, size=(4, 3, 10))
+    rows = spark.createDataFrame([(m, g, paths[:, m, g].tolist()) for m in range(3) for g in range(10)], "member int, marker int, path array<int>")
+    want = clones.path_distances(paths)
+    for x in clones.path_distance_rows(rows).collect():
+        assert x.distance == pytest.approx(want[x.a, x.b, x.draw], abs=1e-6)
+
+
+def test_draws_are_stable_and_whole(spark):
+    cells = spark.createDataFrame([(f"c{i}", f"b{i % 2}") for i in range(9)], "cell string, group string")
+    one, two = (resample.cell_draws(cells.repartition(k), 20, 5).toPandas().sort_values(["draw", "group", "cell"]).reset_index(drop=True) for k in (1, 4))
+    pd.testing.assert_frame_equal(one, two)
+    assert (one.groupby(["draw", "group"])["mult"].sum().unstack() == [5, 4]).all().all() and (one[one["draw"] == -1]["mult"] == 1).all()
+    with pytest.raises(ValueError):
+        resample.cell_draws(cells, 19, 5)
+
+
+def test_bootstrap_of_the_data_is_the_profile(spark):
+    r = np.random.default_rng(1)
+    cells = spark.createDataFrame([(f"c{i:02d}", f"b{i // 6}") for i in range(18)], "cell string, group string")
+    counts = spark.createDataFrame([(f"g{g:02d}", f"c{c:02d}", int(r.poisson(9) + 1)) for g in range(30) for c in range(18)], "gene string, cell string, n long")
+    genes = spark.createDataFrame([(f"g{g:02d}", str(g // 15), g) for g in range(30)], "gene string, chrom string, idx int")
+    blocks = resample.bootstrap_profiles(counts, cells, genes, 20, 3, 5, 10).persist()
+    x, boot, features = resample.feature_arrays(blocks, ["b0", "b1", "b2"])
+    assert x.shape == (4, 3) and boot.shape == (20, 4, 3) and np.isfinite(boot).all() and len(features) == 4
+    from countaxis.operators.smoothing import block_means
+
+    sums = counts.join(cells, "cell").groupBy(cells["group"].alias("sample"), "gene").sum("n").withColumnRenamed("sum(n)", "n")
+    want = block_means(resample.profiles(sums, genes, 5), genes, ["sample"], 10).toPandas().pivot(index=["chrom", "block"], columns="sample", values="y").to_numpy()
+    assert np.allclose(x, want, atol=1e-10)
+
+
+def test_haplotype_features(spark):
+    cells = spark.createDataFrame([(f"c{i}", f"b{i // 5}") for i in range(20)], "cell string, group string")
+    rows = [(f"c{i}", "1", b, float(9 if (i < 10) == (b < 6) else 1), float(1 if (i < 10) == (b < 6) else 9)) for i in range(20) for b in range(12)]
+    by_cell = spark.createDataFrame(rows, "cell string, chrom string, bin long, a double, b double")
+    bins = by_cell.join(cells, "cell").groupBy("group", "chrom", "bin").sum("a", "b").toDF("group", "chrom", "bin", "a", "b")
+    f = resample.haplotype_features(bins, by_cell, cells, 20, 1, 2)
+    assert f["x"].shape == (12, 4) and f["boot"].shape == (20, 12, 4) and (f["coverage"] > 0).all()
+    assert (np.sign(f["x"][0]) == [1, 1, -1, -1]).all() and np.allclose(f["boot"].mean(0), f["x"], atol=0.2)
+
+
+def test_mixture_weights_and_gradient():
+    r = np.random.default_rng(5)
+    panel, w = r.dirichlet(np.ones(200), 3).T, np.array([0.2, 0.5, 0.3])
+    y = panel @ w
+    assert np.allclose(mixture.global_weights(panel, y / y.sum()), w, atol=1e-6)
+    got, done = mixture.regional_fit(panel, y * 1e6)
+    assert done and np.allclose(got, w, atol=1e-5)
+    x, target = np.array([0.1, -0.3, 0.5]), np.log(r.dirichlet(np.ones(200)))
+    g = mixture.global_loss(panel, target, mixture.softmax(x))[1]
+    h = 1e-6
+    for k in range(3):
+        e = np.eye(3)[k] * h
+        assert g[k] == pytest.approx((mixture.global_loss(panel, target, mixture.softmax(x + e))[0] - mixture.global_loss(panel, target, mixture.softmax(x - e))[0]) / (2 * h), abs=1e-6)
+
+
+def test_bins_join_short_ends():
+    runs = lambda n, w, o: np.bincount(mixture.axis_bins(n, w, o)).tolist()
+    assert runs(11, 4, 2) == [6, 5] and runs(9, 4, 2) == [9] and runs(8, 4, 0) == [4, 4] and runs(3, 4, 0) == [3]
+    assert np.allclose(mixture.geometric_median(np.array([[0.2, 0.8]] * 3 + [[0.9, 0.1]])), [0.2, 0.8], atol=1e-3)
+
+
+@pytest.mark.parametrize("method", ["global", "regional_consensus"])
+def test_reference_fit(spark, method):
+    r = np.random.default_rng(6)
+    p = r.dirichlet(np.ones(120), 2)
+    y = np.rint((0.3 * p[0] + 0.7 * p[1]) * 1e7).astype(int)
+    panel = spark.createDataFrame([(f"g{i:03d}", k, float(p[j, i])) for i in range(120) for j, k in enumerate("ab")], "gene string, profile string, fraction double")
+    genes = spark.createDataFrame([(f"g{i:03d}", f"chr{i // 60 + 1}", i + 1) for i in range(120)], "gene string, chrom string, position long")
+    counts = spark.createDataFrame([(f"g{i:03d}", int(n)) for i, n in enumerate(y)] + [("unknown", 5)], "gene string, n long")
+    fit = mixture.fit_reference(counts, panel, genes, method, width=30)
+    assert fit.weights["a"] == pytest.approx(0.3, abs=2e-3) and fit.audit["absent"] == 1
+    assert sum(x.fraction for x in fit.profile.collect()) == pytest.approx(1)
+    with pytest.raises(ValueError):
+        mixture.fit_reference(counts, panel, genes.limit(3), method)
