@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from countaxis.llm.components import components
-from countaxis.llm.shared import as_text, column_bytes, mixed, stored, tidy
+from countaxis.llm.shared import as_text, column_bytes, forget, mixed, small, stored, tidy
 from countaxis.llm.shingles import shingle_sets
 from countaxis.llm.suffix_dedup import NO_ID, ROWS, _deal, _kinds, documents, packed, rows_of, split_by, unpacked
 
@@ -38,14 +38,18 @@ BLOCK = 2048
 #: A shingle in more documents than this share of all (and than MANY) is very common.
 COMMON_SHARE, MANY = 0.001, 256
 RARE, SHARED, COMMON = range(3)
-#: Bits of a shingle's hash that are counted; others with the same bits count with it, which only makes more candidates.
-COUNT_BITS = 44
+
+
+def count_bits(documents: int) -> int:
+    """Bits of a shingle's hash that are counted, by the number of documents; shingles that agree in them count as one, which
+    only makes more candidates."""
+    return min(64, max(40, documents.bit_length() + 24))
 
 
 class Sets:
     """The distinct shingle sets of a group of documents, and each document's set."""
 
-    def __init__(self, table: pa.Table, schema: pa.Schema, width: int, shards: int):
+    def __init__(self, table: pa.Table, schema: pa.Schema, width: int, shards: int, bits: int):
         ids, tags, sets, sizes, shingles = [], [], [], [], []
         self.known: dict[int, int] = {}
         for batch in documents(table, schema):
@@ -68,13 +72,13 @@ class Sets:
         self.names = np.array(list(self.known), np.int64)
         self.sizes = np.array([len(x) for x in shingles], np.int64)
         self.shingles = np.concatenate([np.zeros(0, np.uint64), *shingles])
-        self.distinct, self.place, self.counts = np.unique(self.shingles >> np.uint64(64 - COUNT_BITS), return_inverse=True, return_counts=True)
+        self.distinct, self.place, self.counts = np.unique(self.shingles >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
         self.shard = (mixed(self.distinct) % np.uint64(shards)).astype(np.int64)
 
 
-def _tell_shingles(schema: pa.Schema, width: int, shards: int):
+def _tell_shingles(schema: pa.Schema, width: int, shards: int, bits: int):
     def run(table: pa.Table) -> pa.Table:
-        sets, rows = Sets(table, schema, width, shards), []
+        sets, rows = Sets(table, schema, width, shards, bits), []
         for s, members in split_by(sets.shard):
             out = np.empty(len(members), COUNTED)
             out["gap"], out["count"] = np.diff(sets.distinct[members], prepend=np.uint64(0)), sets.counts[members]
@@ -110,7 +114,7 @@ def least_overlap(n: np.ndarray | int, percent: int):
     return -(-percent * n // 100)
 
 
-def _prefixes(schema: pa.Schema, width: int, shards: int, percent: int):
+def _prefixes(schema: pa.Schema, width: int, shards: int, bits: int, percent: int):
     """All documents' sets; of sets that can be linked, their shared shingles, and the shared ones of their prefixes."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -119,7 +123,7 @@ def _prefixes(schema: pa.Schema, width: int, shards: int, percent: int):
             if kind == CODES:
                 code, tail = unpacked(blob, CODE)
                 codes[int.from_bytes(tail, "little")] = code["code"]
-        sets = Sets(table, schema, width, shards)
+        sets = Sets(table, schema, width, shards, bits)
         rows = [(0, DOCUMENTS, packed(sets.documents))] if len(sets.documents) else []
         code = np.zeros(len(sets.distinct), np.uint8)
         for s, members in split_by(sets.shard):
@@ -351,8 +355,8 @@ def _links(groups: DataFrame, sets: DataFrame, roots: DataFrame | None, percent:
     groups = groups.join(roots.select(F.col("node").alias("set"), "root"), "set", "left") if roots is not None else groups.withColumn("root", F.col("set"))
     signed = groups.join(sets.select("set", "n", "unshared", "signature"), "set").select("grp", "set", "n", "unshared", F.coalesce("root", "set").alias("root"), "signature")
     near = stored(signed.repartition("grp").sortWithinPartitions("grp").mapInArrow(_near(percent), "grp long, set long"), "near")
-    near = near.join(roots.select(F.col("node").alias("set"), "root"), "set", "left") if roots is not None else near.withColumn("root", F.col("set"))
-    rows = near.join(sets.select("set", "n", "shingles"), "set").select("grp", "set", "n", F.coalesce("root", "set").alias("root"), "shingles")
+    rooted = near.join(roots.select(F.col("node").alias("set"), "root"), "set", "left") if roots is not None else near.withColumn("root", F.col("set"))
+    rows = sets.select("set", "n", "shingles").join(small(stored(rooted, "near")), "set").select("grp", "set", "n", F.coalesce("root", "set").alias("root"), "shingles")
     return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(_search(percent), "a long, b long")
 
 
@@ -365,19 +369,23 @@ def shingle_documents(docs: DataFrame, width: int = 5, percent: int = 75, block:
     is the smallest doc_id that links lead to (null for a component of null ids only). An empty table gives no rows.
     """
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), (F.xxhash64(as_text()).bitwiseAND(0x7FFFFFFF)).cast("int").alias("_row"), as_text().alias("_bytes"))
-    shards = 8 * max(8, docs.rdd.getNumPartitions())
+    groups = 8 * max(8, docs.rdd.getNumPartitions())
+    shards = groups // 4  # fewer, so that a group's hashes for a shard lie close and take few bits
     schema = to_arrow_schema(keyed.schema)
-    common = max(MANY, int(COMMON_SHARE * docs.count()))
-    texts = keyed.mapInArrow(_deal(KEYS, shards), ROWS)
-    told = texts.groupBy("grp").applyInArrow(_tell_shingles(schema, width, shards), ROWS)
+    total = docs.count()
+    common, bits = max(MANY, int(COMMON_SHARE * total)), count_bits(total)
+    texts = keyed.mapInArrow(_deal(KEYS, groups), ROWS)
+    told = texts.groupBy("grp").applyInArrow(_tell_shingles(schema, width, shards, bits), ROWS)
     codes = stored(told.groupBy("grp").applyInArrow(_count_shingles(common), ROWS), "shingle-codes")
-    found = stored(texts.unionByName(codes).groupBy("grp").applyInArrow(_prefixes(schema, width, shards, percent), ROWS), "shingle-sets")
+    found = stored(texts.unionByName(codes).groupBy("grp").applyInArrow(_prefixes(schema, width, shards, bits, percent), ROWS), "shingle-sets")
 
-    documents_ = found.filter(F.col("kind") == DOCUMENTS).select("blob").mapInArrow(_document_rows, "_id long, _row int, set long, n_shingles long")
+    forget(codes)
+    documents_ = stored(found.filter(F.col("kind") == DOCUMENTS).select("blob").mapInArrow(_document_rows, "_id long, _row int, set long, n_shingles long"), "documents")
     sets = found.filter(F.col("kind") == SETS).select("blob").mapInArrow(_set_rows, "set long, n long, unshared long, signature binary, shingles binary").dropDuplicates(["set"])
     sets = stored(sets, "linkable-sets")
     lists = found.filter(F.col("kind") == ENTRIES).groupBy("grp").applyInArrow(_lists(percent), "list long, sets array<long>")
     lists = stored(lists.dropDuplicates(["list"]), "lists")
+    forget(found)
 
     # Around each list's smallest set first: what is copied often is connected by few comparisons.
     stars = lists.select(F.element_at("sets", 1).alias("hub"), F.explode("sets").alias("set")).distinct()
@@ -396,6 +404,7 @@ def shingle_documents(docs: DataFrame, width: int = 5, percent: int = 75, block:
 
     classed = documents_.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     classed = stored(classed.groupBy("_id", "_row", "root", "n_shingles").agg(F.count("*").alias("copies")), "classes")
+    forget(documents_, sets, lists, near, more)
     least = classed.filter("n_shingles > 0").groupBy("root").agg(F.min(F.when(F.col("_id") > NO_ID, F.col("_id"))).alias("least"))
     return classed.join(least, "root", "left").select("_id", "_row", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.when(F.col("_id") > NO_ID, F.col("_id"))).alias("component_id"), "copies")
 
@@ -430,9 +439,9 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame
     Texts without words are no one's duplicates and all stay, but for rows that repeat doc_id and text."""
     found = shingle_documents(docs, width, percent)
     mine = found.filter(F.col("_id").eqNullSafe(F.coalesce("component_id", F.lit(NO_ID))))
-    least = mine.groupBy("_id").agg(F.min("_row").alias("_row"), F.max("copies").alias("copies"), F.sum("copies").alias("rows"))
-    stays = stored(least.select(F.col("_id").alias("_keep_id"), F.col("_row").alias("_keep_row"), "rows"), "stays")
+    stays = mine.groupBy("_id").agg(F.min("_row").alias("_row"), F.sum("copies").alias("rows"))
     single = not stays.filter("rows > 1").limit(1).count()
+    goes = stored(found.join(stays, ["_id", "_row"], "left_anti").select(F.col("_id").alias("_go_id"), F.col("_row").alias("_go_row")), "goes")
     id_, row = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), (F.xxhash64(as_text()).bitwiseAND(0x7FFFFFFF)).cast("int")
-    kept = docs.join(stays.drop("rows"), (id_ == F.col("_keep_id")) & (row == F.col("_keep_row")), "left_semi")
+    kept = docs.join(small(goes), (id_ == F.col("_go_id")) & (row == F.col("_go_row")), "left_anti")
     return kept if single else kept.dropDuplicates(["doc_id"])

@@ -36,10 +36,37 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, so lost executors never make it run again."""
+    """``df`` written to the shared folder and read back, so lost executors never make it run again.
+
+    What its shuffles left on the executors' disks is of no use then. Spark removes it once the driver has collected the
+    objects of the finished plan, which is asked for here, for a driver with little garbage may not do so for long.
+    """
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _stored_at[id(out)] = (out, path)
+    return out
+
+
+_stored_at: dict[int, tuple[DataFrame, str]] = {}
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete what stored() wrote for ``frames``, once all that reads it is stored itself."""
+    for frame in frames:
+        _, path = _stored_at.pop(id(frame), (None, None))
+        if path:
+            removed(frame.sparkSession, path)
+
+
+#: Rows of keys (ids and hashes, some dozen bytes each) that may be broadcast; their number is counted first.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(frame: DataFrame) -> DataFrame:
+    """A stored table of keys, marked for broadcast if it is counted to be small; else it is joined by a shuffle."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
 
 
 def removed(spark: SparkSession, path: str) -> None:
