@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countaxis.llm import class_lm, decontaminate, jaccard_join, kn_quality, neighbours, packing, suffix_dedup, token_counts, toxicity, url_filter
+from countaxis.llm import class_lm, decontaminate, jaccard_join, kn_quality, neighbours, packing, sql, suffix_dedup, token_counts, toxicity, url_filter
 from countaxis.llm.shared import held_out, table
 
 
@@ -34,22 +34,6 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
 
 
-OP3_SQL = """
-WITH v AS (
-  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
-    AND len(list_filter(embedding, lambda e: e <> 0)) > 0
-), d AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, sqrt(list_reduce(list_transform(list_zip(q.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 100 = 0
-), r AS (
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank, vec_id, score FROM d
-)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
-"""
-
-
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -104,4 +88,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE_SQL: dict[str, str] = {"op3_neighbours": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_neighbours": sql.OP3_SQL, "op4_jaccard_join": sql.OP4_SQL, "op5_suffix_dedup": sql.OP5_SQL, "op6_decontaminate": sql.OP6_SQL}

@@ -55,3 +55,26 @@ def test_registered():
     names = set(entry.queries())
     assert {f"op{n}_" for n in range(1, 11)} <= {x[: x.index("_") + 1] for x in names if x.startswith("op")} and "pipeline" in names
     assert set(entry.oracle_sql()) <= names and SCHEMA
+
+
+def test_sql_agrees_on_the_awkward_rows(spark, tmp_path):
+    """The SQL beside the queries, on rows with ids of their own (SQL has no place for a null or repeated id)."""
+    import duckdb
+    from test_operators import awkward
+
+    from countaxis.llm import queries
+
+    texts = corpus(4, 50)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(k, t) for k, t in awkward() if k not in (None, 903, 904, 905, 911)]
+    spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, texts[10]), (2, "bar"), (3, None), (4, " ".join(texts[30].split()[:12]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("op4_jaccard_join", "op5_suffix_dedup", "op6_decontaminate"):
+        out = entry.queries()[name](spark, str(tmp_path))
+        columns = sorted(out.columns)
+        want = con.sql(queries.ORACLE_SQL[name])
+        assert sorted(want.columns) == columns
+        got = sorted(tuple(r[c] for c in columns) for r in out.collect())
+        assert got == sorted(tuple(r[want.columns.index(c)] for c in columns) for r in want.fetchall())
