@@ -116,3 +116,11 @@ def disjoint(intervals: DataFrame) -> DataFrame:
     check(chain, "_next < end", "intervals overlap")
     gaps = chain.filter("_next > end").select("chrom", F.col("end").alias("start"), F.col("_next").alias("end"), F.lit(float("nan")).alias("value"))
     return intervals.select("chrom", "start", "end", "value").unionByName(gaps)
+
+
+def same_catalogue(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two tables hold the same rows, each as often, whatever their order; columns are taken by name."""
+    if sorted(a.columns) != sorted(b.columns):
+        return False
+    b = b.select(*a.columns)
+    return not a.exceptAll(b).limit(1).count() and not b.exceptAll(a).limit(1).count()

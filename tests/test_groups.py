@@ -154,3 +154,8 @@ def test_reference_fit(spark, method):
     assert sum(x.fraction for x in fit.profile.collect()) == pytest.approx(1)
     with pytest.raises(ValueError):
         mixture.fit_reference(counts, panel, genes.limit(3), method)
+
+
+def test_display_order():
+    p = np.array([0.0, 5.0, 0.1, 5.1])
+    assert grouping.display_order(np.array([2, 0, 2, 1]), abs(p[:, None] - p)) == [3, 0, 2, 1]

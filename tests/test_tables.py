@@ -176,3 +176,8 @@ def test_checks_of_counts_and_loci(spark):
             schema.check_loci(loci(*bad), grid)
     with pytest.raises(ValueError):
         schema.check_library(spark.createDataFrame([("a", 5)], "cell string, n long"), spark.createDataFrame([("a", 4.0)], "cell string, library double"))
+
+
+def test_catalogues(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y")], "k int, v string")
+    assert axis.same_catalogue(a, a.select("v", "k").orderBy("v")) and not axis.same_catalogue(a, a.distinct()) and not axis.same_catalogue(a, a.drop("v"))
