@@ -9,12 +9,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from countaxis.functions.columns import clipped, log_normalised
 from countaxis.operators.aggregate import resampled
-from countaxis.operators.smoothing import block_means, cohort_reference, expression_profiles, triangular
+from countaxis.operators.smoothing import block_means, centred_profiles, cohort_reference, expression_profiles
 
 LEAST_DRAWS = 20
 
@@ -46,7 +44,7 @@ def bootstrap_profiles(counts: DataFrame, cells: DataFrame, genes: DataFrame, re
     sums = resampled(counts, draws, "gene")
     grid = draws.select("draw", "group").distinct().crossJoin(genes.select("gene"))
     dense = grid.join(sums, ["draw", "group", "gene"], "left").fillna(0, ["n"])
-    return dense.transform(lambda d: _profiles_by_draw(d, genes, window, block))
+    return _profiles_by_draw(dense.persist(), genes, window, block)
 
 
 def _profiles_by_draw(dense: DataFrame, genes: DataFrame, window: int, block: int) -> DataFrame:
@@ -54,24 +52,11 @@ def _profiles_by_draw(dense: DataFrame, genes: DataFrame, window: int, block: in
     library = dense.groupBy("draw", "group").agg(F.sum("n").alias("library"))
     middle = library.groupBy("draw").agg(F.median("library").alias("middle"))
     shares = dense.join(library, ["draw", "group"]).groupBy("draw", "gene").agg(F.median(F.col("n") / F.col("library")).alias("share"))
-    reference = shares.join(middle, "draw").select("draw", "gene", (F.col("share") * F.col("middle")).alias("n"))
-    rows = dense.select("draw", "group", "gene", F.col("n").cast("double").alias("n"), F.lit(False).alias("ref"))
-    rows = rows.unionByName(reference.select("draw", F.lit(None).cast(rows.schema["group"].dataType).alias("group"), "gene", "n", F.lit(True).alias("ref")))
-    by_gene = W.partitionBy("draw", "gene")
-    kept = rows.withColumn("any", F.max("n").over(by_gene) > 0).filter("any")
-    sums = kept.withColumn("library", F.sum("n").over(W.partitionBy("draw", "group", "ref")))
-    middles = sums.select("draw", "group", "ref", "library").distinct().groupBy("draw").agg(F.median("library").alias("middle"))
-    kept = sums.join(middles, "draw").withColumn("v", log_normalised("n", "library", "middle"))
-    centre = lambda: F.avg(F.when(F.col("ref"), F.col("v"))).over(by_gene)
-    kept = kept.withColumn("v", clipped(F.col("v") - centre(), 3.0))
-    ranked = kept.select("draw", "gene").distinct().join(genes.select("gene", "chrom", "idx"), "gene")
-    ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("draw", "chrom").orderBy("idx")) - 1).select("draw", "gene", "chrom", "rank")
-    kept = kept.join(ranked, ["draw", "gene"]).withColumn("v", triangular("v", "rank", ["draw", "group", "ref", "chrom"], window // 2))
-    kept = kept.withColumn("side", F.struct("draw", F.coalesce(F.col("group").cast("string"), F.lit("")).alias("group"), "ref"))
-    own = kept.groupBy("side").agg(F.median("v").alias("own"))
-    kept = kept.join(own, "side").withColumn("v", F.col("v") - F.col("own"))
-    centred = kept.withColumn("x", F.col("v") - centre()).filter("not ref").select("draw", "group", "gene", "x")
-    profiles = dense.select("draw", "group", "gene").join(centred, ["draw", "group", "gene"], "left")
+    reference = shares.join(middle, "draw").select("draw", F.lit("").alias("sample"), F.lit(True).alias("ref"), "gene", (F.col("share") * F.col("middle")).alias("n"))
+    own = dense.select("draw", F.col("group").cast("string").alias("sample"), F.lit(False).alias("ref"), "gene", F.col("n").cast("double").alias("n"))
+    centred = centred_profiles(own.unionByName(reference), genes, ["draw"], window, 3.0, True)
+    names = dense.select("draw", "group", "gene", F.col("group").cast("string").alias("sample"))
+    profiles = names.join(centred, ["draw", "sample", "gene"], "left").select("draw", "group", "gene", "x")
     return block_means(profiles, genes, ["draw", "group"], block)
 
 

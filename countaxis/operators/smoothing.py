@@ -37,6 +37,27 @@ def cohort_reference(values: DataFrame) -> DataFrame:
     return shares.crossJoin(F.broadcast(middle)).select("gene", (F.col("share") * F.col("middle")).alias("reference"))
 
 
+def centred_profiles(rows: DataFrame, genes: DataFrame, keys: list[str], window: int, limit: float, referenced: bool) -> DataFrame:
+    """keys, sample, gene, x of the samples (rows that are not ``ref``), for genes with any count; rows: keys, sample, ref, gene, n.
+
+    Libraries are sums over all genes, as genes without counts add nothing, so they are a small table joined first. Then one
+    shuffle by gene serves the filter and the first centring, one by sample the ranks, the smoothing and the median (the
+    windows within chromosomes are already dealt), and one by gene the last centring.
+    """
+    by_gene, by_sample = W.partitionBy(*keys, "gene"), W.partitionBy(*keys, "sample", "ref")
+    library = rows.groupBy(*keys, "sample", "ref").agg(F.sum("n").alias("library"))
+    middle = library.groupBy(*keys).agg(F.median("library").alias("middle"))
+    library = library.join(middle, keys) if keys else library.crossJoin(F.broadcast(middle))
+    centre = F.avg(F.when(F.col("ref"), F.col("v"))).over(by_gene) if referenced else F.avg("v").over(by_gene)
+    kept = rows.join(library, [*keys, "sample", "ref"]).withColumn("top", F.max("n").over(by_gene)).filter("top > 0")
+    kept = kept.withColumn("v", log_normalised("n", "library", "middle")).withColumn("v", clipped(F.col("v") - centre, limit))
+    kept = kept.join(genes.select("gene", "chrom", "idx"), "gene").select(*keys, "sample", "ref", "gene", "chrom", "idx", "v").repartition(*keys, "sample", "ref")
+    along = W.partitionBy(*keys, "sample", "ref", "chrom").orderBy("idx")
+    kept = kept.withColumn("rank", F.row_number().over(along) - 1).withColumn("v", triangular("v", "rank", [*keys, "sample", "ref", "chrom"], window // 2))
+    kept = kept.withColumn("v", F.col("v") - F.median("v").over(by_sample))
+    return kept.withColumn("x", F.col("v") - centre).filter("not ref").select(*keys, "sample", "gene", "x")
+
+
 def expression_profiles(values: DataFrame, genes: DataFrame, reference: DataFrame | None = None, window: int = 101, limit: float = 3.0) -> DataFrame:
     """sample, gene, x for every sample and gene; null for genes without any count in samples and reference.
 
@@ -44,24 +65,12 @@ def expression_profiles(values: DataFrame, genes: DataFrame, reference: DataFram
     Library normalised log2, centred on the reference (or the mean), clipped, smoothed by chromosome, centred on each
     sample's median, and on the reference once more.
     """
-    rows = values.select(F.col("sample").cast("string").alias("sample"), "gene", F.col("n").cast("double").alias("n"), F.lit(False).alias("ref"))
+    own = values.select(F.col("sample").cast("string").alias("sample"), F.lit(False).alias("ref"), "gene", F.col("n").cast("double").alias("n"))
+    rows = own
     if reference is not None:
-        rows = rows.unionByName(reference.select(F.lit("").alias("sample"), "gene", F.col("reference").cast("double").alias("n"), F.lit(True).alias("ref")))
-    by_gene, by_sample = W.partitionBy("gene"), W.partitionBy("sample", "ref")
-    rows = rows.withColumn("any", F.max("n").over(by_gene) > 0)
-    kept = rows.filter("any")
-    library = kept.groupBy("sample", "ref").agg(F.sum("n").alias("library"))
-    middle = library.agg(F.median("library").alias("middle"))
-    kept = kept.join(library, ["sample", "ref"]).crossJoin(F.broadcast(middle))
-    centre = (lambda x: F.avg(F.when(F.col("ref"), F.col(x))).over(by_gene)) if reference is not None else (lambda x: F.avg(x).over(by_gene))
-    kept = kept.withColumn("v", log_normalised("n", "library", "middle"))
-    kept = kept.withColumn("v", clipped(F.col("v") - centre("v"), limit))
-    ranked = genes.join(kept.select("gene").distinct(), "gene", "left_semi").withColumn("rank", F.row_number().over(W.partitionBy("chrom").orderBy("idx")) - 1)
-    kept = kept.join(ranked.select("gene", "chrom", "rank"), "gene").withColumn("v", triangular("v", "rank", ["sample", "ref", "chrom"], window // 2))
-    middles = kept.groupBy("sample", "ref").agg(F.median("v").alias("sample_middle"))
-    kept = kept.join(middles, ["sample", "ref"]).withColumn("v", F.col("v") - F.col("sample_middle"))
-    kept = kept.withColumn("x", F.col("v") - centre("v")).filter("not ref").select("sample", "gene", "x")
-    return rows.filter("not ref").select("sample", "gene").join(kept, ["sample", "gene"], "left")
+        rows = own.unionByName(reference.select(F.lit("").alias("sample"), F.lit(True).alias("ref"), "gene", F.col("reference").cast("double").alias("n")))
+    profiles = centred_profiles(rows, genes, [], window, limit, reference is not None)
+    return own.select("sample", "gene").join(profiles, ["sample", "gene"], "left")
 
 
 def block_means(profiles: DataFrame, genes: DataFrame, keys: list[str], size: int = 25) -> DataFrame:

@@ -396,7 +396,7 @@ def _small(b: Bound) -> tuple[DataFrame, DataFrame, DataFrame]:
 @query()
 def expression_profiles(b: Bound) -> DataFrame:
     values = aggregate.pseudobulk(b.counts(), b.libraries(), b.fractions()).select(F.col("group").cast("string").alias("sample"), "gene", "n")
-    return resample.profiles(values, _small(b)[2], window=11)
+    return resample.profiles(values.persist(), _small(b)[2], window=11)
 
 
 @query()
