@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countaxis.llm.shared import LOWER, NOT_SPACE, as_text, chunks, mixed, prefix_hash, span_hash, stored, word_spans, tidy
+from countaxis.llm.shared import LOWER, NOT_SPACE, as_text, chunks, freed, mixed, prefix_hash, span_hash, stored, word_spans, tidy
 from countaxis.llm.suffix_dedup import ROWS, _kinds, packed, rows_of, split_by, unpacked
 
 SEQUENCES, WORDS, COUNTS, TOP, VOCABULARY, ONCE, TWICE, TOKENS, BIGRAMS, VOTES, CLASSES = range(11)
@@ -35,6 +35,8 @@ PAIR = np.dtype([("pair", "<u4"), ("count", "<u8")])
 VOTE = np.dtype([("place", "<u4"), ("code", "<u2"), ("count", "<u4")])
 CLASS = np.dtype([("cls", "<u1")])
 UNKNOWN = 255
+#: Bytes of text in a chunk: larger ones repeat fewer words of other chunks in what they tell.
+LM_CHUNK = 4 << 20
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -73,7 +75,7 @@ def _cut(shards: int):
     their words for the shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in chunks(batches, "text"):
+        for batch, data, offsets in chunks(batches, "text", LM_CHUNK):
             data = LOWER[data]
             starts, ends, row = word_spans(data, offsets, NOT_SPACE)
             n = np.bincount(row, minlength=batch.num_rows) if len(starts) else np.zeros(batch.num_rows, np.int64)
@@ -399,7 +401,8 @@ def score_texts(docs: DataFrame, held_out, settings: Settings = Settings(), shar
     Null and empty texts are one end; a null doc_id stays null; repeated rows are scored, and learnt from, each on its own;
     an empty table gives no rows; with no training rows all tokens are unknown.
     """
-    shards = shards or 8 * max(8, docs.rdd.getNumPartitions())
+    spark = docs.sparkSession
+    shards = shards or 3 * max(8, docs.rdd.getNumPartitions())
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), as_text().alias("text"))
     cut = stored(source.mapInArrow(_cut(shards), ROWS), "lm-chunks")
     of = lambda frame, *kinds: frame.filter(F.col("kind").isin(*kinds))
@@ -416,6 +419,7 @@ def score_texts(docs: DataFrame, held_out, settings: Settings = Settings(), shar
     for r in pairs.groupBy("grp").applyInArrow(_sum_bigrams, ROWS).collect():  # (clustered + 1) ** 2 cells at most
         x, _ = unpacked(r.blob, PAIR)
         bigrams.flat[x["pair"]] = x["count"]
+    freed(spark)
     order = np.searchsorted(top, by_count)  # commonest first, so that words start in classes by their counts
     full = np.append(order, len(top))
     classes = np.empty(len(top), np.int64)
@@ -435,6 +439,7 @@ def score_texts(docs: DataFrame, held_out, settings: Settings = Settings(), shar
     transitions = np.zeros(settings.all**2)
     for r in cells:
         transitions[r.cell] = r.n
+    freed(spark)
     ends = bool(tokens)
     model = model_of(transitions.reshape(settings.all, -1), sizes, once / (once + 2 * twice) if once else 0.5, tokens, words + ends, settings.smooth)
     scored = named.unionByName(totals).groupBy("grp").applyInArrow(_score(model, settings), SCORED)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -43,12 +44,18 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    freed(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _stored_at[id(out)] = (out, path)
     return out
 
 
+def freed(spark: SparkSession) -> None:
+    """Have the driver collect finished plans, so that Spark removes their shuffles."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _stored_at: dict[int, tuple[DataFrame, str]] = {}
 
 
