@@ -217,7 +217,7 @@ def argmax_class(b: Bound) -> DataFrame:
 
 @query("states", ', s AS (SELECT member, marker, state FROM states WHERE marker < 40), t AS (SELECT a.member AS a, b.member AS b, avg(CASE WHEN a.state <> b.state THEN 1.0e0 ELSE 0.0e0 END) AS d FROM s a JOIN s b ON a.marker = b.marker AND a.member < b.member GROUP BY 1, 2) SELECT a, b, 0 AS draw, round(d, 6) AS distance FROM t')
 def path_distance_pairs(b: Bound) -> DataFrame:
-    paths = b.states().filter("marker < 40").select("member", "marker", F.array("state").alias("path"))
+    paths = b.states().select("member", "marker", F.array("state").alias("path"))
     return clones.path_distance_rows(paths).select("a", "b", F.col("draw").cast("int").alias("draw"), r6("distance", "distance"))
 
 
@@ -291,7 +291,7 @@ EMIT = """, obs AS (SELECT member, marker, CASE WHEN state IN ('click', 'view')
 
 def _two_state(b: Bound) -> tuple[DataFrame, dict]:
     first = F.col("state").isin("click", "view")
-    return b.states().filter("marker < 60").select("member", "marker", F.when(first, -0.4).otherwise(-1.6).alias("e0"), F.when(first, -1.2).otherwise(-0.5).alias("e1")), {}
+    return b.states().select("member", "marker", F.when(first, -0.4).otherwise(-1.6).alias("e0"), F.when(first, -1.2).otherwise(-0.5).alias("e1")), {}
 
 
 def _chains(rows: DataFrame, what, schema: str) -> DataFrame:
