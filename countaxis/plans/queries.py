@@ -417,13 +417,10 @@ def clone_calls(b: Bound) -> DataFrame:
     return b.spark.createDataFrame([(int(g), int(k), int(q), float(s)) for g, k, q, s in zip(groups, result.labels, pools, result.stability, strict=True)], "member int, label int, pool int, stability double")
 
 
-@query()
-def joint_chain(b: Bound) -> DataFrame:
-    """The joint chain of every nation over the parts of two brands and the loci beside them."""
+def _joint_chain(b: Bound, genes: DataFrame, loci: DataFrame, draws: int = 4) -> DataFrame:
     from countaxis.operators import fitting
 
-    genes = b.genes().filter("chrom in ('11', '12')")
-    loci = b.loci().filter("chrom in ('11', '12')").select("locus", "chrom", (F.col("position") + 500).alias("position"), "population_phase", "genetic_cm", "het")
+    loci = loci.select("locus", "chrom", (F.col("position") + 500).alias("position"), "population_phase", "genetic_cm", "het")
     markers = axis.grid(genes, loci).drop("chrom_rank")
     placed = loci.join(markers.select("marker", "chrom", F.col("start").alias("position")), ["chrom", "position"])
     libraries = b.libraries()
@@ -433,7 +430,13 @@ def joint_chain(b: Bound) -> DataFrame:
     rows = fitting.member_rows(depth, alleles, markers, placed)
     model = states.Model(family="nb", outlier=0.0)
     ax = fitting.Axis.of(markers.orderBy("marker").toPandas(), placed.orderBy("marker").toPandas(), model)
-    return fitting.infer_members(rows, ax, model, states.Parameters(0.2), draws=4, seeds={k: k for k in range(25)})
+    return fitting.infer_members(rows, ax, model, states.Parameters(0.2), draws=draws, seeds={k: k for k in range(25)})
+
+
+@query()
+def joint_chain(b: Bound) -> DataFrame:
+    """The joint chain of every nation over all parts and all loci."""
+    return _joint_chain(b, b.genes(), b.loci())
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,3 +60,18 @@ def test_whole_paths_agree_with_sql_without_its_cut(spark, folder, name):
     want = con.sql(sql)
     got = entry.queries()[name](spark, folder).select(*want.columns).collect()
     assert sorted(map(tuple, got)) == [pytest.approx(x, abs=2e-6) for x in sorted(want.fetchall())]
+
+
+def test_joint_chain_covers_all_chromosomes(spark):
+    b = plans.Bound(spark, SF)
+    whole = entry.queries()["joint_chain"](spark, SF).persist()
+    genes, loci = (x.toPandas() for x in (b.genes(), b.loci()))
+    assert {x.chrom for x in whole.select("chrom").distinct().collect()} == {*genes["chrom"], *loci["chrom"]}
+    places = {*zip(genes["chrom"], genes["position"], strict=True), *zip(loci["chrom"], loci["position"] + 500, strict=True)}
+    assert whole.select("marker").distinct().count() == len(places)
+    two = "chrom in ('11', '12')"
+    part = plans._joint_chain(b, b.genes().filter(two), b.loci().filter(two))
+    key = ["member", "chrom", "marker"]
+    want, got = (x.select("member", "chrom", "marker", "p", "evidence").toPandas().sort_values(key) for x in (whole.filter(two), part))
+    assert len(got) == len(want) > 0
+    assert np.allclose(np.stack(got["p"]), np.stack(want["p"]), atol=1e-9) and np.allclose(got["evidence"], want["evidence"])
