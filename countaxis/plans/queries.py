@@ -102,7 +102,7 @@ def chi_square_score(b: Bound) -> DataFrame:
 
 @query()
 def permutation_signal(b: Bound) -> DataFrame:
-    return regions.signal_test(_regions(b), b.libraries(), permutations=19, seed=42)[0]
+    return regions.signal_test(_regions(b), b.libraries(), seed=42)[0]
 
 
 NORMALISED = DENSE + """, kept AS (SELECT *, max(n) OVER (PARTITION BY gene) AS top FROM dense),
@@ -402,13 +402,13 @@ def expression_profiles(b: Bound) -> DataFrame:
 @query()
 def bootstrap_blocks(b: Bound) -> DataFrame:
     counts, cells, genes = _small(b)
-    return resample.bootstrap_profiles(counts, cells, genes, replicates=20, seed=1, window=11)
+    return resample.bootstrap_profiles(counts, cells, genes, seed=1)
 
 
 @query()
 def clone_calls(b: Bound) -> DataFrame:
     counts, cells, genes = _small(b)
-    blocks = resample.bootstrap_profiles(counts, cells, genes, replicates=20, seed=1, window=11).persist()
+    blocks = resample.bootstrap_profiles(counts, cells, genes, seed=1).persist()
     groups = [r.group for r in blocks.select("group").distinct().orderBy("group").collect()]
     x, boot, _ = resample.feature_arrays(blocks, groups)
     size = {r.group: r["count"] for r in cells.groupBy("group").count().collect()}

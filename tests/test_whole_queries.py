@@ -75,3 +75,34 @@ def test_joint_chain_covers_all_chromosomes(spark):
     want, got = (x.select("member", "chrom", "marker", "p", "evidence").toPandas().sort_values(key) for x in (whole.filter(two), part))
     assert len(got) == len(want) > 0
     assert np.allclose(np.stack(got["p"]), np.stack(want["p"]), atol=1e-9) and np.allclose(got["evidence"], want["evidence"])
+
+
+@pytest.mark.parametrize("name, module, function, want", [
+    ("permutation_signal", "regions", "signal_test", {"permutations": 199}),
+    ("bootstrap_blocks", "resample", "bootstrap_profiles", {"replicates": 64, "window": 101}),
+    ("clone_calls", "resample", "bootstrap_profiles", {"replicates": 64, "window": 101}),
+])
+def test_queries_take_the_operators_numbers(spark, monkeypatch, name, module, function, want):
+    import inspect
+
+    class Called(Exception):
+        pass
+
+    module = getattr(plans, module)
+    signature, seen = inspect.signature(getattr(module, function)), {}
+
+    def called(*a, **b):
+        bound = signature.bind(*a, **b)
+        bound.apply_defaults()
+        seen.update(bound.arguments)
+        raise Called
+
+    monkeypatch.setattr(module, function, called)
+    with pytest.raises(Called):
+        entry.queries()[name](spark, SF)
+    assert {k: seen[k] for k in want} == want
+
+
+def test_signal_reaches_one_in_two_hundred(spark):
+    p = entry.entry(spark).head().p_value
+    assert p * 200 == pytest.approx(round(p * 200)) and p >= 1 / 200
