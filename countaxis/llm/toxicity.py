@@ -16,6 +16,8 @@ from countaxis.llm.shared import as_text, held_out
 
 #: Labelled rows of each class that the lexicon is learnt from at most: those whose ids' hashes are smallest.
 TRAIN_ROWS = 10_000
+#: Keys that a map task sums before it hands them on.
+SUMMED_KEYS = 300_000
 #: Letters of other scripts and signs that look like Latin letters.
 HOMOGLYPHS = {
     "а": "a", "в": "b", "с": "c", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԁ": "d", "ԝ": "w", "ɡ": "g", "ո": "n", "ս": "u",
@@ -111,25 +113,32 @@ def grams(text: str, lengths: range) -> set[str]:
 def _count(make):
     """A map task that sums what ``make(text, toxic)`` yields, key -> (toxic, clean) documents, before anything is shuffled."""
 
+    def rows(sums: tuple[Counter, Counter]) -> Iterator[pa.RecordBatch]:
+        keys = list(sums[0].keys() | sums[1].keys())
+        for low in range(0, len(keys), 50_000):
+            part = keys[low : low + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([c[k] for k in part], pa.int64()) for c in sums)], ["key", "toxic", "clean"])
+        for c in sums:
+            c.clear()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: tuple[Counter, Counter] = Counter(), Counter()
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 sums[0 if toxic else 1].update(make(text.as_py(), toxic))
-        keys = list(sums[0].keys() | sums[1].keys())
-        for low in range(0, len(keys), 50_000):
-            part = keys[low : low + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([c[k] for k in part], pa.int64()) for c in sums)], ["key", "toxic", "clean"])
+                if len(sums[0]) + len(sums[1]) > SUMMED_KEYS:
+                    yield from rows(sums)
+        yield from rows(sums)
 
     return run
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, lengths: range = range(3, 9), least: int = 3, odds: float = 3.0, most: int = 5000, exceptions: tuple[str, ...] = ()) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, lengths: range = range(3, 9), least: int = 3, odds: float = 3.0, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """A lexicon from ``labels`` (doc_id, toxic 0/1; null labels are ignored) and their texts in ``docs``.
 
     Up to ``train_rows`` rows of each class are taken, those with the smallest hashes of doc_id. Word beginnings of
     ``lengths`` and whole words get the logarithm of their odds, less its standard error, as weights; kept are those in ``least`` or more toxic
-    texts whose weight is ``odds`` or more, the ``most`` commonest of them, and a longer one only if it says more than
+    texts whose weight is ``odds`` or more, however many they are, and a longer one only if it says more than
     its beginning. Words that match but stand mostly in clean texts become exception phrases, beside those given.
     With no labels the lexicon is empty.
     """
@@ -145,19 +154,19 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, leng
     def counted(frame: DataFrame, make) -> DataFrame:
         return frame.mapInArrow(_count(make), "key string, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
-    common = counted(train.filter("_toxic = 1"), lambda text, _: grams(text, lengths)).filter(F.col("toxic") >= least).orderBy(F.desc("toxic"), "key").limit(8 * most).collect()
-    candidates = spark.sparkContext.broadcast(frozenset(r.key for r in common))
-    clean = {r.key: r.clean for r in counted(train.filter("_toxic = 0"), lambda text, _: [*(grams(text, lengths) & candidates.value), ""]).collect()}
-    n_toxic, n_clean = sum(r._toxic for r in taken), clean.get("", 0)
+    n_toxic, n_clean = sum(r._toxic for r in taken), train.filter("_toxic = 0").count()
+    gram_counts = lambda k: counted(train.filter(F.col("_toxic") == k), lambda text, _: grams(text, lengths))
+    common = gram_counts(1).filter(F.col("toxic") >= least).select("key", "toxic")
+    both = common.join(gram_counts(0).select("key", "clean"), "key", "left").fillna(0, ["clean"])
+    t, c = F.col("toxic") + 0.5, F.col("clean") + 0.5
+    strong = both.filter(F.log(t / (n_toxic + 1)) - F.log(c / (n_clean + 1)) - F.sqrt(1 / t + 1 / c) >= odds - 1e-9).collect()
     weights: dict[str, float] = {}
-    for r in sorted(common, key=lambda r: (len(r.key), r.key)):
-        t, c = r.toxic + 0.5, clean.get(r.key, 0) + 0.5
+    for r in sorted(strong, key=lambda r: (len(r.key), r.key)):
+        t, c = r.toxic + 0.5, r.clean + 0.5
         weight = math.log(t / (n_toxic + 1)) - math.log(c / (n_clean + 1)) - math.sqrt(1 / t + 1 / c)
         beginning = max((weights[r.key[:k]] for k in range(2, len(r.key)) if r.key[:k] in weights), default=0.0)
         if weight >= odds and weight > beginning + 0.5:
             weights[r.key] = weight
-    support = {r.key: r.toxic for r in common}
-    weights = {k: weights[k] for k in sorted(weights, key=lambda k: (-support[k], k))[:most]}
     lexicon = Lexicon(weights, [fold(x) for x in exceptions])
 
     draft = spark.sparkContext.broadcast(lexicon)
