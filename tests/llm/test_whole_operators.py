@@ -2,7 +2,9 @@
 
 import random
 
-from countaxis.llm import toxicity
+from pyspark.sql import functions as F
+
+from countaxis.llm import kn_quality, toxicity
 
 
 # Toxicity
@@ -24,3 +26,17 @@ def test_lexicon_keeps_all_that_passes(spark):
     lexicon = toxicity.learn(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
     machine = toxicity.Matcher(lexicon)
     assert len(lexicon.weights) > 5000 and all(machine.strength(w) > 0 for w in words)
+
+
+# Quality
+def test_limits_rest_on_all_trusted_texts(spark):
+    """Limits don't follow which texts the model was trained on: one language's texts are all outside the sample."""
+    r = random.Random(4)
+    ids = [x.i for x in spark.range(80).selectExpr("id as i").orderBy(F.xxhash64("i"), "i").collect()]
+    first, last = ids[:60], ids[60:]
+    rows = [(i, " ".join(r.choice(["ba", "de", "fi"]) for _ in range(60)), "a") for i in first] + [(i, "".join(r.choice("0123456789") for _ in range(200)), "b") for i in last]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = kn_quality.judge_quality(frame, frame.selectExpr("doc_id", "1 as quality"), margin=1.0, train_rows=60).collect()
+    for lang in "ab":
+        own = [x for x in got if x.lang == lang]
+        assert {x.threshold for x in own} == {max(x.perplexity for x in own)} and all(x.keep for x in own)
