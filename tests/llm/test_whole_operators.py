@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from countaxis.llm import kn_quality, toxicity
@@ -40,3 +41,10 @@ def test_limits_rest_on_all_trusted_texts(spark):
     for lang in "ab":
         own = [x for x in got if x.lang == lang]
         assert {x.threshold for x in own} == {max(x.perplexity for x in own)} and all(x.keep for x in own)
+
+
+def test_margin_is_chosen_by_both_classes(spark):
+    rows = lambda junk: spark.createDataFrame([(1, x / 100) for x in range(50, 101)] + [(0, x) for x in junk], "_q int, x double")
+    assert kn_quality.chosen_margin(rows([1.12, 1.3, 9.0])) == pytest.approx(1.1)  # 1.5 kept two of three
+    assert kn_quality.chosen_margin(rows([])) == kn_quality.chosen_margin(rows([9.0])) == 1.5
+    assert kn_quality.chosen_margin(rows([1.01])) == 1.0
