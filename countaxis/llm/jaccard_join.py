@@ -361,12 +361,13 @@ def _links(groups: DataFrame, sets: DataFrame, roots: DataFrame | None, percent:
 
 
 def shingle_documents(docs: DataFrame, width: int = 5, percent: int = 75, block: int = BLOCK) -> DataFrame:
-    """_id, _row, n_shingles, component_id, copies: one row for each distinct (doc_id, text) of ``docs``; _id is doc_id with
+    """_id, _row, root, n_shingles, component_id, copies: one row for each distinct (doc_id, text) of ``docs``; _id is doc_id with
     the smallest long for null, _row a hash of the text, copies the number of rows that share both.
 
     Two documents are linked when 100 * |intersection| >= ``percent`` * |union| of their sets of shingles of ``width`` words; a
     text with fewer words is one shingle, one without words (null, empty) has none and is linked with nothing. component_id
-    is the smallest doc_id that links lead to (null for a component of null ids only). An empty table gives no rows.
+    is the smallest doc_id that links lead to (null for a component of null ids only), root the same number for all of a
+    component and no other. An empty table gives no rows.
     """
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), (F.xxhash64(as_text()).bitwiseAND(0x7FFFFFFF)).cast("int").alias("_row"), as_text().alias("_bytes"))
     groups = 8 * max(8, docs.rdd.getNumPartitions())
@@ -406,7 +407,7 @@ def shingle_documents(docs: DataFrame, width: int = 5, percent: int = 75, block:
     classed = stored(classed.groupBy("_id", "_row", "root", "n_shingles").agg(F.count("*").alias("copies")), "classes")
     forget(documents_, sets, lists, near, more)
     least = classed.filter("n_shingles > 0").groupBy("root").agg(F.min(F.when(F.col("_id") > NO_ID, F.col("_id"))).alias("least"))
-    return classed.join(least, "root", "left").select("_id", "_row", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.when(F.col("_id") > NO_ID, F.col("_id"))).alias("component_id"), "copies")
+    return classed.join(least, "root", "left").select("_id", "_row", "root", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.when(F.col("_id") > NO_ID, F.col("_id"))).alias("component_id"), "copies")
 
 
 def _document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,13 +436,15 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFram
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` that have the smallest doc_id of their component, with docs' columns; one if several rows have it.
-    Texts without words are no one's duplicates and all stay, but for rows that repeat doc_id and text."""
+    """One row of ``docs`` for each component, with docs' columns: that with the smallest doc_id (null only if all are), then the
+    smallest hash of its text. So texts that share an id or have none stay if nothing links them. Texts without words are no
+    one's duplicates and all stay, but for rows that repeat doc_id and text."""
     found = shingle_documents(docs, width, percent)
-    mine = found.filter(F.col("_id").eqNullSafe(F.coalesce("component_id", F.lit(NO_ID))))
-    stays = mine.groupBy("_id").agg(F.min("_row").alias("_row"), F.sum("copies").alias("rows"))
-    single = not stays.filter("rows > 1").limit(1).count()
+    first = F.min(F.struct((F.col("_id") == NO_ID).alias("none"), "_id", "_row", "copies")).alias("first")
+    stays = found.filter("n_shingles > 0").groupBy("root").agg(first).select("first._id", "first._row", "first.copies")
+    stays = stored(stays.unionByName(found.filter("n_shingles = 0").select("_id", "_row", "copies")), "stays")
+    single = not stays.filter("copies > 1").limit(1).count()
     goes = stored(found.join(stays, ["_id", "_row"], "left_anti").select(F.col("_id").alias("_go_id"), F.col("_row").alias("_go_row")), "goes")
     id_, row = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), (F.xxhash64(as_text()).bitwiseAND(0x7FFFFFFF)).cast("int")
     kept = docs.join(small(goes), (id_ == F.col("_go_id")) & (row == F.col("_go_row")), "left_anti")
-    return kept if single else kept.dropDuplicates(["doc_id"])
+    return kept if single else kept.withColumn("_text_hash", F.xxhash64(as_text())).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")

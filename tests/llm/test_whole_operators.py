@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from countaxis.llm import kn_quality, toxicity
+from countaxis.llm import jaccard_join, kn_quality, toxicity
 
 
 # Toxicity
@@ -48,3 +48,11 @@ def test_margin_is_chosen_by_both_classes(spark):
     assert kn_quality.chosen_margin(rows([1.12, 1.3, 9.0])) == pytest.approx(1.1)  # 1.5 kept two of three
     assert kn_quality.chosen_margin(rows([])) == kn_quality.chosen_margin(rows([9.0])) == 1.5
     assert kn_quality.chosen_margin(rows([1.01])) == 1.0
+
+
+# Jaccard join
+def test_one_of_each_component_and_not_of_each_id(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (None, text(3)), (4, text(3)), (5, text(3)), (6, text(6)), (6, text(7)), (8, text(8)), (8, text(8)), (9, ""), (10, None), (10, None)]
+    kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((x.doc_id or 0, x.text or "") for x in kept.collect()) == sorted([(0, text(1)), (0, text(2)), (4, text(3)), (6, text(6)), (6, text(7)), (8, text(8)), (9, ""), (10, "")])
