@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,72 +10,130 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countaxis.llm.shared import as_text
+from countaxis.llm.shared import as_text, chunks
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, token_bytes binary"
 #: Strings in the worker's cache of encoded units; once full it takes no more, which changes speed only.
 CACHE_UNITS = 500_000
+#: Characters of text cut at once, and words encoded in one call.
+ENCODE_CHARS, JOINED = 2 << 20, 256
 #: Signs cut off after words.
 SIGNS = ".,!?;:&-'\")"
-_units: dict[str, dict[str, bytes]] = {}
-_models: dict[str, tuple] = {}
 
 
-def _model(path: str):
-    if path not in _models:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(path)
-        model.no_truncation()
-        model.no_padding()
-        special = [x.content for x in model.get_added_tokens_decoder().values()]
-        _models[path], _units[path] = (model, special if splits_at_blanks(model) else None), {}
-    return *_models[path], _units[path]
+class Encoder:
+    """A tokenizer's ids of whole texts, put together from units between blanks that are encoded once and then looked up.
 
+    Nothing is taken for granted of Unicode. A unit is cut before the signs at its end only if the character before them was
+    seen to be parted from signs by this tokenizer; words are encoded many in a call only if they are Latin-1 letters, and
+    only if the call gives as many word ends as words. All other units go to the tokenizer as they are, and so do whole
+    texts if the tokenizer doesn't drop blanks.
+    """
 
-def splits_at_blanks(model) -> bool:
-    """Whether the tokenizer drops white space and case before it forms tokens, and parts letters and signs, so that texts may
-    be encoded blank by blank, in lower case, and words apart from the signs after them."""
-    both = lambda a, b: model.encode(a + b, add_special_tokens=False).ids == model.encode(a, add_special_tokens=False).ids + model.encode(b, add_special_tokens=False).ids
-    lower = all(model.encode(chr(c), add_special_tokens=False).ids == model.encode(chr(c).lower(), add_special_tokens=False).ids for c in range(33, 256))
-    return lower and all(both("word", x) and both("é", x) for x in (*SIGNS, "...", "!?", "'&-")) and not model.encode(" \n ", add_special_tokens=False).ids and all(
-        model.encode(f"{a} {b}", add_special_tokens=False).ids == model.encode(a, add_special_tokens=False).ids + model.encode(b, add_special_tokens=False).ids for a, b in (("a", "b"), ("x'", "s"), ("1", "2"), ("e", "́"), ("?", "!"))
-    )
-
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-def _lower(text: str) -> str:
-    """A Latin-1 text in lower case, where that is what the tokenizer makes of it, so that fewer units differ."""
+        self.model = Tokenizer.from_file(path)
+        self.model.no_truncation()
+        self.model.no_padding()
+        self.units: dict[str, bytes] = {}
+        self.parted: dict[str, bool] = {}
+        self.special = [x.content for x in self.model.get_added_tokens_decoder().values()]
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+        self.blanks = not any(" " in x or "\n" in x for x in self.special) and self._drops_blanks()
+        self.lower = all(self.ids(chr(c)) == self.ids(chr(c).lower()) for c in range(256))
+
+    def ids(self, text: str) -> list[int]:
+        return self.model.encode(text, add_special_tokens=False).ids
+
+    def _drops_blanks(self) -> bool:
+        both = (("a", "b"), ("x'", "s"), ("1", "2"), ("e", "\u0301"), ("?", "!"), (".", "..."), ("\u00e9", "\u0301a"), ("\u1100", "\u1161"))
+        return not self.ids(" \n ") and all(self.ids(f"{a}{blank}{b}") == self.ids(a) + self.ids(b) for a, b in both for blank in (" ", "\n"))
+
+    def stem(self, unit: str) -> str:
+        """The unit without the signs at its end, if the tokenizer parts these from what is before them, else the unit."""
+        core = unit.rstrip(SIGNS)
+        if not core or len(core) == len(unit):
+            return unit
+        last = core[-1]
+        if last not in self.parted:
+            self.parted[last] = last.isalpha() and all(self.ids(last + x) == self.ids(last) + self.ids(x) for x in (*SIGNS, "...", "'&-"))
+        return core if self.parted[last] else unit
+
+    def encoded(self, units: list[str]) -> dict[str, bytes]:
+        """The ids of each of the units."""
+        words, others = [], []
+        for x in units:
+            (words if x.isalpha() and len(x) < 64 and _latin(x) else others).append(x)
+        out: dict[str, bytes] = {}
+        parts = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        for part, found in zip(parts, self.model.encode_batch_fast([" ".join(x) for x in parts], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            edge = np.flatnonzero(self.ends[ids]) + 1
+            if len(edge) != len(part) or (len(edge) and edge[-1] != len(ids)):
+                others += part
+                continue
+            raw, edge = ids.tobytes(), [0, *(4 * edge).tolist()]
+            out.update(zip(part, map(raw.__getitem__, map(slice, edge[:-1], edge[1:])), strict=True))
+        for x, found in zip(others, self.model.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            out[x] = np.array(found.ids, "<u4").tobytes()
+        return out
+
+    def cut(self, text: str) -> list[str]:
+        if self.lower and _latin(text):
+            text = text.lower()  # what the tokenizer makes of it, so that fewer units differ
+        return text.replace("\n", " ").split(" ")
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian 32-bit values."""
+        if not self.blanks:
+            return [np.array(self.ids(x), "<u4").tobytes() for x in texts]
+        out, low = [], 0
+        while low < len(texts):
+            high, size = low, 0
+            while high < len(texts) and (high == low or size < ENCODE_CHARS):
+                size += len(texts[high])
+                high += 1
+            out += self._some([self.cut(x) for x in texts[low:high]])
+            low = high
+        return out
+
+    def _some(self, cut: list[list[str]]) -> list[bytes]:
+        units = self.units
+        found = [list(map(units.get, parts)) for parts in cut]
+        missing = {parts[i] for parts, have in zip(cut, found, strict=True) if None in have for i, x in enumerate(have) if x is None}
+        if missing:
+            stems = {x: self.stem(x) for x in missing}
+            need = {*stems.values(), *(x[len(stem) :] for x, stem in stems.items())}
+            rest = self.encoded([x for x in need if x not in units])
+            get = lambda x: rest[x] if x in rest else units[x]
+            new = {x: get(stem) + get(x[len(stem) :]) if len(stem) < len(x) else get(x) for x, stem in stems.items()}
+            if len(units) < CACHE_UNITS:
+                units.update(rest)
+                units.update(new)
+            found = [[new[x] if y is None else y for x, y in zip(parts, have, strict=True)] if None in have else have for parts, have in zip(cut, found, strict=True)]
+        return list(map(b"".join, found))
+
+
+def _latin(text: str) -> bool:
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
-        return text
-    return text.lower()
+        return False
+    return True
+
+
+_encoders: dict[str, Encoder] = {}
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
-    """Each text's ids as little-endian 32-bit values. Units between blanks are encoded once a worker and then looked up."""
-    model, special, units = _model(path)
-    cut = [None if special is None or any(x in t for x in special) else _lower(t).replace("\n", " ").split(" ") for t in texts]
-    found = [parts and list(map(units.get, parts)) for parts in cut]
-    missing = {parts[i] for parts, have in zip(cut, found, strict=True) if parts and None in have for i, x in enumerate(have) if x is None}
-    halves = {x: (core, x[len(core) :]) for x in missing if (core := x.rstrip(SIGNS)).isalpha()}  # signs form tokens of their own
-    new = list({y for x in missing for y in halves.get(x, (x,)) if y not in units})
-    rest = {x: array("I", y.ids).tobytes() for x, y in zip(new, model.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-    for x, (core, tail) in halves.items():
-        if tail:
-            rest[x] = (rest[core] if core in rest else units[core]) + (rest[tail] if tail in rest else units[tail])
-    if len(units) < CACHE_UNITS:
-        units.update(rest)
-    out: list[bytes] = []
-    for text, parts, have in zip(texts, cut, found, strict=True):
-        if parts is None:
-            out.append(array("I", model.encode(text, add_special_tokens=False).ids).tobytes())
-        elif None in have:
-            out.append(b"".join([rest[x] if y is None else y for x, y in zip(parts, have, strict=True)]))
-        else:
-            out.append(b"".join(have))
-    return out
+    """Each text's ids as little-endian 32-bit values; the encoder is kept for the worker's life."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path].encode(texts)
 
 
 def binary_lengths(n: int, most: int) -> list[int]:
@@ -88,17 +145,16 @@ def binary_lengths(n: int, most: int) -> list[int]:
 def _pieces(path: str, end_id: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                rows: list[tuple] = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist(), path), strict=True):
-                    ids, at = ids + end, 0
-                    total = len(ids) // 4
-                    for length in binary_lengths(total, most):
-                        rows.append((doc_id, at, length, total, ids[4 * at : 4 * (at + length)]))
-                        at += length
-                columns = list(zip(*rows, strict=True))
+        for batch, _, _ in chunks(batches, "text", ENCODE_CHARS):
+            buckets: dict[int, list[tuple]] = {}
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist(), path), strict=True):
+                ids, at = ids + end, 0
+                total = len(ids) // 4
+                for length in binary_lengths(total, most):
+                    buckets.setdefault(length, []).append((doc_id, at, length, total, ids[4 * at : 4 * (at + length)]))
+                    at += length
+            for length in sorted(buckets):  # equal lengths together
+                columns = list(zip(*buckets.pop(length), strict=True))
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns[:4]), pa.array(columns[4], pa.binary())], ["doc_id", "start", "length", "doc_tokens", "token_bytes"])
 
     return run
@@ -106,19 +162,21 @@ def _pieces(path: str, end_id: int, most: int):
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, most: int = 2048) -> DataFrame:
     """Sequences of ``docs`` (doc_id, text; others ignored), one row for each: doc_id, start, length, doc_tokens, token_bytes
-    (the ids, little-endian 32 bits), sequence_id, offset (0).
+    (the ids, little-endian 32 bits), sequence_id, offset (0), bucket (the binary logarithm of length).
 
     A document is its ids and ``end_id``; it is cut, largest piece first, into powers of two of at most ``most`` ids.
     Each piece is a sequence: its bucket is its length, all sequences of a bucket have equal lengths, and none needs
-    padding or crosses documents. Null and empty texts are the end id alone. A null doc_id stays null, repeated rows are
-    packed each on its own, an empty table gives no rows. No row leaves its task: there is no shuffle to be skewed.
+    padding or crosses documents. A task puts out the sequences of some MB of text bucket by bucket; write_buckets() makes
+    a folder of each bucket. Null and empty texts are the end id alone. A null doc_id stays null, repeated rows are
+    packed each on its own, columns beside doc_id and text don't matter, an empty table gives no rows. No row leaves its
+    task: there is no shuffle to be skewed.
     """
     if most < 1 or most & (most - 1):
         raise ValueError("the longest sequence must be a power of two")
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_text().alias("text")).mapInArrow(_pieces(tokenizer_path, end_id, most), PIECES)
-    return pieces.select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return pieces.select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.log2("length").cast("int").alias("bucket"))
 
 
 def write_buckets(sequences: DataFrame, path: str) -> None:
     """Write sequences bucket by bucket: one folder for each length, so a reader gets batches of equal shape."""
-    sequences.withColumn("bucket", F.col("length")).write.partitionBy("bucket").parquet(path)
+    sequences.write.partitionBy("bucket").parquet(path)

@@ -69,7 +69,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_columns(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "start", "length", F.crc32("token_bytes").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("token_bytes").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
