@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countaxis.llm.shared import LOWER, NOT_SPACE, as_text, chunks, freed, mixed, prefix_hash, span_hash, stored, word_spans, tidy
+from countaxis.llm.shared import LOWER, NOT_SPACE, as_text, chunks, freed, mixed, span_hash, stored, word_spans, tidy
 from countaxis.llm.suffix_dedup import ROWS, _kinds, packed, rows_of, split_by, unpacked
 
 SEQUENCES, WORDS, COUNTS, TOP, VOCABULARY, ONCE, TWICE, TOKENS, BIGRAMS, VOTES, CLASSES = range(11)
@@ -79,7 +79,7 @@ def _cut(shards: int):
             data = LOWER[data]
             starts, ends, row = word_spans(data, offsets, NOT_SPACE)
             n = np.bincount(row, minlength=batch.num_rows) if len(starts) else np.zeros(batch.num_rows, np.int64)
-            words, place = np.unique(span_hash(prefix_hash(data), starts, ends) if len(starts) else np.zeros(0, np.uint64), return_inverse=True)
+            words, place = np.unique(span_hash(data, starts, ends), return_inverse=True)
             shard = (mixed(words) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             number = np.empty(len(order), np.int64)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countaxis.llm.shared import ALNUM, LOWER, as_text, chunks, mark, prefix_hash, span_hash, word_spans
+from countaxis.llm.shared import ALNUM, LOWER, as_text, chunks, mark, span_hash, word_spans
 
 #: Bytes of benchmark text broadcast at once; a larger benchmark is searched block by block.
 BLOCK_BYTES = 8 << 20
@@ -30,7 +30,7 @@ class Windows:
         data = LOWER[np.frombuffer(b"".join(t for _, t in texts), np.uint8)]
         offsets = np.concatenate(([0], np.cumsum([len(t) for _, t in texts]))).astype(np.int64)
         starts, ends, item = word_spans(data, offsets, ALNUM)
-        hashes = span_hash(prefix_hash(data), starts, ends) if len(data) else np.zeros(0, np.uint64)
+        hashes = span_hash(data, starts, ends)
         self.vocabulary, ids = np.unique(hashes, return_inverse=True)
         ids = ids + 1
         #: By window length: windows as rows of word ids, and for each (item, place) the row.
@@ -111,7 +111,7 @@ def _scan(block):
             n_words = np.bincount(doc, minlength=batch.num_rows) if n else np.zeros(batch.num_rows, np.int64)
             hit, items, longest = np.zeros(n, bool), defaultdict(set), {}
             if n and len(windows.vocabulary):
-                hashes = span_hash(prefix_hash(data), starts, ends)
+                hashes = span_hash(data, starts, ends)
                 at = np.minimum(np.searchsorted(windows.vocabulary, hashes), len(windows.vocabulary) - 1)
                 ids = np.where(windows.vocabulary[at] == hashes, at + 1, 0)
                 room = np.cumsum(n_words)[doc] - np.arange(n)
@@ -207,7 +207,7 @@ def _keep(block, columns: list[str]):
             starts, ends, doc = word_spans(data, offsets, ALNUM)
             clean = np.ones(batch.num_rows, bool)
             if len(starts) and len(windows.vocabulary):
-                hashes = span_hash(prefix_hash(data), starts, ends)
+                hashes = span_hash(data, starts, ends)
                 at = np.minimum(np.searchsorted(windows.vocabulary, hashes), len(windows.vocabulary) - 1)
                 ids = np.where(windows.vocabulary[at] == hashes, at + 1, 0)
                 room = np.cumsum(np.bincount(doc, minlength=batch.num_rows))[doc] - np.arange(len(starts))

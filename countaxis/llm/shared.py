@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -160,28 +161,6 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-#: Odd multipliers of the polynomial hashes (any odd numbers do; both sides of a comparison use the same).
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_powers: dict[tuple[int, bool], np.ndarray] = {}
-
-
-def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64, or of its inverse; kept for the next chunk."""
-    have = _powers.get((base, inverse))
-    if have is None or len(have) < n:
-        step = np.full(max(n, CHUNK_BYTES + (CHUNK_BYTES >> 2)), pow(base, -1, 1 << 64) if inverse else base, np.uint64)
-        step[0] = 1
-        have = _powers[(base, inverse)] = np.multiply.accumulate(step)
-    return have[:n]
-
-
-def prefix_hash(data: np.ndarray, which: int = 0) -> np.ndarray:
-    """Running polynomial sums, from which span_hash() takes the hash of any span."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASES[which], len(data)), out=sums[1:])
-    return sums
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (an invertible map)."""
     x = x ^ (x >> np.uint64(32))
@@ -192,18 +171,35 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hashes of spans' bytes that depend on nothing else."""
-    back = powers(_BASES[which], len(sums), inverse=True)
-    return mixed((sums[ends] - sums[starts]) * back[starts] + np.uint64(0x632BE59BD9B4E019) * (ends - starts).astype(np.uint64))
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 512
 
 
-def text_hash(texts: list[bytes]) -> np.ndarray:
-    """span_hash() of whole byte strings."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    offsets = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum([len(t) for t in texts], out=offsets[1:])
-    return span_hash(prefix_hash(data), offsets[:-1], offsets[1:])
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of spans' bytes that depend on nothing else (and on ``seed``: two seeds give 128 bits). Eight bytes after
+    another are mixed in, spans side by side; nothing in it is linear in the bytes, so there are no families of texts that
+    collide."""
+    starts, size = np.asarray(starts, np.int64), np.asarray(ends, np.int64) - np.asarray(starts, np.int64)
+    out = mixed(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019 + seed))
+    if not len(starts):
+        return out
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    at = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    done = 0
+    while len(at):
+        left = size[at] - done
+        block = eight[starts[at] + done]
+        part = left < 8
+        if part.any():
+            block[part] &= (np.uint64(1) << (left[part].astype(np.uint64) << np.uint64(3))) - np.uint64(1)
+        out[at] = mixed(out[at] ^ block)
+        at = at[left > 8]
+        done += 8
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        found = hashlib.blake2b(data[starts[i] : starts[i] + size[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little"))
+        out[i] = int.from_bytes(found.digest(), "little")
+    return out
 
 
 def byte_table(*ranges: tuple[int, int]) -> np.ndarray:

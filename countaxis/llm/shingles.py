@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from countaxis.llm.shared import LOWER, NOT_SPACE, mixed, prefix_hash, span_hash, word_spans
+from countaxis.llm.shared import LOWER, NOT_SPACE, mixed, span_hash, word_spans
 
 _STEP = np.uint64(0xA0761D6478BD642F)
 
@@ -20,7 +20,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple
     starts, ends, row = word_spans(data, offsets, NOT_SPACE)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
-    words = span_hash(prefix_hash(data), starts, ends)
+    words = span_hash(data, starts, ends)
     counts = np.bincount(row, minlength=rows)
     out, owner = [], []
     if len(words) >= width:

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countaxis.llm.shared import CHUNK_BYTES, as_text, column_bytes, mark, mixed, prefix_hash, ragged, released, span_hash, stored, tidy
+from countaxis.llm.shared import CHUNK_BYTES, as_text, column_bytes, mark, mixed, ragged, released, span_hash, stored, tidy
 
 #: Bytes of the gram that anchors a window.
 GRAM = 20
@@ -161,12 +161,11 @@ def _hash_segments(length: int, shards: int, groups: int):
                 first, count, anchor, text = segments_of(data, offsets, length)
                 if not len(first):
                     continue
-                sums = prefix_hash(data)
                 found = np.empty(len(first), HASHED)
                 found["id"], found["row"], found["start"] = ids[row[text]], tags[row[text]], first - offsets[text] + base[text]
                 found["count"], found["anchor"] = count, anchor - first
-                found["gram"] = span_hash(sums, anchor, anchor + GRAM)
-                found["content"] = span_hash(sums, first, first + count + length - 1)
+                found["gram"] = span_hash(data, anchor, anchor + GRAM)
+                found["content"] = span_hash(data, first, first + count + length - 1)
                 kept, repeats = collapsed(found)
                 rows = [(s, HASHES, packed(kept[members])) for s, members in split_by((kept["gram"] % np.uint64(shards)).astype(np.int64))]
                 # Repeats go with the same shuffle, dealt by their documents, to the shards' tasks, which pass them on.
@@ -259,8 +258,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     smaller = np.flatnonzero(step[decides] < 0)
     words = words_at(text)
     # Suffixes that agree in all ``depth`` bytes are sorted as one.
-    sums = prefix_hash(text)
-    same = span_hash(sums, smaller, np.minimum(smaller + depth, n))
+    same = span_hash(text, smaller, np.minimum(smaller + depth, n))
     _, first, inverse = np.unique(same, return_index=True, return_inverse=True)
     chosen = smaller[first]
     order = np.argsort(words[chosen], kind="stable")
