@@ -77,6 +77,28 @@ def small(frame: DataFrame) -> DataFrame:
     return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
 
 
+#: Rows of one key that make it hot, and how many hot keys there may be at most: a key is hot from the greater of HOT_ROWS and
+#: rows / HOT_KEYS rows on, so that hot keys can be broadcast at any size.
+HOT_ROWS, HOT_KEYS = 1000, 100_000
+
+
+def hot_keys(left: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """The keys that very many of the ``rows`` rows of ``left`` share, HOT_KEYS at most; summed before they are shuffled."""
+    return stored(left.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > max(HOT_ROWS, rows // HOT_KEYS)).select(*keys), "hot-keys")
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], rows: int, right_rows: int | None = None, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """``left`` (at most ``rows`` rows) joined with ``right``, in which each key is once (at most ``right_rows`` rows, by default
+    rows); keys aren't null. A right side that is counted to be small is broadcast. Else rows of hot keys stay where they
+    are and meet the few rows of right by broadcast; the others meet by a shuffle."""
+    if (rows if right_rows is None else right_rows) <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), keys, how)
+    hot = hot_keys(left, keys, rows) if hot is None else hot
+    few = F.broadcast(hot)
+    apart = left.join(few, keys, "left_semi").join(F.broadcast(right.join(few, keys, "left_semi")), keys, how)
+    return apart.unionByName(left.join(few, keys, "left_anti").join(right, keys, how))
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a scratch path through Spark's own file system, so it works on any store."""
     jvm = spark.sparkContext._jvm
