@@ -24,17 +24,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset and Spark is
+    local (tests); a cluster must name one."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="countaxis-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+_folders: dict[tuple[str, str], str] = {}
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other run uses. All paths of an application lie in one folder of it, which goes when
+    the application ends; results that are still to be computed may read them until then."""
+    key = shared_dir(spark), spark.sparkContext.applicationId
+    if key not in _folders:
+        _folders[key] = f"{key[0]}/countaxis-{uuid.uuid4().hex}"
+        at, system = _on_store(spark, _folders[key])
+        system.mkdirs(at)
+        system.deleteOnExit(at)
+    return f"{_folders[key]}/{what}-{uuid.uuid4().hex}"
+
+
+def _on_store(spark: SparkSession, path: str):
+    """A path and its file system as Spark's own objects, so it works on any store."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
@@ -47,7 +66,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     df.write.parquet(path)
     freed(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    _stored_at[id(out)] = (out, path)
+    out._stored_path = path
     return out
 
 
@@ -57,13 +76,10 @@ def freed(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-_stored_at: dict[int, tuple[DataFrame, str]] = {}
-
-
 def forget(*frames: DataFrame) -> None:
     """Delete what stored() wrote for ``frames``, once all that reads it is stored itself."""
     for frame in frames:
-        _, path = _stored_at.pop(id(frame), (None, None))
+        path = getattr(frame, "_stored_path", None)
         if path:
             removed(frame.sparkSession, path)
 
@@ -88,10 +104,10 @@ def hot_keys(left: DataFrame, keys: list[str], rows: int) -> DataFrame:
 
 
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], rows: int, right_rows: int | None = None, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
-    """``left`` (at most ``rows`` rows) joined with ``right``, in which each key is once (at most ``right_rows`` rows, by default
-    rows); keys aren't null. A right side that is counted to be small is broadcast. Else rows of hot keys stay where they
-    are and meet the few rows of right by broadcast; the others meet by a shuffle."""
-    if (rows if right_rows is None else right_rows) <= BROADCAST_ROWS:
+    """``left`` (at most ``rows`` rows) joined with ``right``, in which each key is once; keys aren't null. A right side that is
+    known to be small (``right_rows``) is broadcast. Else rows of hot keys stay where they are and meet the few rows of right
+    by broadcast; the others meet by a shuffle."""
+    if right_rows is not None and right_rows <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), keys, how)
     hot = hot_keys(left, keys, rows) if hot is None else hot
     few = F.broadcast(hot)
@@ -100,10 +116,9 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], rows: int, rig
 
 
 def removed(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path through Spark's own file system, so it works on any store."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    """Delete a scratch path."""
+    at, system = _on_store(spark, path)
+    system.delete(at, True)
 
 
 def released() -> None:
@@ -130,6 +145,18 @@ def as_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def free_names(names: list[str], taken: list[str]) -> list[str]:
+    """``names``, with underscores behind those that ``taken`` columns have, whatever their case."""
+    have = {x.lower() for x in taken}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def remainder(column: str, n: int) -> Column:
     """crc32 of an id written as text, modulo n; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countaxis.llm.shared import as_text, removed, scratch
+from countaxis.llm.shared import HOT_KEYS, HOT_ROWS, as_text, removed, scratch, skew_join, stored
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
 #: Bytes of text given to the tokenizer at once.
@@ -76,7 +76,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     is encoded once, in the row of the smallest doc_id that has it, and appended to the cache before it is read again.
     Without a path a fresh cache in the shared folder is used. Null and empty texts count 0 bytes and 0 tokens; a null
     doc_id stays null; repeated rows give repeated results; an empty table gives an empty result. Texts are whole: the
-    tokenizer neither truncates nor pads, adds no special tokens and treats special strings as its default does.
+    tokenizer neither truncates nor pads, adds no special tokens and treats special strings as its default does. Other
+    columns don't matter, whatever their names. Rows of a content with very many copies aren't gathered in one task.
     """
     spark = docs.sparkSession
     fresh = cache_path is None
@@ -93,14 +94,17 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     if fresh:
         spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     # The smallest doc_id stands for its content: small rows, summed before the shuffle, however many copies there are.
-    first = keyed.groupBy("content_digest").agg(F.min("doc_id").alias("first_id"))
+    first = stored(keyed.groupBy("content_digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "token-digests")
+    rows = first.agg(F.sum("copies")).head()[0] or 0
+    hot = first.filter(F.col("copies") > max(HOT_ROWS, rows // HOT_KEYS)).select("content_digest")
     misses = first if fresh else first.join(cached(), "content_digest", "left_anti")
     misses = misses.select(F.col("content_digest").alias("_digest"), F.col("first_id").alias("_id"))
     todo = keyed.join(misses, (keyed.content_digest == misses._digest) & keyed.doc_id.eqNullSafe(misses._id), "left_semi")
     counted = todo.select("content_digest", "text").mapInArrow(_encode(tokenizer_path), "content_digest binary, n_tokens long")
     counted = counted.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))  # rows that repeat id and text: one entry
     counted.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache_path)
-    return keyed.drop("text").join(cached(), "content_digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counts = skew_join(keyed.drop("text"), cached(), ["content_digest"], rows, hot=hot)
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def drop_cache(spark, cache_path: str) -> None:

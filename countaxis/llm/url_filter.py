@@ -75,7 +75,7 @@ def borrowed_rates(tree: DataFrame, depth: int, strength: float, rows: int) -> D
         level = F.explode(F.sequence(F.lit(1), F.least(F.lit(depth + 1), F.size("segments")))).alias("level")
         parts = frame.select(*keys, "segments", "blocked", "labelled", level).withColumn("prefix", F.slice("segments", F.lit(1), F.col("level")))
         seen = parts.groupBy(*keys, "level", "prefix").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
-        joined = skew_join(parts.select(*keys, "segments", "level", "prefix"), seen, [*keys, "level", "prefix"], rows * (depth + 1))
+        joined = skew_join(parts.select(*keys, "segments", "level", "prefix"), seen, [*keys, "level", "prefix"], rows * (depth + 1), rows * (depth + 1))
         return joined.groupBy(*keys, "segments").agg(F.array_sort(F.collect_list(F.struct("level", "b", "l"))).alias("path"))
 
     def whole(rates: Column) -> Column:
@@ -83,7 +83,7 @@ def borrowed_rates(tree: DataFrame, depth: int, strength: float, rows: int) -> D
 
     step = lambda have, x: F.concat(have, F.array((x["b"] + strength * F.element_at(have, -1)) / (x["l"] + strength)))
     over_all = sums(shapes, []).select("segments", F.aggregate("path", F.array(F.lit(root)), step).alias("all_rates"))
-    own = skew_join(sums(domains, ["domain"]), over_all, ["segments"], rows)
+    own = skew_join(sums(domains, ["domain"]), over_all, ["segments"], rows, rows)
     smoothed = F.transform("path", lambda x: (x["b"] + strength * F.element_at("all_rates", x["level"] + 1)) / (x["l"] + strength))
     return own.select("domain", "segments", whole(F.concat(F.array(F.lit(root)), smoothed)).alias("rates"))
 
@@ -114,7 +114,7 @@ def judge(pages: DataFrame, rules: list[Rule], depth: int = 4, least_share: floa
     rows, urls = tree.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).head()
     busy = tree.filter(F.col("n") > max(HOT_ROWS, urls // HOT_KEYS)).select("host", "segments")  # by the sums that are there
     rates = borrowed_rates(tree, depth, strength, rows)
-    tree = skew_join(tree.withColumn("domain", domain_of(F.col("host"))), rates, ["domain", "segments"], rows).drop("domain")
+    tree = skew_join(tree.withColumn("domain", domain_of(F.col("host"))), rates, ["domain", "segments"], rows, rows).drop("domain")
     tree = stored(tree.withColumn("template", F.lit("")), "url-tree")
     for level in range(depth):
         tree = tree.withColumn("segment", F.coalesce(F.try_element_at("segments", F.lit(level + 1)), F.lit("")))
@@ -127,16 +127,16 @@ def judge(pages: DataFrame, rules: list[Rule], depth: int = 4, least_share: floa
         pooled = F.col("all_b") / F.col("all_l")
         differs = (F.col("branches") == 1) | (F.abs(b1 / l1 - b2 / l2) > z * F.sqrt(pooled * (1 - pooled) * (1 / l1 + 1 / l2)))
         # At most 1 / least_share branches of a parent stay.
-        stays = skew_join(branches, parents, ["host", "template"], rows).filter(F.col("n") >= least_share * F.col("all_n"))
+        stays = skew_join(branches, parents, ["host", "template"], rows, rows).filter(F.col("n") >= least_share * F.col("all_n"))
         stays = stays.select("host", "template", "segment", F.when(differs, F.lit("literal")).otherwise(F.lit("~")).alias("kind"))
-        tree = skew_join(tree, stays, ["host", "template", "segment"], rows, how="left")
+        tree = skew_join(tree, stays, ["host", "template", "segment"], rows, rows, "left")
         named = F.concat("template", F.lit("/"), F.when(F.col("kind") == "literal", F.col("segment")).otherwise(F.coalesce("kind", F.lit("*"))))
         tree = tree.withColumn("template", F.when(F.size("segments") > level, named).otherwise(F.col("template"))).drop("kind", "segment")
         tree = stored(tree, "url-tree")  # each level is read several times: small rows, and no lineage to run again
     known = F.sum("labelled")
     like = F.sum(F.col("n") * F.element_at("rates", -1)) / F.sum("n")
     templates = tree.groupBy("host", "template").agg(F.round((F.sum("blocked") + strength * like) / (known + strength), 9).alias("block_rate"))
-    by_path = skew_join(tree.select("host", "segments", "template"), templates, ["host", "template"], rows)
+    by_path = skew_join(tree.select("host", "segments", "template"), templates, ["host", "template"], rows, rows)
     judged = skew_join(ruled, by_path, ["host", "segments"], urls, rows, hot=busy)
     verdict = F.coalesce("ruled", F.when(F.col("block_rate") >= purity, F.lit("block")).otherwise(F.lit("allow")))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "block_rate")
