@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from countaxis.llm.components import components
-from countaxis.llm.shared import as_text, column_bytes, forget, mixed, small, stored, tidy
+from countaxis.llm.shared import BROADCAST_ROWS, HOT_KEYS, HOT_ROWS, as_text, column_bytes, forget, free_names, mixed, skew_join, small, stored, tidy
 from countaxis.llm.shingles import shingle_sets
 from countaxis.llm.suffix_dedup import NO_ID, ROWS, _deal, _kinds, documents, packed, rows_of, split_by, unpacked
 
@@ -31,7 +31,7 @@ TEXTS, SHINGLES, CODES, DOCUMENTS, SETS, ENTRIES = range(6)
 KEYS = ("_id", "_row", "_bytes")
 COUNTED = np.dtype([("gap", "<u8"), ("count", "<u4")])
 CODE = np.dtype([("code", "<u1")])
-DOCUMENT = np.dtype([("id", "<i8"), ("row", "<i4"), ("set", "<i8"), ("n", "<i8")])
+DOCUMENT = np.dtype([("id", "<i8"), ("row", "<i8"), ("set", "<i8"), ("n", "<i8")])
 ENTRY = np.dtype([("shingle", "<u8"), ("set", "<i8"), ("n", "<i8")])
 #: Sets searched together at most; a list of more is cut into blocks, and all pairs of blocks are searched.
 BLOCK = 2048
@@ -369,7 +369,7 @@ def shingle_documents(docs: DataFrame, width: int = 5, percent: int = 75, block:
     is the smallest doc_id that links lead to (null for a component of null ids only), root the same number for all of a
     component and no other. An empty table gives no rows.
     """
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), (F.xxhash64(as_text()).bitwiseAND(0x7FFFFFFF)).cast("int").alias("_row"), as_text().alias("_bytes"))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(as_text()).alias("_row"), as_text().alias("_bytes"))
     groups = 8 * max(8, docs.rdd.getNumPartitions())
     shards = groups // 4  # fewer, so that a group's hashes for a shard lie close and take few bits
     schema = to_arrow_schema(keyed.schema)
@@ -381,7 +381,7 @@ def shingle_documents(docs: DataFrame, width: int = 5, percent: int = 75, block:
     found = stored(texts.unionByName(codes).groupBy("grp").applyInArrow(_prefixes(schema, width, shards, bits, percent), ROWS), "shingle-sets")
 
     forget(codes)
-    documents_ = stored(found.filter(F.col("kind") == DOCUMENTS).select("blob").mapInArrow(_document_rows, "_id long, _row int, set long, n_shingles long"), "documents")
+    documents_ = stored(found.filter(F.col("kind") == DOCUMENTS).select("blob").mapInArrow(_document_rows, "_id long, _row long, set long, n_shingles long"), "documents")
     sets = found.filter(F.col("kind") == SETS).select("blob").mapInArrow(_set_rows, "set long, n long, unshared long, signature binary, shingles binary").dropDuplicates(["set"])
     sets = stored(sets, "linkable-sets")
     lists = found.filter(F.col("kind") == ENTRIES).groupBy("grp").applyInArrow(_lists(percent), "list long, sets array<long>")
@@ -389,10 +389,11 @@ def shingle_documents(docs: DataFrame, width: int = 5, percent: int = 75, block:
     forget(found)
 
     # Around each list's smallest set first: what is copied often is connected by few comparisons.
-    stars = lists.select(F.element_at("sets", 1).alias("hub"), F.explode("sets").alias("set")).distinct()
-    sizes = stars.groupBy("hub").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    dealt = stars.join(sizes, "hub").withColumn("part", F.when(F.col("hub") == F.col("set"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("set"), blocks).cast("int"))))
+    stars = stored(lists.select(F.element_at("sets", 1).alias("hub"), F.explode("sets").alias("set")).distinct(), "stars")
+    sizes = stars.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("n")).filter("n > 1")  # few, and mostly none
+    dealt = stars.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "hub", "left")
+    blocks = F.coalesce("n", F.lit(1))
+    dealt = dealt.withColumn("part", F.when(F.col("hub") == F.col("set"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("set"), blocks).cast("int"))))
     dealt = dealt.select("hub", "set", F.explode("part").alias("part")).select(F.xxhash64("hub", "part").alias("grp"), "set")
     near = stored(_links(dealt, sets, None, percent), "links")
     roots = components(near)
@@ -405,9 +406,13 @@ def shingle_documents(docs: DataFrame, width: int = 5, percent: int = 75, block:
 
     classed = documents_.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     classed = stored(classed.groupBy("_id", "_row", "root", "n_shingles").agg(F.count("*").alias("copies")), "classes")
-    forget(documents_, sets, lists, near, more)
-    least = classed.filter("n_shingles > 0").groupBy("root").agg(F.min(F.when(F.col("_id") > NO_ID, F.col("_id"))).alias("least"))
-    return classed.join(least, "root", "left").select("_id", "_row", "root", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.when(F.col("_id") > NO_ID, F.col("_id"))).alias("component_id"), "copies")
+    forget(documents_, sets, lists, stars, near, more)
+    some = classed.filter("n_shingles > 0")
+    least = stored(some.groupBy("root").agg(F.min(F.when(F.col("_id") > NO_ID, F.col("_id"))).alias("least"), F.count("*").alias("n")), "least")
+    rows = classed.count()
+    hot = least.filter(F.col("n") > max(HOT_ROWS, rows // HOT_KEYS)).select("root")
+    named = skew_join(classed, least.drop("n"), ["root"], rows, how="left", hot=hot)
+    return named.select("_id", "_row", "root", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.when(F.col("_id") > NO_ID, F.col("_id"))).alias("component_id"), "copies")
 
 
 def _document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -444,7 +449,8 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame
     stays = found.filter("n_shingles > 0").groupBy("root").agg(first).select("first._id", "first._row", "first.copies")
     stays = stored(stays.unionByName(found.filter("n_shingles = 0").select("_id", "_row", "copies")), "stays")
     single = not stays.filter("copies > 1").limit(1).count()
-    goes = stored(found.join(stays, ["_id", "_row"], "left_anti").select(F.col("_id").alias("_go_id"), F.col("_row").alias("_go_row")), "goes")
-    id_, row = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), (F.xxhash64(as_text()).bitwiseAND(0x7FFFFFFF)).cast("int")
-    kept = docs.join(small(goes), (id_ == F.col("_go_id")) & (row == F.col("_go_row")), "left_anti")
-    return kept if single else kept.withColumn("_text_hash", F.xxhash64(as_text())).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    go_id, go_row, hashed = free_names(["_go_id", "_go_row", "_text_hash"], docs.columns)
+    goes = stored(found.join(stays, ["_id", "_row"], "left_anti").select(F.col("_id").alias(go_id), F.col("_row").alias(go_row)), "goes")
+    id_, row = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), F.xxhash64(as_text())
+    kept = docs.join(small(goes), (id_ == F.col(go_id)) & (row == F.col(go_row)), "left_anti")
+    return kept if single else kept.withColumn(hashed, F.xxhash64(as_text())).dropDuplicates(["doc_id", hashed]).drop(hashed)

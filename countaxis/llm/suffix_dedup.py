@@ -3,8 +3,8 @@
 Every 100-byte window picks an anchor, its 20-byte gram with the smallest hash, from its own bytes alone; so all places
 of equal windows pick the same gram, and shards are sets of grams. A segment is a run of windows with one anchor, with
 the bytes they cover. Equal segments are one (the earliest stands for them), first in the task that reads the texts, so
-a passage that is in a third of all documents leaves a task once. In each shard, segments whose gram is in some other
-segment are concatenated, and a suffix array over them is built by two-stage sorting: suffixes smaller than their
+a passage that is in a third of all documents leaves a task twice: two of each class of equal segments take part, further
+ones share the fate of the second. In each shard, segments whose gram is in some other segment are concatenated, and a suffix array over them is built by two-stage sorting: suffixes smaller than their
 successors are sorted directly, the others are induced by scanning the buckets of first bytes. Runs of neighbours with
 a common prefix of 100 bytes are the equal windows; all but the earliest of a run are repeats.
 """
@@ -19,14 +19,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countaxis.llm.shared import CHUNK_BYTES, as_text, column_bytes, mark, mixed, ragged, released, span_hash, stored, tidy
+from countaxis.llm.shared import CHUNK_BYTES, as_text, column_bytes, free_names, mark, mixed, ragged, released, span_hash, stored, tidy
 
 #: Bytes of the gram that anchors a window.
 GRAM = 20
 POSITION_BITS = 23
 _POWER = {k: np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2, 4, 8, 16)}
 #: A place in a document: its id and row tag, and windows from start on. row: a hash of the text, which tells rows of one id apart.
-PLACE = [("id", "<i8"), ("row", "<i4"), ("start", "<u4"), ("count", "<u4")]
+PLACE = [("id", "<i8"), ("row", "<i8"), ("start", "<u4"), ("count", "<u4")]
 REPEAT = np.dtype(PLACE)
 SEGMENT = np.dtype([*PLACE, ("anchor", "<u2")])
 HASHED = np.dtype([*SEGMENT.descr, ("gram", "<u8"), ("content", "<u8")])
@@ -34,6 +34,8 @@ ROWS = "grp long, kind int, blob binary"
 ROW_SCHEMA = pa.schema([("grp", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
 TEXTS, HASHES, REPEATS, CANDIDATES, SEGMENTS = range(5)
 NO_ID = -(1 << 63)
+#: The columns that remove_repeats() adds.
+FOUND = ["_n_bytes", "_n_removed", "_spans", "_kept"]
 
 
 def gram_keys(data: np.ndarray) -> np.ndarray:
@@ -108,13 +110,14 @@ def split_by(groups: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(groups[members[0]]), members
 
 
-def group_of(ids: np.ndarray, groups: int) -> np.ndarray:
-    """The group of documents that an id is in, as text_rows() deals them."""
-    return (mixed(ids.astype(np.int64).view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+def group_of(ids: np.ndarray, tags: np.ndarray, groups: int) -> np.ndarray:
+    """The group of documents that a row is dealt to: by its id, or without one by the hash of its text."""
+    keys = np.where(ids == NO_ID, tags, ids).astype(np.int64)
+    return (mixed(keys.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
 
 
 def repeat_rows(repeats: np.ndarray, groups: int) -> Iterator[tuple[int, int, bytes]]:
-    for g, members in split_by(group_of(repeats["id"], groups)):
+    for g, members in split_by(group_of(repeats["id"], repeats["row"], groups)):
         yield g, REPEATS, packed(repeats[members])
 
 
@@ -127,11 +130,15 @@ def same_place(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def collapsed(segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The earliest of each class of equal segments, and the others (but those that are the earliest once more)."""
+    """The two earliest of each class of equal segments, and the others. Segments of one place (of repeated rows) are one."""
     segments = segments[earliest_first(segments, "gram", "content")]
-    new = np.concatenate(([True], (segments["gram"][1:] != segments["gram"][:-1]) | (segments["content"][1:] != segments["content"][:-1])))[: len(segments)]
-    first = segments[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(segments) else segments
-    return segments[new], segments[~new & ~same_place(segments, first)]
+    if not len(segments):
+        return segments, segments
+    new = np.concatenate(([True], (segments["gram"][1:] != segments["gram"][:-1]) | (segments["content"][1:] != segments["content"][:-1])))
+    once = new | np.concatenate(([True], ~same_place(segments[1:], segments[:-1])))
+    segments, new = segments[once], new[once]
+    rank = np.arange(len(new)) - np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    return segments[rank < 2], segments[rank >= 2]
 
 
 def pieces(column: pa.Array, most: int, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -169,7 +176,7 @@ def _hash_segments(length: int, shards: int, groups: int):
                 kept, repeats = collapsed(found)
                 rows = [(s, HASHES, packed(kept[members])) for s, members in split_by((kept["gram"] % np.uint64(shards)).astype(np.int64))]
                 # Repeats go with the same shuffle, dealt by their documents, to the shards' tasks, which pass them on.
-                rows += [(g % shards, REPEATS, packed(repeats[members])) for g, members in split_by(group_of(repeats["id"], groups))]
+                rows += [(g % shards, REPEATS, packed(repeats[members])) for g, members in split_by(group_of(repeats["id"], repeats["row"], groups))]
                 yield rows_of(rows)
             released()
 
@@ -177,7 +184,7 @@ def _hash_segments(length: int, shards: int, groups: int):
 
 
 def _compare_hashes(shards: int, groups: int):
-    """Of a shard: repeats (equal segments but the earliest), and candidates (a gram with unequal segments), by document."""
+    """Of a shard: repeats (equal segments but the two earliest), and candidates (a gram with several segments), by document."""
 
     def run(table: pa.Table) -> pa.Table:
         blobs: dict[int, list[bytes]] = {HASHES: [], REPEATS: []}
@@ -190,7 +197,7 @@ def _compare_hashes(shards: int, groups: int):
             new = np.concatenate(([True], kept["gram"][1:] != kept["gram"][:-1]))
             sizes = np.diff(np.append(np.flatnonzero(new), len(kept)))
             several = kept[np.repeat(sizes > 1, sizes)]
-            rows += [(g, CANDIDATES, packed(several[members])) for g, members in split_by(group_of(several["id"], groups))]
+            rows += [(g, CANDIDATES, packed(several[members])) for g, members in split_by(group_of(several["id"], several["row"], groups))]
         return pa.Table.from_batches([rows_of(rows)])
 
     return tidy(run)
@@ -361,9 +368,10 @@ def _sort_suffixes(length: int, groups: int):
     return tidy(run)
 
 
-def _remove(length: int, schema: pa.Schema, keys: tuple[str, str, str], columns: list[str], as_string: bool):
+def _remove(length: int, schema: pa.Schema, keys: tuple[str, str, str], columns: list[str], names: list[str], as_string: bool):
     """Documents with the bytes of repeated windows taken out."""
-    out = pa.schema([schema.field(c) for c in columns] + [("_n_bytes", pa.int64()), ("_n_removed", pa.int64()), ("_spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), ("_kept", pa.string() if as_string else pa.binary())])
+    types = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.string() if as_string else pa.binary())
+    out = pa.schema([schema.field(c) for c in columns] + list(zip(names, types, strict=True)))
 
     def run(table: pa.Table) -> pa.Table:
         repeats = all_of([b for k, b in _kinds(table) if k == REPEATS], REPEAT)
@@ -402,8 +410,10 @@ def _deal(keys: tuple[str, str, str], groups: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column(batch.schema.get_field_index(keys[0])))
-            yield rows_of([(g, TEXTS, zstandard.ZstdCompressor(1).compress(batch.take(pa.array(members)).serialize())) for g, members in split_by(group_of(ids, groups))])
+            if not batch.num_rows:
+                continue
+            ids, tags = (np.asarray(batch.column(batch.schema.get_field_index(x))) for x in keys[:2])
+            yield rows_of([(g, TEXTS, zstandard.ZstdCompressor(1).compress(batch.take(pa.array(members)).serialize())) for g, members in split_by(group_of(ids, tags, groups))])
 
     return run
 
@@ -417,14 +427,14 @@ def remove_repeats(docs: DataFrame, columns: list[str] | None = None, length: in
     the same row further left. All is judged on the input. Null texts count as empty; texts shorter than ``length`` stay
     whole. A null doc_id is smaller than all others. Rows that share a doc_id but not the text are ordered by a hash of
     the text; rows equal in both are one document: none is an earlier copy of the other, and each gets the same result.
-    An empty table gives no rows. ``shards``: tasks that the grams, and the documents, are dealt to; by default eight for each
+    An empty table gives no rows. If ``columns`` have one of the names above, ours get underscores behind. ``shards``: tasks that the grams, and the documents, are dealt to; by default eight for each
     partition of the input, so that a shard's size depends on the partitions' and not on the input's.
     """
     spark = docs.sparkSession
     columns = docs.columns if columns is None else columns
-    taken = {c.lower() for c in docs.columns}
-    keys = tuple(next(f"_{x}{'_' * i}" for i in range(99) if f"_{x}{'_' * i}" not in taken) for x in ("id", "row", "bytes"))
-    keyed = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias(keys[0]), (F.xxhash64(as_text()).bitwiseAND(0x7FFFFFFF)).cast("int").alias(keys[1]), as_text().alias(keys[2]))
+    keys = tuple(free_names(["_id", "_row", "_bytes"], docs.columns))
+    names = free_names(FOUND, [c for c in columns if c != "text"])
+    keyed = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias(keys[0]), F.xxhash64(as_text()).alias(keys[1]), as_text().alias(keys[2]))
     if "text" in columns:  # once is enough
         keyed = keyed.drop("text")
         columns = [c for c in columns if c != "text"]
@@ -442,14 +452,16 @@ def remove_repeats(docs: DataFrame, columns: list[str] | None = None, length: in
     found = bytes_only.mapInArrow(_deal(keys, groups), ROWS).unionByName(wanted).groupBy("grp").applyInArrow(_extract(shards, length, to_arrow_schema(bytes_only.schema), keys), ROWS)
     sorted_ = stored(found.groupBy("grp").applyInArrow(_sort_suffixes(length, groups), ROWS), "suffix-repeats")
     repeats = compared.filter(F.col("kind") == REPEATS).unionByName(sorted_)
-    result = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema if f.name in columns), "_n_bytes long, _n_removed long, _spans array<struct<start:long,length:long>>, _kept " + ("string" if as_string else "binary")])
-    return texts.unionByName(repeats).groupBy("grp").applyInArrow(_remove(length, schema, keys, columns, as_string), result)
+    result = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema if f.name in columns), *(f"`{n}` {t}" for n, t in zip(names, ("long", "long", "array<struct<start:long,length:long>>", "string" if as_string else "binary"), strict=True))])
+    return texts.unionByName(repeats).groupBy("grp").applyInArrow(_remove(length, schema, keys, columns, names, as_string), result)
 
 
 def deduplicated(docs: DataFrame, length: int = 100) -> DataFrame:
-    """``docs`` with repeated bytes taken out of text, and with docs' columns. A character of which bytes were removed goes as
-    a whole; n_chars, if there, is counted anew; rows stay even if no text is left."""
-    out = remove_repeats(docs, length=length, as_string=True).withColumn("text", F.col("_kept"))
+    """``docs`` with repeated bytes taken out of text, and with docs' columns, whatever their names. A character of which bytes
+    were removed goes as a whole; n_chars, if there, is counted anew; rows stay even if no text is left; null texts become
+    empty ones. For ties, repeated rows and the other awkward cases see remove_repeats()."""
+    _, removed, _, kept = free_names(FOUND, [c for c in docs.columns if c != "text"])
+    out = remove_repeats(docs, length=length, as_string=True).withColumn("text", F.col(kept))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*(f"`{c}`" for c in docs.columns))

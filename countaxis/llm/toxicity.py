@@ -236,12 +236,15 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFram
 
 
 def kept(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose score is below the threshold, with docs' columns."""
+    """The rows of ``docs`` whose score is below the threshold, with docs' columns, whatever their names; a score equal to it goes.
+    Null and empty texts have the score of no match; repeated rows are judged each on its own; an empty table gives no
+    rows. At a threshold of 0 no row stays, above 1 all do."""
     shared, columns = docs.sparkSession.sparkContext.broadcast(lexicon), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shared.value)
-        least = (math.log(threshold / (1 - threshold)) - matcher.lexicon.bias) / matcher.lexicon.slope
+        odds = math.log(threshold / (1 - threshold)) if 0 < threshold < 1 else math.copysign(math.inf, threshold - 0.5)
+        least = (odds - matcher.lexicon.bias) / matcher.lexicon.slope
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
             yield batch.filter(pa.array([matcher.strength(t.as_py() or "") < least for t in texts], pa.bool_())).select(columns)
