@@ -3,9 +3,10 @@ probability of a text.
 
 Texts are cut into chunks, which keep their words as numbers into the chunk's own word list, and tell the shards of words
 (by hash) their lists and training counts; shards answer with what is known of each word over all chunks. So every count
-is a join by shards, however many words there are. The commonest words (a bounded number, as the method has it) are
-clustered by exchange on the driver, from their bigram counts over all training text; every other word then makes
-its exchange step in its shard, against the classes found, with the counts of the classes it stands next to.
+is a join by shards, however many words there are. Exchange clustering starts on the driver with the commonest words (a
+bounded number that only seeds the classes), from their bigram counts over all training text. Then all words make exchange
+steps, round by round: chunks tell the shards next to which classes each word stands, and in its shard a word moves to the
+class that raises the likelihood most, given all words' classes before the round.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countaxis.llm.shared import LOWER, NOT_SPACE, as_text, chunks, freed, mixed, span_hash, stored, word_spans, tidy
+from countaxis.llm.shared import LOWER, NOT_SPACE, as_text, chunks, forget, freed, mixed, span_hash, stored, word_spans, tidy
 from countaxis.llm.suffix_dedup import ROWS, _kinds, packed, rows_of, split_by, unpacked
 
 SEQUENCES, WORDS, COUNTS, TOP, VOCABULARY, ONCE, TWICE, TOKENS, BIGRAMS, VOTES, CLASSES = range(11)
@@ -42,13 +43,15 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score
 
 @dataclass(frozen=True)
 class Settings:
-    """classes: that words are clustered into; clustered: commonest words that the driver exchanges, each at least a
-    ``share`` of all tokens; rounds: of exchange; smooth: tokens' worth of the class unigram in each class's transitions."""
+    """classes: that words are clustered into; clustered: commonest words that the driver exchanges first, each at least a
+    ``share`` of all tokens; rounds: of that; spread: rounds of exchange of all words after they have a first class; smooth:
+    tokens' worth of the class unigram in each class's transitions."""
 
     classes: int = 64
     clustered: int = 1000
     share: float = 1e-4
     rounds: int = 8
+    spread: int = 2
     smooth: float = 20.0
 
     @property
@@ -270,39 +273,53 @@ def _vote(top: np.ndarray, classes: np.ndarray, settings: Settings):
         chunk = Chunk(table)
         known = chunk.numbered(top, classes, settings.end)
         now = known[chunk.sequence]
-        last = chunk.before(now, settings.end)
-        votes = []
-        open_ = (now < 0) & ~chunk.held
-        for side, other in ((0, last), (1, np.append(now[1:], settings.end))):
-            use = open_ & (other >= 0)
-            votes.append(chunk.sequence[use] * (2 * settings.all) + side * settings.all + other[use])
-        codes, counts = np.unique(np.concatenate(votes), return_counts=True)
-        place, code = codes // (2 * settings.all) - 1, codes % (2 * settings.all)
-        first = np.concatenate(([0], np.cumsum(chunk.shards["n"].astype(np.int64))))
-        home = np.searchsorted(first, place, "right") - 1
-        rows, grp = [], table.column("grp")[0].as_py()
-        for s, members in split_by(home):
-            out = np.empty(len(members), VOTE)
-            out["place"], out["code"], out["count"] = place[members] - first[s], code[members], counts[members]
-            rows.append((int(chunk.shards["shard"][s]), VOTES, packed(out, _number(grp))))
-        return pa.Table.from_batches([rows_of(rows)])
+        return _told_votes(chunk, table.column("grp")[0].as_py(), now, (now < 0) & ~chunk.held, settings)
 
     return tidy(run)
 
 
+def _vote_all(settings: Settings):
+    """For each word of a chunk, the classes of what stands before and after it in training texts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        chunk = Chunk(table)
+        return _told_votes(chunk, table.column("grp")[0].as_py(), _classes(chunk, settings), (chunk.sequence > 0) & ~chunk.held, settings)
+
+    return tidy(run)
+
+
+def _told_votes(chunk: Chunk, grp: int, now: np.ndarray, open_: np.ndarray, settings: Settings) -> pa.Table:
+    """For the words of the places ``open_`` the classes beside them (``now``; below 0 there is none), for their shards."""
+    votes = []
+    for side, other in ((0, chunk.before(now, settings.end)), (1, np.append(now[1:], settings.end))):
+        use = open_ & (other >= 0)
+        votes.append(chunk.sequence[use] * (2 * settings.all) + side * settings.all + other[use])
+    codes, counts = np.unique(np.concatenate(votes), return_counts=True)
+    place, code = codes // (2 * settings.all) - 1, codes % (2 * settings.all)
+    first = np.concatenate(([0], np.cumsum(chunk.shards["n"].astype(np.int64))))
+    home = np.searchsorted(first, place, "right") - 1
+    rows = []
+    for s, members in split_by(home):
+        out = np.empty(len(members), VOTE)
+        out["place"], out["code"], out["count"] = place[members] - first[s], code[members], counts[members]
+        rows.append((int(chunk.shards["shard"][s]), VOTES, packed(out, _number(grp))))
+    return pa.Table.from_batches([rows_of(rows)])
+
+
 def _choose(top: np.ndarray, classes: np.ndarray, transitions: np.ndarray, settings: Settings):
-    """The exchange step of a shard's words against the clustered classes: the class that raises the likelihood most."""
+    """The exchange step of a shard's words against the classes so far (``top`` stay in theirs): the class that raises the
+    likelihood most. Gains are summed as integers, so that they don't depend on the order in which chunks tell."""
     k = settings.classes
     size = np.log(transitions.sum(0)[:k] + 1.0)
     into = np.log(transitions[:, :k] + 0.1)  # from the class before, to each class
     out_of = np.log(transitions[:k] + 0.1).T  # to the class after, from each class
-    weight = np.concatenate((into, out_of)) - size
+    weight = np.rint((np.concatenate((into, out_of)) - size) * (1 << 20)).astype(np.int64)
 
     def run(table: pa.Table) -> pa.Table:
         shard = _number(table.column("grp")[0].as_py())
         words, totals, parts = _joined(table)
         places = dict(parts)
-        likelihood, voted = np.zeros((len(words), k)), np.zeros(len(words), bool)
+        likelihood, voted = np.zeros((len(words), k), np.int64), np.zeros(len(words), bool)
         for kind, blob in _kinds(table):
             if kind == VOTES:
                 votes, tail = unpacked(blob, VOTE)
@@ -311,7 +328,7 @@ def _choose(top: np.ndarray, classes: np.ndarray, transitions: np.ndarray, setti
                 for low in range(0, len(votes), 1 << 16):
                     part = slice(low, low + (1 << 16))
                     w, edge = np.unique(word[part], return_index=True)  # words come in order within a chunk
-                    likelihood[w] += np.add.reduceat(weight[votes["code"][part]] * votes["count"][part][:, None], edge)
+                    likelihood[w] += np.add.reduceat(weight[votes["code"][part]] * votes["count"][part][:, None].astype(np.int64), edge)
         chosen = np.where(voted, np.argmax(likelihood, 1), settings.alone).astype(np.uint8)
         if len(top):
             at = np.minimum(np.searchsorted(top, words), len(top) - 1)
@@ -399,7 +416,8 @@ def score_texts(docs: DataFrame, held_out, settings: Settings = Settings(), shar
     20, 09-0D; A-Z lower-cased), then one end. base_score: the sum of log10((c + 1) / (N + V + 1)) over tokens, c the token's
     count, N all and V distinct tokens in training texts; score: log10 of the text's probability by the class model.
     Null and empty texts are one end; a null doc_id stays null; repeated rows are scored, and learnt from, each on its own;
-    an empty table gives no rows; with no training rows all tokens are unknown.
+    an empty table gives no rows; with no training rows all tokens are unknown; other columns don't matter, whatever their
+    names; of equally good classes the first is taken. Words are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
     shards = shards or 3 * max(8, docs.rdd.getNumPartitions())
@@ -430,18 +448,27 @@ def score_texts(docs: DataFrame, held_out, settings: Settings = Settings(), shar
     votes = sequences.unionByName(totals).groupBy("grp").applyInArrow(_vote(top, classes, settings), ROWS)
     chosen = of(cut, WORDS).unionByName(votes).groupBy("grp").applyInArrow(_choose(top, classes, one.T @ bigrams @ one, settings), ROWS)
     chosen = stored(chosen, "lm-classes")
+    def transitions(classes: DataFrame) -> np.ndarray:
+        cells = sequences.unionByName(of(classes, CLASSES)).groupBy("grp").applyInArrow(_transitions(settings), "cell long, n long")
+        out = np.zeros(settings.all**2)
+        for r in cells.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # all ** 2 cells at most
+            out[r.cell] = r.n
+        return out.reshape(settings.all, -1)
+
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for _ in range(settings.spread):
+        before, step = chosen, transitions(chosen)
+        votes = sequences.unionByName(of(chosen, CLASSES)).groupBy("grp").applyInArrow(_vote_all(settings), ROWS)
+        chosen = stored(of(cut, WORDS).unionByName(votes).groupBy("grp").applyInArrow(_choose(*none, step, settings), ROWS), "lm-classes")
+        forget(before)
     sizes = np.zeros(settings.all)
     for r in chosen.filter(F.col("kind") >= SIZES).groupBy("kind").agg(F.sum("grp").alias("n")).collect():
         sizes[r.kind - SIZES] = r.n
-
+    steps = transitions(chosen)
     named = sequences.unionByName(of(chosen, CLASSES))
-    cells = named.groupBy("grp").applyInArrow(_transitions(settings), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    transitions = np.zeros(settings.all**2)
-    for r in cells:
-        transitions[r.cell] = r.n
     freed(spark)
     ends = bool(tokens)
-    model = model_of(transitions.reshape(settings.all, -1), sizes, once / (once + 2 * twice) if once else 0.5, tokens, words + ends, settings.smooth)
+    model = model_of(steps, sizes, once / (once + 2 * twice) if once else 0.5, tokens, words + ends, settings.smooth)
     scored = named.unionByName(totals).groupBy("grp").applyInArrow(_score(model, settings), SCORED)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
