@@ -3,8 +3,8 @@
 Every 100-byte window picks an anchor, its 20-byte gram with the smallest hash, from its own bytes alone; so all places
 of equal windows pick the same gram, and shards are sets of grams. A segment is a run of windows with one anchor, with
 the bytes they cover. Equal segments are one (the earliest stands for them), first in the task that reads the texts, so
-a passage that is in a third of all documents leaves a task twice: two of each class of equal segments take part, further
-ones share the fate of the second. In each shard, segments whose gram is in some other segment are concatenated, and a suffix array over them is built by two-stage sorting: suffixes smaller than their
+a passage that is in a third of all documents leaves a task once; equal are segments of one gram and one hash of all
+bytes, 64 bits each. In each shard, segments whose gram is in some other segment are concatenated, and a suffix array over them is built by two-stage sorting: suffixes smaller than their
 successors are sorted directly, the others are induced by scanning the buckets of first bytes. Runs of neighbours with
 a common prefix of 100 bytes are the equal windows; all but the earliest of a run are repeats.
 """
@@ -130,15 +130,14 @@ def same_place(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def collapsed(segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two earliest of each class of equal segments, and the others. Segments of one place (of repeated rows) are one."""
+    """The earliest of each class of equal segments, and the others. Segments of one place (of repeated rows) are one."""
     segments = segments[earliest_first(segments, "gram", "content")]
     if not len(segments):
         return segments, segments
     new = np.concatenate(([True], (segments["gram"][1:] != segments["gram"][:-1]) | (segments["content"][1:] != segments["content"][:-1])))
     once = new | np.concatenate(([True], ~same_place(segments[1:], segments[:-1])))
     segments, new = segments[once], new[once]
-    rank = np.arange(len(new)) - np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    return segments[rank < 2], segments[rank >= 2]
+    return segments[new], segments[~new]
 
 
 def pieces(column: pa.Array, most: int, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -184,7 +183,7 @@ def _hash_segments(length: int, shards: int, groups: int):
 
 
 def _compare_hashes(shards: int, groups: int):
-    """Of a shard: repeats (equal segments but the two earliest), and candidates (a gram with several segments), by document."""
+    """Of a shard: repeats (equal segments but the earliest), and candidates (a gram with unequal segments), by document."""
 
     def run(table: pa.Table) -> pa.Table:
         blobs: dict[int, list[bytes]] = {HASHES: [], REPEATS: []}
