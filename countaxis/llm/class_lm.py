@@ -51,7 +51,7 @@ class Settings:
     clustered: int = 1000
     share: float = 1e-4
     rounds: int = 8
-    spread: int = 2
+    spread: int = 1
     smooth: float = 20.0
 
     @property
@@ -453,6 +453,7 @@ def score_texts(docs: DataFrame, held_out, settings: Settings = Settings(), shar
         out = np.zeros(settings.all**2)
         for r in cells.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # all ** 2 cells at most
             out[r.cell] = r.n
+        freed(spark)
         return out.reshape(settings.all, -1)
 
     none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
