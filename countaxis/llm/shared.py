@@ -235,16 +235,24 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
     eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
     at = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
-    done = 0
+    h, place, left = out[at], starts[at], size[at]
     while len(at):
-        left = size[at] - done
-        block = eight[starts[at] + done]
-        part = left < 8
-        if part.any():
+        block = eight[place]
+        part = np.flatnonzero(left < 8)
+        if len(part):
             block[part] &= (np.uint64(1) << (left[part].astype(np.uint64) << np.uint64(3))) - np.uint64(1)
-        out[at] = mixed(out[at] ^ block)
-        at = at[left > 8]
-        done += 8
+        h ^= block
+        np.right_shift(h, np.uint64(32), out=block)
+        h ^= block
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        np.right_shift(h, np.uint64(32), out=block)
+        h ^= block
+        more = left > 8
+        if not more.all():
+            done = ~more
+            out[at[done]] = mixed(h[done])
+            at, h, place, left = at[more], h[more], place[more], left[more]
+        place, left = place + 8, left - 8
     for i in np.flatnonzero(size > LONG_SPAN).tolist():
         found = hashlib.blake2b(data[starts[i] : starts[i] + size[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little"))
         out[i] = int.from_bytes(found.digest(), "little")

@@ -250,6 +250,30 @@ def words_at(text: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Bytes by which suffixes are sorted before it is asked which of them agree in all bytes that matter.
+TOLD_APART = 24
+
+
+def _sorted_ties(words: np.ndarray, places: np.ndarray, order: np.ndarray, tied: np.ndarray, at: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """``order`` of ``places``, sorted by ``at`` bytes (tied: equal in them to the one before), sorted by ``depth`` bytes: eight more
+    a round for those not told apart yet."""
+    order, tied, n = order.copy(), tied.copy(), len(words)
+    group = np.cumsum(~tied) - 1
+    open_ = np.flatnonzero(tied | np.append(tied[1:], False))
+    while at < depth and len(open_):
+        place = places[order[open_]] + at
+        key = np.where(place < n, words[np.minimum(place, n - 1)], np.uint64(0))
+        own = group[open_]
+        inner = np.lexsort((key, own))
+        order[open_], key = order[open_[inner]], key[inner]
+        again = np.concatenate(([False], (own[1:] == own[:-1]) & (key[1:] == key[:-1])))
+        tied[open_] = again
+        group[open_] = open_[np.maximum.accumulate(np.where(again, 0, np.arange(len(open_))))]
+        open_ = open_[again | np.append(again[1:], False)]
+        at += 8
+    return order, tied
+
+
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of ``text`` (bytes, ending in a 0 that is its smallest) in the order of at least their first ``depth`` bytes.
 
@@ -263,31 +287,25 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     decides = np.minimum.accumulate(decides[::-1])[::-1]
     smaller = np.flatnonzero(step[decides] < 0)
     words = words_at(text)
-    # Suffixes that agree in all ``depth`` bytes are sorted as one.
-    same = span_hash(text, smaller, np.minimum(smaller + depth, n))
-    _, first, inverse = np.unique(same, return_index=True, return_inverse=True)
-    chosen = smaller[first]
-    order = np.argsort(words[chosen], kind="stable")
-    key = words[chosen][order]
+    order = np.argsort(words[smaller], kind="stable")
+    key = words[smaller][order]
     tied = np.concatenate(([False], key[1:] == key[:-1]))
-    group = np.cumsum(~tied) - 1
-    at = 8
-    while at < depth:
-        open_ = np.flatnonzero(tied | np.append(tied[1:], False))
-        if not len(open_):
-            break
-        place = chosen[order[open_]] + at
-        key = np.where(place < n, words[np.minimum(place, n - 1)], np.uint64(0))
-        inner = np.lexsort((key, group[open_]))
-        order[open_], key = order[open_[inner]], key[inner]
-        own = group[open_]
-        again = np.concatenate(([False], (own[1:] == own[:-1]) & (key[1:] == key[:-1])))
-        tied[open_] = again
-        group = np.cumsum(~tied) - 1
-        at += 8
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    sorted_smaller = smaller[np.argsort(rank[inverse], kind="stable")]
+    order, tied = _sorted_ties(words, smaller, order, tied, 8, min(TOLD_APART, depth))
+    open_ = np.flatnonzero(tied | np.append(tied[1:], False))
+    if len(open_) and depth > TOLD_APART:
+        # Of those that agree in all ``depth`` bytes one is sorted on, for all of them.
+        place, group = smaller[order[open_]], (np.cumsum(~tied) - 1)[open_]
+        same = span_hash(text, place, np.minimum(place + depth, n))
+        inner = np.lexsort((same, group))
+        first = np.concatenate(([True], (same[inner][1:] != same[inner][:-1]) | (group[inner][1:] != group[inner][:-1])))
+        class_ = np.empty(len(open_), np.int64)
+        class_[inner] = np.cumsum(first) - 1
+        one, own = place[inner[first]], group[inner[first]]
+        turn, _ = _sorted_ties(words, one, np.arange(len(one)), np.concatenate(([False], own[1:] == own[:-1])), TOLD_APART, depth)
+        rank = np.empty(len(one), np.int64)
+        rank[turn] = np.arange(len(one))
+        order[open_] = order[open_][np.argsort(rank[class_], kind="stable")]
+    sorted_smaller = smaller[order]
 
     edges = np.searchsorted(text[sorted_smaller], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
