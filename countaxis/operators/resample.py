@@ -1,14 +1,14 @@
 """Whole-entity resampling: cells drawn with replacement inside their group, for expression profiles and haplotype windows.
 
-The draws are small index tables from one NumPy stream on the driver (cells, not counts); everything they weigh is a
-distributed aggregation in which the draw is one more key.
+Draws are made where the cells are, from hashes of draw, seed, group and slot; everything they weigh is a distributed
+aggregation in which the draw is one more key.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from countaxis.operators.aggregate import resampled
@@ -17,24 +17,18 @@ from countaxis.operators.smoothing import block_means, centred_profiles, cohort_
 LEAST_DRAWS = 20
 
 
-def ordered_members(cells: DataFrame) -> dict:
-    """group -> its cells in the order of their ids, groups in order."""
-    rows = cells.select("group", "cell").orderBy("cell").toPandas()
-    return {g: rows.loc[rows["group"] == g, "cell"].to_numpy() for g in sorted(rows["group"].unique())}
-
-
 def cell_draws(cells: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """draw (-1: the data, each cell once; 0 ... replicates - 1), group, cell, mult. For each draw and each group in order, as many
-    cells as the group has are chosen."""
+    """draw (-1: the data, each cell once; 0 ... replicates - 1), group, cell, mult. In each draw a group has as many slots as cells,
+    and a slot takes the cell whose place in the group (by id) a hash of draw, seed, group and slot gives."""
     if replicates < LEAST_DRAWS:
         raise ValueError(f"at least {LEAST_DRAWS} draws are needed")
-    members, generator = ordered_members(cells), np.random.default_rng(seed)
-    frames = [pd.DataFrame({"draw": -1, "group": g, "cell": c, "mult": 1}) for g, c in members.items()]
-    for k in range(replicates):
-        for g, c in members.items():
-            times = np.bincount(generator.choice(len(c), len(c), replace=True), minlength=len(c))
-            frames.append(pd.DataFrame({"draw": k, "group": g, "cell": c[times > 0], "mult": times[times > 0]}))
-    return cells.sparkSession.createDataFrame(pd.concat(frames, ignore_index=True))
+    own = cells.select("group", "cell").withColumn("place", F.row_number().over(W.partitionBy("group").orderBy("cell")) - 1)
+    own = own.withColumn("n", F.count("*").over(W.partitionBy("group")))
+    slots = own.select("group", "n", F.col("place").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("draw"))
+    chance = F.conv(F.substring(F.md5(F.concat_ws(":", "draw", F.lit(str(seed)), "group", "slot")), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    taken = slots.groupBy("draw", "group", F.floor(chance * F.col("n")).cast("int").alias("place")).agg(F.count("*").alias("mult"))
+    drawn = taken.join(own.select("group", "place", "cell"), ["group", "place"]).select("draw", "group", "cell", "mult")
+    return cells.select(F.lit(-1).alias("draw"), "group", "cell", F.lit(1).cast("long").alias("mult")).unionByName(drawn)
 
 
 def bootstrap_profiles(counts: DataFrame, cells: DataFrame, genes: DataFrame, replicates: int = 64, seed: int = 270929, window: int = 101, block: int = 25) -> DataFrame:
@@ -75,52 +69,26 @@ def haplotype_features(bins: DataFrame, bins_by_cell: DataFrame, cells: DataFram
     """x, boot, coverage, regions of the haplotype windows: cells are redrawn, each base bin's share is a beta draw from the redrawn
     counts, and the windows' means are weighted by counts plus one; both are centred on the median over groups.
 
-    bins_by_cell: cell, chrom, bin, a, b. With ``resampling_seed`` cells come from that stream, so they can match the profiles',
-    and the beta draws from a child of ``seed``.
+    bins_by_cell: cell, chrom, bin, a, b. Cells are drawn as by cell_draws() with ``resampling_seed``, so that they can match the
+    profiles', or else with ``seed``; the beta draws come from a stream of ``seed``. Cells stay on the executors.
     """
-    if replicates < LEAST_DRAWS:
-        raise ValueError(f"at least {LEAST_DRAWS} draws are needed")
-    members = ordered_members(cells)
-    groups = list(members)
+    groups = [r["group"] for r in cells.select("group").distinct().orderBy("group").collect()]
     regions = [(r.chrom, r.bin) for r in bins.select("chrom", "bin").distinct().orderBy("chrom", "bin").collect()]
-    place = {r: i for i, r in enumerate(regions)}
+    place, column = {r: i for i, r in enumerate(regions)}, {g: i for i, g in enumerate(groups)}
     window = np.array([[float(a[0] == b[0] and abs(a[1] - b[1]) <= radius) for b in regions] for a in regions])
-    stream = np.random.default_rng(seed)
-    cell_stream = stream
-    if resampling_seed is not None:
-        cell_stream, stream = np.random.default_rng(resampling_seed), np.random.default_rng(np.random.SeedSequence(seed).spawn(1)[0])
-    sums = _draw_sums(bins_by_cell, members, cell_stream, place, groups)
-    a0, b0 = sums(-1)
-    x = 2 * (window @ (a0 + 0.5)) / (window @ (a0 + b0 + 1)) - 1
-    boot = []
-    for k in range(replicates):
-        a, b = sums(k)
-        theta = stream.beta(a + 0.5, b + 0.5)
-        boot.append(2 * (window @ (theta * (a + b + 1))) / (window @ (a + b + 1)) - 1)
-    boot = np.array(boot)
-    return {"x": x - np.median(x, 1, keepdims=True), "boot": boot - np.median(boot, 2, keepdims=True), "coverage": window @ (a0 + b0), "regions": regions, "groups": groups}
-
-
-def _draw_sums(bins_by_cell: DataFrame, members: dict, cell_stream, place: dict, groups: list):
-    """A function from a draw to its bins x groups sums. Cells are chosen when a draw is asked for, so a coupled stream goes on in
-    the same order; the counts that cells hold are summed by Spark into bins x cells once."""
-    rows = bins_by_cell.toPandas()
-    cells = {c: (g, i) for g, own in members.items() for i, c in enumerate(own)}
-    tables = {g: np.zeros((2, len(place), len(own))) for g, own in members.items()}
-    for r in rows.itertuples(index=False):
-        if r.cell in cells:
-            g, i = cells[r.cell]
-            tables[g][:, place[r.chrom, r.bin], i] += (r.a, r.b)
-
-    def sums(draw: int) -> tuple[np.ndarray, np.ndarray]:
-        out = np.zeros((2, len(place), len(groups)))
-        for k, g in enumerate(groups):
-            n = len(members[g])
-            times = np.ones(n) if draw < 0 else np.bincount(cell_stream.choice(n, n, replace=True), minlength=n)
-            out[:, :, k] = tables[g] @ times
-        return out[0], out[1]
-
-    return sums
+    draws = cell_draws(cells, replicates, seed if resampling_seed is None else resampling_seed)
+    weighed = bins_by_cell.join(draws, "cell").groupBy("draw", "group", "chrom", "bin").agg(F.sum(F.col("a") * F.col("mult")).alias("a"), F.sum(F.col("b") * F.col("mult")).alias("b"))
+    rows = weighed.toPandas()  # draws x groups x bins, as the result is
+    rows = rows[[r in place for r in zip(rows["chrom"], rows["bin"], strict=True)]]
+    cube = np.zeros((2, replicates + 1, len(regions), len(groups)))
+    at = rows["draw"].to_numpy(int) + 1, [place[r] for r in zip(rows["chrom"], rows["bin"], strict=True)], rows["group"].map(column).to_numpy(int)
+    cube[0][at], cube[1][at] = rows["a"], rows["b"]
+    a, b = cube
+    x = 2 * (window @ (a[0] + 0.5)) / (window @ (a[0] + b[0] + 1)) - 1
+    theta = np.random.default_rng(np.random.SeedSequence(seed).spawn(1)[0]).beta(a[1:] + 0.5, b[1:] + 0.5)
+    depth = a[1:] + b[1:] + 1
+    boot = 2 * (window @ (theta * depth)) / (window @ depth) - 1
+    return {"x": x - np.median(x, 1, keepdims=True), "boot": boot - np.median(boot, 2, keepdims=True), "coverage": window @ (a[0] + b[0]), "regions": regions, "groups": groups}
 
 
 def profiles(values: DataFrame, genes: DataFrame, window: int = 101) -> DataFrame:

@@ -28,6 +28,10 @@ def query(ctes: str | None = None, sql: str | None = None):
     return add
 
 
+def r9(x, name: str):
+    return F.round(C.column(x), 9).alias(name)
+
+
 def r6(x, name: str):
     return F.round(C.column(x), 6).alias(name)
 
@@ -100,9 +104,34 @@ def chi_square_score(b: Bound) -> DataFrame:
     return out.select(*(F.round(c, 4).alias(c) for c in ("joint", "depth", "allele")))
 
 
-@query()
+SHUFFLED = REGIONS + """, sizes AS (SELECT "group", sum(count(*)) OVER (ORDER BY "group") AS edge FROM libraries GROUP BY 1),
+ranked AS (SELECT k.perm, cell, library, row_number() OVER (PARTITION BY k.perm ORDER BY md5(k.perm || ':42:' || cell), cell) AS rank FROM libraries, (SELECT unnest(range(1, 200)) AS perm) k),
+labels AS (SELECT 0 AS perm, cell, "group", library FROM libraries UNION ALL
+  SELECT r.perm, r.cell, (SELECT min("group") FROM sizes s WHERE s.edge >= r.rank) AS "group", r.library FROM ranked r),
+grp AS (SELECT perm, "group", chrom, bin, sum(depth) AS depth, sum(h1) AS h1, sum(h2) AS h2 FROM region r JOIN labels l ON r.cell = l.cell GROUP BY 1, 2, 3, 4),
+exposures AS (SELECT perm, "group", sum(library) AS exposure FROM labels GROUP BY 1, 2),
+full_grid AS (SELECT e.perm, e.exposure * r.rate AS expected, r.fraction AS p, coalesce(g.depth, 0) AS d, coalesce(g.h1, 0) AS h1, coalesce(g.h1, 0) + coalesce(g.h2, 0) AS n
+  FROM exposures e CROSS JOIN rates r LEFT JOIN grp g ON g.perm = e.perm AND g."group" = e."group" AND g.chrom = r.chrom AND g.bin = r.bin),
+terms AS (SELECT perm, CASE WHEN expected > 0 THEN (d - expected) ** 2 / expected ELSE 0 END AS depth, CASE WHEN n * p * (1 - p) > 0 THEN (h1 - n * p) ** 2 / (n * p * (1 - p)) ELSE 0 END AS allele FROM full_grid),
+scores AS (SELECT perm, sum(depth + allele) AS joint, sum(depth) AS depth, sum(allele) AS allele FROM terms GROUP BY 1)
+SELECT round(s.joint, 4) AS joint, round(s.depth, 4) AS depth, round(s.allele, 4) AS allele,
+  round((1 + (SELECT count(*) FROM scores n WHERE n.perm > 0 AND n.joint >= s.joint - 1e-9 * greatest(1, abs(s.joint)))) / 200.0e0, 6) AS p_value,
+  round(s.joint - (SELECT median(joint) FROM scores WHERE perm > 0), 4) AS excess FROM scores s WHERE perm = 0"""
+
+
+@query("counts cells libraries genes loci alleles", SHUFFLED)
 def permutation_signal(b: Bound) -> DataFrame:
-    return regions.signal_test(_regions(b), b.libraries(), seed=42)[0]
+    row = regions.signal_test(_regions(b), b.libraries(), seed=42)[0]
+    return row.select(*(F.round(c, 4).alias(c) for c in ("joint", "depth", "allele")), F.round("p_value", 6).alias("p_value"), F.round("excess", 4).alias("excess"))
+
+
+@query("cells libraries", """, own AS (SELECT "group", cell, row_number() OVER (PARTITION BY "group" ORDER BY cell) - 1 AS place, count(*) OVER (PARTITION BY "group") AS n FROM libraries),
+taken AS (SELECT draw, "group", CAST(floor(CAST('0x' || substr(md5(draw || ':1:' || "group" || ':' || place), 1, 12) AS BIGINT) / 281474976710656.0e0 * n) AS BIGINT) AS place, count(*) AS mult
+  FROM own, (SELECT unnest(range(0, 64)) AS draw) k GROUP BY ALL)
+SELECT CAST(-1 AS INTEGER) AS draw, "group", cell, CAST(1 AS BIGINT) AS mult FROM libraries UNION ALL
+SELECT CAST(t.draw AS INTEGER), t."group", o.cell, t.mult FROM taken t JOIN own o ON o."group" = t."group" AND o.place = t.place""")
+def cell_draws(b: Bound) -> DataFrame:
+    return resample.cell_draws(b.libraries().select("group", "cell"), 64, 1)
 
 
 NORMALISED = DENSE + """, kept AS (SELECT *, max(n) OVER (PARTITION BY gene) AS top FROM dense),
@@ -215,7 +244,7 @@ def argmax_class(b: Bound) -> DataFrame:
     return _posterior(b)[0].select("member", "marker", C.first_argmax("p").alias("label"), C.confident("p", 0.5).alias("sure"))
 
 
-@query("states", ', s AS (SELECT member, marker, state FROM states WHERE marker < 40), t AS (SELECT a.member AS a, b.member AS b, avg(CASE WHEN a.state <> b.state THEN 1.0e0 ELSE 0.0e0 END) AS d FROM s a JOIN s b ON a.marker = b.marker AND a.member < b.member GROUP BY 1, 2) SELECT a, b, 0 AS draw, round(d, 6) AS distance FROM t')
+@query("states", ', s AS (SELECT member, marker, state FROM states), t AS (SELECT a.member AS a, b.member AS b, avg(CASE WHEN a.state <> b.state THEN 1.0e0 ELSE 0.0e0 END) AS d FROM s a JOIN s b ON a.marker = b.marker AND a.member < b.member GROUP BY 1, 2) SELECT a, b, 0 AS draw, round(d, 6) AS distance FROM t')
 def path_distance_pairs(b: Bound) -> DataFrame:
     paths = b.states().select("member", "marker", F.array("state").alias("path"))
     return clones.path_distance_rows(paths).select("a", "b", F.col("draw").cast("int").alias("draw"), r6("distance", "distance"))
@@ -286,7 +315,7 @@ def pln_logpmf(b: Bound) -> DataFrame:
     return with_pln(rows, 0.4)
 
 
-EMIT = """, obs AS (SELECT member, marker, CASE WHEN state IN ('click', 'view') THEN -0.4e0 ELSE -1.6e0 END AS e0, CASE WHEN state IN ('click', 'view') THEN -1.2e0 ELSE -0.5e0 END AS e1 FROM states WHERE marker < 60)"""
+EMIT = """, obs AS (SELECT member, marker, CASE WHEN state IN ('click', 'view') THEN -0.4e0 ELSE -1.6e0 END AS e0, CASE WHEN state IN ('click', 'view') THEN -1.2e0 ELSE -0.5e0 END AS e1 FROM states)"""
 
 
 def _two_state(b: Bound) -> tuple[DataFrame, dict]:
@@ -439,6 +468,109 @@ def joint_chain(b: Bound) -> DataFrame:
     return _joint_chain(b, b.genes(), b.loci())
 
 
+@query(None, "SELECT l_partkey AS gene, l_suppkey AS locus, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2 HAVING sum(l_quantity) > 0")
+def duplicate_sum(b: Bound) -> DataFrame:
+    rows = b.table("lineitem").select(F.col("l_partkey").alias("gene"), F.col("l_suppkey").alias("locus"), F.col("l_quantity").cast("long").alias("n"))
+    return aggregate.summed(rows, "gene", "locus")
+
+
+@query("genes", " SELECT gene, chrom, position, row_number() OVER (ORDER BY chrom, position, gene) - 1 AS idx FROM genes")
+def lexical_order(b: Bound) -> DataFrame:
+    return axis.lexical_order(b.genes()).withColumn("idx", F.col("idx").cast("long"))
+
+
+@query(None, "SELECT c_nationkey AS nation, any_value(n_name) AS name, any_value(n_regionkey) AS region FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def constant_per_key(b: Bound) -> DataFrame:
+    rows = b.table("customer").join(b.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.select(F.col("c_nationkey").alias("nation"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    return aggregate.constant_per_key(rows, ["nation"], ["name", "region"], "a nation has two names or regions")
+
+
+NAMES = """SELECT p_partkey AS gene, 'chr' || CASE WHEN b IN ('M', 'MT') THEN 'MT' ELSE b END AS chrom FROM
+(SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'X' WHEN 1 THEN 'M' WHEN 2 THEN 'MT' WHEN 3 THEN regexp_extract(p_brand, '([0-9]+)', 1) ELSE CAST(p_size AS VARCHAR) END AS b FROM part)"""
+
+
+@query(None, NAMES)
+def chromosome_name(b: Bound) -> DataFrame:
+    """Names with and without a leading chr, and both names of MT, become one."""
+    key = F.col("p_partkey") % 7
+    bare = F.when(key == 0, "X").when(key == 1, "M").when(key == 2, "MT").when(key == 3, F.regexp_extract("p_brand", "([0-9]+)", 1)).otherwise(F.col("p_size").cast("string"))
+    written = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("chr"), bare)).otherwise(bare)
+    return b.table("part").select(F.col("p_partkey").alias("gene"), C.chromosome_name(written).alias("chrom"))
+
+
+@query(None, "SELECT p_partkey AS part, CASE WHEN p_partkey % 3 = 2 THEN 'X' || p_partkey || '.' || p_size ELSE 'ENSG' || p_partkey || CASE WHEN p_partkey % 3 = 1 THEN '_PAR_Y' ELSE '' END END AS gene FROM part")
+def canonical_gene(b: Bound) -> DataFrame:
+    """Ids lose their version, but not a PAR_Y suffix; ids of another kind stay."""
+    key = F.col("p_partkey")
+    written = F.when(key % 3 == 2, F.concat(F.lit("X"), key, F.lit("."), "p_size")).otherwise(F.concat(F.lit("ENSG"), key, F.lit("."), "p_size", F.when(key % 3 == 1, "_PAR_Y").otherwise("")))
+    return b.table("part").select(key.alias("part"), C.canonical_gene(written).alias("gene"))
+
+
+@query(None, "SELECT l_orderkey AS cell, l_linenumber AS line, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_quantity AS BIGINT) ELSE 0 END AS ad, l_suppkey AS dp FROM lineitem")
+def info_number(b: Bound) -> DataFrame:
+    """Numbers out of k=v fields; 0 where the key isn't there."""
+    q = F.col("l_quantity").cast("long")
+    info = F.concat(F.lit("DP="), "l_suppkey", F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit(";AD="), q)).otherwise(";OTH=3"))
+    return b.table("lineitem").select(F.col("l_orderkey").alias("cell"), F.col("l_linenumber").alias("line"), C.info_number(info, "AD").alias("ad"), C.info_number(info, "DP").alias("dp"))
+
+
+@query("alleles", ' SELECT round(ln(h / (1 - h)), 9) AS bias FROM (SELECT greatest(0.45, least(0.55, sum(h1) / CAST(sum(h1 + h2) AS DOUBLE))) AS h FROM alleles)')
+def allele_bias(b: Bound) -> DataFrame:
+    return aggregate.allele_bias(b.alleles()).select(r9("bias", "bias"))
+
+
+PLACES = """, lengths AS (SELECT chrom, max(position) + 500 AS length FROM genes GROUP BY 1),
+places AS (SELECT chrom, length, sum(length) OVER (ORDER BY CAST(chrom AS INTEGER), chrom) - length AS "offset" FROM lengths),
+sites AS (SELECT g.chrom, g.position, avg(n) AS value FROM genes g LEFT JOIN (SELECT gene, sum(n) AS n FROM counts GROUP BY 1) s ON s.gene = g.gene GROUP BY 1, 2)
+SELECT s.chrom, s.position, p."offset" + coalesce((lag(s.position) OVER w + s.position) / 2.0e0, 0) AS "left", p."offset" + coalesce((lead(s.position) OVER w + s.position) / 2.0e0, p.length) AS "right", round(value, 6) AS value
+FROM sites s JOIN places p ON p.chrom = s.chrom WINDOW w AS (PARTITION BY s.chrom ORDER BY s.position)"""
+
+
+@query("counts genes", PLACES)
+def marker_intervals(b: Bound) -> DataFrame:
+    """Every gene's interval side by side, with its summed counts."""
+    genes = b.genes()
+    values = genes.join(aggregate.gene_totals(b.counts()), "gene", "left").select("chrom", "position", F.col("n").cast("double").alias("value"))
+    places = axis.layout(genes.groupBy("chrom").agg((F.max("position") + 500).alias("length")))
+    out = axis.plot_intervals(values, places)
+    return out.select("chrom", "position", "left", "right", r6("value", "value"))
+
+
+@query(None, """WITH s AS (SELECT CAST(p_size AS VARCHAR) AS chrom, p_partkey * 1000 AS start, p_partkey * 1000 + 400 AS "end", p_retailprice AS value FROM part),
+n AS (SELECT *, lead(start) OVER (PARTITION BY chrom ORDER BY start) AS later FROM s)
+SELECT chrom, start, "end", round(value, 6) AS value FROM s UNION ALL SELECT chrom, "end", later, NULL FROM n WHERE later > "end" """)
+def gap_rows(b: Bound) -> DataFrame:
+    """Disjoint intervals with rows for the gaps between them; their value is unknown."""
+    rows = b.table("part").select(F.col("p_size").cast("string").alias("chrom"), (F.col("p_partkey") * 1000).alias("start"), (F.col("p_partkey") * 1000 + 400).alias("end"), F.col("p_retailprice").cast("double").alias("value"))
+    return axis.disjoint(rows).withColumn("value", F.when(~F.isnan("value"), F.round("value", 6)))
+
+
+@query("states", """, p AS (SELECT event_id, value, CASE state WHEN 'click' THEN 0 WHEN 'view' THEN 5 WHEN 'purchase' THEN 3 ELSE 1 END AS own FROM states),
+c AS (SELECT event_id, 0.01e0 + CASE WHEN own = 0 THEN 0.9e0 ELSE 0 END AS diploid, 0.04e0 + CASE WHEN own = 5 THEN 0.9e0 ELSE 0 END AS gain, 0.03e0 + CASE WHEN own = 1 THEN 0.9e0 ELSE 0 END AS loss, 0.02e0 + CASE WHEN own = 3 THEN 0.9e0 ELSE 0 END AS cnloh FROM p)
+SELECT event_id, round(diploid, 6) AS diploid, round(gain, 6) AS gain, round(loss, 6) AS loss, round(cnloh, 6) AS cnloh, greatest(diploid, gain, loss, cnloh) >= 0.92e0 AS confident FROM c""")
+def broad_classes(b: Bound) -> DataFrame:
+    """Ten states' probabilities collapsed to four classes, and whether the best is sure."""
+    own = F.when(F.col("state") == "click", 0).when(F.col("state") == "view", 5).when(F.col("state") == "purchase", 3).otherwise(1)
+    ten = F.array(*(F.lit(0.01) + F.when(own == k, 0.9).otherwise(0.0) for k in range(10)))
+    rows = b.states().select("event_id", C.broad_classes(ten).alias("p"))
+    return rows.select("event_id", *(F.round(F.col("p")[k], 6).alias(n) for k, n in enumerate(aggregate.class_names())), C.confident("p", 0.92).alias("confident"))
+
+
+@query("counts", " SELECT cell, CAST(count(*) AS BIGINT) AS genes, round(var_samp(n), 6) AS variance FROM counts GROUP BY 1")
+def variance_ddof1(b: Bound) -> DataFrame:
+    """Variances over a cell's genes; null where there is one."""
+    return b.counts().groupBy("cell").agg(F.count("*").alias("genes"), F.round(F.when(F.count("*") > 1, F.var_samp("n")), 6).alias("variance"))
+
+
+@query("counts cells libraries", """, best AS (SELECT l."group", c.gene, sum(n) AS log_bf FROM counts c JOIN libraries l ON l.cell = c.cell GROUP BY 1, 2)
+SELECT "group", gene, CASE WHEN gene % 4 <> 0 AND log_bf / 100.0e0 < 5 THEN 'diploid' ELSE CASE WHEN gene % 4 = 0 THEN 'diploid' ELSE 'gain' END END AS state, CASE WHEN gene % 4 = 0 THEN 'diploid' ELSE 'gain' END AS raw_state FROM best""")
+def segment_filter(b: Bound) -> DataFrame:
+    """Altered states with too little evidence become neutral; the raw state stays."""
+    best = aggregate.pseudobulk(b.counts(), b.libraries(), b.fractions()).filter("n > 0").select("group", "gene", (F.col("n") / 100).alias("log_bf"), F.when(F.col("gene") % 4 == 0, "diploid").otherwise("gain").alias("state"))
+    return axis.filtered_segments(best).select("group", "gene", "state", "raw_state")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query: the permutation test of the chi-square score."""
     return QUERIES["permutation_signal"](spark, sf_dir)
