@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countaxis.llm import class_lm, decontaminate, jaccard_join, kn_quality, neighbours, packing, sql, suffix_dedup, token_counts, toxicity, url_filter
-from countaxis.llm.shared import held_out, table
+from countaxis.llm import alignment, class_lm, decontaminate, jaccard_join, kn_quality, neighbours, packing, sql, suffix_dedup, token_counts, topk, toxicity, url_filter
+from countaxis.llm.shared import held_out, stored, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -76,6 +76,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    aligned = stored(aligned.withColumn("groups_sha256", digest).drop("groups"), "aligned")
+    counted = alignment.with_pair_counts(aligned)
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_kn_quality": op2_kn_quality,
@@ -87,5 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
+    "op11_alignment": op11_alignment,
+    "op12_topk": op12_topk,
 }
-ORACLE_SQL: dict[str, str] = {"op3_neighbours": sql.OP3_SQL, "op4_jaccard_join": sql.OP4_SQL, "op5_suffix_dedup": sql.OP5_SQL, "op6_decontaminate": sql.OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_neighbours": sql.OP3_SQL, "op4_jaccard_join": sql.OP4_SQL, "op5_suffix_dedup": sql.OP5_SQL, "op6_decontaminate": sql.OP6_SQL, "op12_topk": sql.OP12_SQL}
