@@ -2,14 +2,16 @@
 
 Every byte has an owner among A's tokens and one among B's: token numbers repeated by the tokens' lengths in bytes. Where
 either owner changes, a new pair of overlapping tokens begins (a link); where both change at once, a cut, which ends a group
-of tokens that cover the same bytes. How often a pair of ids is linked in the whole corpus is summed by pair; documents get
+of tokens that cover the same bytes. Words whose tokens don't depend on what is beside them are aligned once a chunk. How often a pair of ids is linked in the whole corpus is summed by pair; documents get
 the sums of their pairs back by the chunk of documents that they were read in, so no pair's documents are gathered.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,45 +20,61 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countaxis.llm.shared import as_text, chunks, forget, released, stored
+from countaxis.llm.shared import as_text, chunks, forget, ragged, released, stored
 
 #: Bytes of text in a chunk of documents (a longer text is one alone), and bytes given to a tokenizer at once.
-ALIGN_BYTES, ENCODE_BYTES = 2 << 20, 256 << 10
+ALIGN_BYTES, ENCODE_BYTES = 4 << 20, 256 << 10
+#: Units of text that are encoded as one text.
+JOINED = 4096
 #: A pair of ids is one long: A's id above these bits, B's in them.
 ID_BITS = 31
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, chunk long, pairs array<long>, times array<long>"
 
 
+#: Where both tokenizers' tokens end if apart() holds for both: before a space that a letter or digit follows and no space precedes.
+SEAM = re.compile(r"(?<=[^ ])(?= \w)")
+JOINABLE = re.compile(r" \w(?:.*[^ ])?", re.DOTALL)
+
+
 class Tokenizer:
     """A tokenizer's ids of texts, and the bytes that each id stands for.
 
     The library is the one that the file's suffix names: tokenizers (a byte-level vocabulary) for .json, sentencepiece for
-    .model. Texts have no special tokens: their strings are plain text. ``lead`` is what is put before a text for the first;
-    the second puts its own space there.
+    .model. Texts have no special tokens: their strings are plain text. Both are given texts that begin with a space; the second
+    puts it there itself. ``apart``: what stands on both sides of a SEAM is encoded as if it stood alone.
     """
 
-    def __init__(self, path: str, lead: str = " "):
+    def __init__(self, path: str):
         if path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.ids: Callable[[list[str]], list[list[int]]] = lambda texts: model.encode(texts, num_threads=1)
+            self.ids: Callable[[list[str]], list[list[int]]] = lambda texts: model.encode([t[1:] for t in texts], num_threads=1)
             piece = lambda i: bytes([int(model.id_to_piece(i)[1:-1], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace("▁", " ").encode()
             self.bytes_of = [piece(i) for i in range(model.get_piece_size())]
+            # Merges make pieces of the vocabulary only, so none crosses a seam if no piece has a space after something else; a text that
+            # is normalised (as these letters would be) may have other seams.
+            probe = " ﬁ Ａ e\u0301"
+            crossing = any(re.search("[^▁]▁", model.id_to_piece(i)) for i in range(model.get_piece_size()))
+            self.apart = not crossing and b"".join(self.bytes_of[i] for i in self.ids([probe])[0]) == probe.encode()
         else:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer as Model
 
-            json = Model.from_file(path)
-            json.no_truncation()
-            json.no_padding()
-            json.encode_special_tokens = True
-            self.ids = lambda texts: [x.ids for x in json.encode_batch_fast([lead + t for t in texts], add_special_tokens=False)]
+            model = Model.from_file(path)
+            model.no_truncation()
+            model.no_padding()
+            model.encode_special_tokens = True
+            self.ids = lambda texts: [x.ids for x in model.encode_batch_fast(texts, add_special_tokens=False)]
             letters = byte_letters()
-            vocabulary = json.get_vocab()
+            vocabulary = model.get_vocab()
             self.bytes_of = [b""] * (max(vocabulary.values(), default=-1) + 1)
             for token, i in vocabulary.items():
                 self.bytes_of[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+            # The usual pattern of byte-level vocabularies begins a new part at a seam, and merges stay within parts.
+            about = json.loads(model.to_str())
+            split = about.get("pre_tokenizer") or {}
+            self.apart = about.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
         self.lengths = np.array([len(x) for x in self.bytes_of], np.int64)
         #: Each id's decimal with what may follow it in the list of groups: nothing, a comma, a bar, a semicolon.
         self.written = [f"{i}{mark}" for i in range(len(self.bytes_of)) for mark in ("", ",", "|", ";")]
@@ -75,73 +93,113 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def encoded(texts: list[str], sizes: np.ndarray, path_a: str, path_b: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """A's and B's ids of each text; none for a text that is empty or whose tokens' bytes aren't those of space + text."""
-    a, b = tokenizer(path_a), tokenizer(path_b)
-    out_a: list[np.ndarray] = []
-    out_b: list[np.ndarray] = []
-    none = np.zeros(0, np.int64)
-    low = 0
-    while low < len(texts):
-        high, size = low, 0
-        while high < len(texts) and (high == low or size + sizes[high] <= ENCODE_BYTES):
-            size += sizes[high]
-            high += 1
-        part = texts[low:high]
-        for text, own_a, own_b in zip(part, a.ids(part), b.ids(part), strict=True):
-            want = b" " + text.encode()
-            fine = text and b"".join([a.bytes_of[i] for i in own_a]) == want and b"".join([b.bytes_of[i] for i in own_b]) == want
-            out_a.append(np.array(own_a, np.int64) if fine else none)
-            out_b.append(np.array(own_b, np.int64) if fine else none)
-        low = high
-    return out_a, out_b
-
-
-def owners(ids_a: np.ndarray, ids_b: np.ndarray, lengths_a: np.ndarray, lengths_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of token sequences over the same bytes: the links' token numbers in A and in B, and whether a cut comes before each."""
-    owner_a, owner_b = (np.repeat(np.arange(len(x), dtype=np.int32), n[x]) for x, n in ((ids_a, lengths_a), (ids_b, lengths_b)))
+def encoded(units: list[str], a: Tokenizer, b: Tokenizer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A's ids and B's ids of units of text (each begins with a space), one unit after another, and the bytes of each unit that have
+    tokens: all, or none where either's tokens are other bytes than the unit. Units that can stand side by side without
+    a change of their tokens are encoded together."""
+    ids_a: list[int] = []
+    ids_b: list[int] = []
+    sizes: list[int] = []
+
+    def put(parts: list[list[str]]) -> None:
+        whole = ["".join(x) for x in parts]
+        for part, text, own_a, own_b in zip(parts, whole, a.ids(whole), b.ids(whole), strict=True):
+            want = text.encode()
+            if b"".join([a.bytes_of[i] for i in own_a]) == want and b"".join([b.bytes_of[i] for i in own_b]) == want:
+                ids_a.extend(own_a)
+                ids_b.extend(own_b)
+                sizes.extend([len(x.encode()) for x in part])
+            elif len(part) == 1:
+                sizes.append(0)
+            else:
+                put([[x] for x in part])
+
+    parts: list[list[str]] = []
+    size, side_by_side = 0, False
+    for unit in units:
+        joinable = JOINABLE.fullmatch(unit) is not None
+        if not (joinable and side_by_side and len(parts[-1]) < JOINED):
+            parts.append([])
+        parts[-1].append(unit)
+        side_by_side = joinable
+        size += len(unit)
+        if size >= ENCODE_BYTES:
+            put(parts)
+            parts, size, side_by_side = [], 0, False
+    put(parts)
+    return np.array(ids_a, np.int64), np.array(ids_b, np.int64), np.array(sizes, np.int64)
+
+
+def owners(lengths_a: np.ndarray, lengths_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of two sequences of tokens over the same bytes (their lengths): each link's first byte, its token numbers in A and in B, and
+    whether a cut comes before it."""
+    owner_a, owner_b = (np.repeat(np.arange(len(n), dtype=np.int32), n) for n in (lengths_a, lengths_b))
     changed_a, changed_b = np.diff(owner_a, prepend=-1) != 0, np.diff(owner_b, prepend=-1) != 0
     at = np.flatnonzero(changed_a | changed_b)
-    return owner_a[at], owner_b[at], changed_a[at] & changed_b[at]
-
-
-def aligned_chunk(texts: list[str], sizes: np.ndarray, path_a: str, path_b: str) -> dict[str, list]:
-    """Of each text: n_a, n_b, n_groups, n_links, groups (A's ids | B's ids; ...), and its distinct pairs with their numbers."""
-    a, b = tokenizer(path_a), tokenizer(path_b)
-    own_a, own_b = encoded(texts, sizes, path_a, path_b)
-    rows = len(texts)
-    n_a, n_b = (np.array([len(x) for x in own], np.int64) for own in (own_a, own_b))
-    ids_a, ids_b = np.concatenate(own_a), np.concatenate(own_b)
-    # All texts side by side: both tokenizers' tokens end where a text ends, so a cut parts them.
-    token_a, token_b, cut = owners(ids_a, ids_b, a.lengths, b.lengths)
-    row = np.repeat(np.arange(rows), n_a)[token_a]
-    group = np.cumsum(cut) - 1
-    n_links, n_groups = np.bincount(row, minlength=rows), np.bincount(row[cut], minlength=rows)
-    # Tokens in the order that the groups are written in: by group, A's before B's; the last of each kind has its own sign.
+    return at, owner_a[at], owner_b[at], changed_a[at] & changed_b[at]
+
+
+def aligned_units(units: list[str], a: Tokenizer, b: Tokenizer) -> dict[str, np.ndarray | list[str]]:
+    """Of each unit: whether it has tokens (fine), n_a, n_b, n_groups, n_links, its groups as a text; and all links' pairs of ids in
+    the units' order."""
+    ids_a, ids_b, sizes = encoded(units, a, b)
+    rows = len(units)
+    # All units side by side: both tokenizers' tokens end where a unit ends, so a cut parts them.
+    ends = np.cumsum(sizes)
+    of = lambda byte: np.searchsorted(ends, byte, "right")
+    at, token_a, token_b, cut = owners(a.lengths[ids_a], b.lengths[ids_b])
+    row, group = of(at), np.cumsum(cut) - 1
     group_a, group_b = (group[np.flatnonzero(np.diff(token, prepend=-1))] for token in (token_a, token_b))
+    groups = np.arange(group[-1] + 2 if len(group) else 1)
+    row_of_group = row[cut]
+    n_a, n_b = np.bincount(row_of_group[group_a], minlength=rows), np.bincount(row_of_group[group_b], minlength=rows)
+    # Tokens in the order that groups are written in: by group, A's before B's; the last of each kind has its own sign, the unit's none.
     last = lambda g: np.diff(g, append=-1) != 0
     code_a, code_b = 4 * ids_a + np.where(last(group_a), 2, 1), 4 * ids_b + np.where(last(group_b), 3, 1)
     end_b = np.cumsum(n_b)[n_b > 0] - 1
     code_b[end_b] = 4 * ids_b[end_b]
-    written = []
-    first_a = first_b = 0
-    starts_a, starts_b = (np.searchsorted(g, np.arange(group[-1] + 2 if len(group) else 1)) for g in (group_a, group_b))
-    place_a = np.arange(len(ids_a)) + starts_b[group_a] if len(ids_a) else np.zeros(0, np.int64)
-    place_b = np.arange(len(ids_b)) + starts_a[group_b + 1] if len(ids_b) else np.zeros(0, np.int64)
     codes = np.empty(len(ids_a) + len(ids_b), np.int64)
-    codes[place_a], codes[place_b] = code_a, code_b + len(a.written)
+    codes[np.arange(len(ids_a)) + np.searchsorted(group_b, groups)[group_a]] = code_a
+    codes[np.arange(len(ids_b)) + np.searchsorted(group_a, groups)[group_b + 1]] = code_b + len(a.written)
     both = a.written + b.written
     words = [both[i] for i in codes.tolist()]
-    for x, y in zip(n_a.tolist(), n_b.tolist(), strict=True):
-        written.append("".join(words[first_a + first_b : first_a + first_b + x + y]))
-        first_a, first_b = first_a + x, first_b + y
-    pair = ids_a[token_a] << ID_BITS | ids_b[token_b]
-    order = np.lexsort((pair, row))
-    pair, row = pair[order], row[order]
-    new = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (row[1:] != row[:-1]))) if len(pair) else np.zeros(0, bool))
-    offsets = np.concatenate(([0], np.cumsum(np.bincount(row[new], minlength=rows)))).astype(np.int32)
-    lists = lambda x: pa.ListArray.from_arrays(pa.array(offsets), pa.array(x))
-    return {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "groups": written, "pairs": lists(pair[new]), "times": lists(np.diff(new, append=len(pair)))}
+    edges = np.concatenate(([0], np.cumsum(n_a + n_b))).tolist()
+    written = ["".join(words[x:y]) for x, y in zip(edges[:-1], edges[1:], strict=True)]
+    pairs = ids_a[token_a] << ID_BITS | ids_b[token_b]
+    return {"fine": sizes > 0, "n_a": n_a, "n_b": n_b, "n_groups": np.bincount(row_of_group, minlength=rows), "n_links": np.bincount(row, minlength=rows), "groups": written, "pairs": pairs}
+
+
+def aligned_texts(texts: list[str], a: Tokenizer, b: Tokenizer) -> dict[str, pa.Array]:
+    """Of each text: n_a, n_b, n_groups, n_links, groups (A's ids | B's ids; ...), and its distinct pairs with their numbers. A unit
+    that several texts (or one text) repeat is aligned once: a cut parts it from what is beside it."""
+    number: dict[str, int] = {}
+    own: list[int] = []
+    counts: list[int] = []
+    for text in texts:
+        units = [] if not text else SEAM.split(" " + text) if a.apart and b.apart else [" " + text]
+        own += [number.setdefault(x, len(number)) for x in units]
+        counts.append(len(units))
+    found = aligned_units(list(number), a, b)
+    at, rows = np.array(own, np.int64), len(texts)
+    row = np.repeat(np.arange(rows), counts)
+    fine = np.ones(rows, bool)
+    fine[row[~found["fine"][at]]] = False
+    summed = lambda x: np.bincount(row, x[at], rows).astype(np.int64) * fine
+    edges = np.concatenate(([0], np.cumsum(counts))).tolist()
+    groups = found["groups"]
+    written = [";".join([groups[i] for i in own[x:y]]) if ok else "" for x, y, ok in zip(edges[:-1], edges[1:], fine.tolist(), strict=True)]
+    keep = fine[row]
+    at, row = at[keep], row[keep]
+    n_links = found["n_links"]
+    ids, local = np.unique(found["pairs"], return_inverse=True)
+    links = ragged((np.cumsum(n_links) - n_links)[at], n_links[at])
+    keys = np.sort(np.repeat(row, n_links[at]) * max(1, len(ids)) + local[links])
+    new = np.flatnonzero(np.diff(keys, prepend=-1))
+    owner, which = np.divmod(keys[new], max(1, len(ids)))
+    offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=rows)))).astype(np.int32))
+    lists = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64()))
+    numbers = {x: pa.array(summed(found[x])) for x in ("n_a", "n_b", "n_groups", "n_links")}
+    return numbers | {"groups": pa.array(written, pa.string()), "pairs": lists(ids[which]), "times": lists(np.diff(new, append=len(keys)))}
 
 
 def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -156,14 +214,13 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = tokenizer(path_a), tokenizer(path_b)
         task, number = TaskContext.get().partitionId(), 0
-        for batch, _, offsets in chunks(batches, "text", ALIGN_BYTES):
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            found = aligned_chunk(texts, np.diff(offsets), path_a, path_b)
-            chunk = pa.array(np.full(len(texts), task << 32 | number))
-            columns = {"doc_id": batch.column(0), **found, "chunk": chunk}
-            names = [x.split()[0] for x in ALIGNED.split(", ")]
-            yield pa.RecordBatch.from_arrays([columns[x] if isinstance(columns[x], pa.Array) else pa.array(columns[x]) for x in names], names)
+        names = [x.split()[0] for x in ALIGNED.split(", ")]
+        for batch, _, _ in chunks(batches, "text", ALIGN_BYTES):
+            chunk = pa.array(np.full(batch.num_rows, task << 32 | number))
+            columns = {"doc_id": batch.column(0), "chunk": chunk, **aligned_texts(batch.column(1).to_pylist(), a, b)}
+            yield pa.RecordBatch.from_arrays([columns[x] for x in names], names)
             number += 1
             released()
 

@@ -28,7 +28,7 @@ def brute(rows):
     found, count = [], collections.Counter()
     for i, text in rows:
         text = text or ""
-        ids_a, ids_b = a.ids([text])[0], b.ids([text])[0]
+        ids_a, ids_b = a.ids([" " + text])[0], b.ids([" " + text])[0]
         want = (" " + text).encode()
         links, groups = [], []
         if text and b"".join(a.bytes_of[x] for x in ids_a) == want == b"".join(b.bytes_of[x] for x in ids_b):
@@ -85,8 +85,23 @@ def test_alignment_of_nothing(spark):
 
 
 def test_owners_by_hand():
-    a, b, cut = alignment.owners(np.array([0, 1, 2]), np.array([3, 4]), np.array([2, 1, 2, 0, 0]), np.array([0, 0, 0, 3, 2]))
-    assert (a.tolist(), b.tolist(), cut.tolist()) == ([0, 1, 2], [0, 0, 1], [True, False, True])
+    at, a, b, cut = alignment.owners(np.array([2, 1, 2]), np.array([3, 2]))
+    assert (at.tolist(), a.tolist(), b.tolist(), cut.tolist()) == ([0, 2, 3], [0, 1, 2], [0, 0, 1], [True, False, True])
+
+
+def test_units_have_the_tokens_that_they_have_in_their_text():
+    a, b = (alignment.tokenizer(p) for p in PATHS)
+    assert a.apart and b.apart
+    r = random.Random(7)
+    letters = list("ab Zé'’\u0301\u00a0\u3000\u2009\u0085\u200b\t\n  __09.,!▁ﬁ日\U0001f600<|>s") + [" the", " a1", "'s ", "n't", "\r\n", "  ", " x", "<s>", "<0x0A>", "<|endoftext|>"]
+    for _ in range(4000):
+        text = " " + "".join(r.choice(letters) for _ in range(r.randrange(1, 40)))
+        units = alignment.SEAM.split(text)
+        assert "".join(units) == text
+        for t in (a, b):
+            want = t.ids([text])[0]
+            if b"".join(t.bytes_of[i] for i in want) == text.encode():
+                assert [i for x in t.ids(units) for i in x] == want, repr(text)
 
 
 def brute_top(rows, k, by):
