@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +70,46 @@ def dispersion(rows: DataFrame) -> DataFrame:
     return spread.select(sigma.alias("sigma"), F.expm1(sigma * sigma).alias("alpha"), "used")
 
 
+#: Buckets that a pass of exact_median() counts, and values that it sorts in one task at most.
+BUCKETS, SORTED = 4096, 1_000_000
+
+
+def exact_median(rows: DataFrame, column: str) -> float | None:
+    """The median of the column's values that are neither null nor NaN; None without any. For columns of any length: passes over
+    ``rows`` count values by bucket, each within the buckets that hold the middle ranks, until few values are left to be sorted."""
+    x = F.col(column)
+    rows = rows.filter(x.isNotNull() & ~F.isnan(x)).select(x.cast("double").alias("x"))
+    low, high, n = rows.agg(F.min("x"), F.max("x"), F.count("*")).head()
+    if not n:
+        return None
+    ranks = [(n - 1) // 2, n // 2]
+    while low < high:
+        inside = rows.filter(F.col("x").between(low, high))
+        if n <= SORTED:
+            values = inside.agg(F.sort_array(F.collect_list("x")).alias("x")).select(*(F.get("x", F.lit(r)) for r in ranks)).head()
+            return (values[0] + values[1]) / 2
+        # Both ends are scaled before they are subtracted, so a range as wide as doubles go has a width.
+        place = (F.col("x") / 2 - low / 2) / (high / 2 - low / 2) * BUCKETS
+        counted = inside.groupBy(F.least(F.floor(place), F.lit(BUCKETS - 1)).alias("bucket")).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n")).orderBy("bucket").collect()
+        ends = list(accumulate(b["n"] for b in counted))
+        first, last = (next(i for i, end in enumerate(ends) if r < end) for r in ranks)
+        if first != last:  # the middle lies between two buckets
+            return (counted[first]["high"] + counted[last]["low"]) / 2
+        before = ends[first] - counted[first]["n"]
+        low, high, n, ranks = counted[first]["low"], counted[first]["high"], counted[first]["n"], [r - before for r in ranks]
+    return low
+
+
+def dispersion_of_many(rows: DataFrame) -> DataFrame:
+    """dispersion() for rows of any number, such as words: the medians are exact_median()'s."""
+    ratio = rows.filter("n > 0 and expected > 0").select(F.log(F.col("n") / F.col("expected")).alias("r"))
+    centre = exact_median(ratio, "r")
+    used = ratio.count()
+    spread = exact_median(ratio.select(F.abs(F.col("r") - centre).alias("r")), "r") if used > 1 else 0.0
+    sigma = max(0.05, 1.4826 * spread) if used > 1 else 0.5
+    return rows.sparkSession.createDataFrame([(sigma, math.expm1(sigma * sigma), used)], "sigma double, alpha double, used long")
+
+
 def allele_bias(alleles: DataFrame) -> DataFrame:
     """bias: logit of the first haplotype's share over all, held to .45 ... .55; 0 without counts."""
     share = F.coalesce(F.sum("h1") / F.nullif(F.sum("h1") + F.sum("h2"), F.lit(0)), F.lit(0.5))

@@ -181,3 +181,23 @@ def test_checks_of_counts_and_loci(spark):
 def test_catalogues(spark):
     a = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y")], "k int, v string")
     assert axis.same_catalogue(a, a.select("v", "k").orderBy("v")) and not axis.same_catalogue(a, a.distinct()) and not axis.same_catalogue(a, a.drop("v"))
+
+
+@pytest.mark.parametrize("values", [[], [1.0], [2.0, 1.0], [3.0, 1.0, 2.0], [5.0] * 40 + [1.0, 9.0], [float("nan"), None, 4.0, -4.0, 1e308, -1e308], "many", "ties", "tails"])
+def test_exact_median(spark, monkeypatch, values):
+    monkeypatch.setattr(aggregate, "SORTED", 20)
+    monkeypatch.setattr(aggregate, "BUCKETS", 8)
+    r = np.random.default_rng(3)
+    made = {"many": lambda: r.normal(size=5001), "ties": lambda: r.integers(0, 4, 2000).astype(float), "tails": lambda: np.exp(r.normal(size=4000) * 20)}
+    values = made[values]().tolist() if isinstance(values, str) else values
+    got = aggregate.exact_median(spark.createDataFrame([(v,) for v in values], "v double"), "v")
+    fine = [v for v in values if v is not None and not np.isnan(v)]
+    assert got == (np.median(fine) if fine else None)
+
+
+def test_dispersions_agree(spark, monkeypatch):
+    monkeypatch.setattr(aggregate, "SORTED", 20)
+    r = np.random.default_rng(5)
+    rows = spark.createDataFrame([(int(n), float(e)) for n, e in zip(r.poisson(5, 900), r.random(900) * 10, strict=True)], "n long, expected double")
+    for some in (rows, rows.limit(1), rows.limit(0)):
+        assert [round(x, 12) for x in aggregate.dispersion_of_many(some).head()] == [round(x, 12) for x in aggregate.dispersion(some).head()]
