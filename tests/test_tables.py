@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from countaxis import schema
-from countaxis.operators import aggregate, axis, regions, smoothing
+from countaxis.operators import aggregate, axis, permutations, regions, smoothing
 
 
 @pytest.fixture(scope="module")
@@ -201,3 +201,29 @@ def test_dispersions_agree(spark, monkeypatch):
     rows = spark.createDataFrame([(int(n), float(e)) for n, e in zip(r.poisson(5, 900), r.random(900) * 10, strict=True)], "n long, expected double")
     for some in (rows, rows.limit(1), rows.limit(0)):
         assert [round(x, 12) for x in aggregate.dispersion_of_many(some).head()] == [round(x, 12) for x in aggregate.dispersion(some).head()]
+
+
+def test_permuted_scores_are_those_of_permuted_labels(spark, monkeypatch):
+    """Cubes in slabs against a row for each cell and permutation."""
+    r = np.random.default_rng(8)
+    cells = spark.createDataFrame([(i, "xyyz"[i % 4] + "pq"[i % 7 == 0], float(r.integers(1, 50))) for i in range(700)], "cell long, group string, library double")
+    rows = [("12"[b % 2], b // 2, i, float(r.poisson(3)), float(r.poisson(1)), float(r.poisson(2))) for i in range(0, 720, 3) for b in range(5) if r.random() < 0.6]
+    region = spark.createDataFrame(rows, "chrom string, bin long, cell long, depth double, h1 double, h2 double")
+    rates = regions.region_rates(region, cells)
+    want = {x.perm: x for x in regions.chi_square(region, rates, regions.permuted_labels(cells, 9, 5)).collect()}
+    for cube in (permutations.CUBE_BYTES, 1000):
+        monkeypatch.setattr(permutations, "CUBE_BYTES", cube)
+        got = {x.perm: x for x in permutations.permuted_scores(region, rates, cells, 9, 5).collect()}
+        assert got.keys() == want.keys() and len(got) == 10
+        assert all(got[p][k] == pytest.approx(want[p][k], rel=1e-10) for p in want for k in ("joint", "depth", "allele"))
+    assert permutations.permuted_scores(region, rates, cells.filter("group = 'xq'"), 2, 5).count() == 3
+    assert permutations.permuted_scores(region, rates, cells.limit(0), 2, 5).count() == 0
+
+
+def test_labels_at_the_borders():
+    data = permutations.digests(1, 42, [b"%d" % i for i in range(50)])
+    keys = [data[16 * i : 16 * i + 16] for i in range(50)]
+    order = sorted(keys)
+    border = [order[10], order[10], order[37]]
+    got = permutations.labelled(data, border, permutations.leading(b"".join(border)))
+    assert got.tolist() == [0 if k < order[10] else 2 if k < order[37] else 3 for k in keys]
