@@ -159,3 +159,29 @@ def test_reference_fit(spark, method):
 def test_display_order():
     p = np.array([0.0, 5.0, 0.1, 5.1])
     assert grouping.display_order(np.array([2, 0, 2, 1]), abs(p[:, None] - p)) == [3, 0, 2, 1]
+
+
+@pytest.mark.parametrize("block", [3, 64])
+def test_path_distances_of_blocks_and_gaps(spark, monkeypatch, block):
+    """Members without some markers, null classes, names as members, blocks and slabs of draws."""
+    from countaxis.operators import paths as planes
+
+    monkeypatch.setattr(planes, "MEMBERS", block)
+    monkeypatch.setattr(planes, "PLANE_BYTES", 200)
+    r = np.random.default_rng(9)
+    rows = [(f"m{i}", m, [["gain", "loss", "é", None][k] for k in r.integers(0, 4, 5)]) for i in range(11) for m in range(130) if r.random() < 0.4]
+    rows += [("far", 500, ["gain"] * 5), (None, 1, ["gain"] * 5), ("m1x", None, ["loss"] * 5)]
+    got = {(x.a, x.b, x.draw): x.distance for x in clones.path_distance_rows(spark.createDataFrame(rows, "member string, marker int, path array<string>").repartition(3)).collect()}
+    want, own = {}, {}
+    for i, m, path in rows:
+        if i is not None and m is not None:
+            own.setdefault(i, {})[m] = path
+    for a in own:
+        for b in own:
+            for d in range(5):
+                pairs = [(own[a][m][d], own[b][m][d]) for m in own[a].keys() & own[b].keys()]
+                pairs = [(x, y) for x, y in pairs if x is not None and y is not None]
+                if a < b and pairs:
+                    want[a, b, d] = np.mean([x != y for x, y in pairs])
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
+    assert clones.path_distance_rows(spark.createDataFrame([], "member string, marker int, path array<string>")).count() == 0
