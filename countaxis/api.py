@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countaxis.operators import aggregate, axis, clones, fitting, grouping, mixture, regions, resample
+from countaxis.operators import aggregate, axis, clones, fitting, grouping, mixture, regions, resample, segments
 from countaxis.operators.states import CLASSES, STATES, Model, Parameters
 from countaxis.sources import bundle as bundles
 from countaxis.sources import matrices, sinks, tables
@@ -28,6 +28,7 @@ class Settings:
     cn_refinement: bool = True
     hf_refinement: bool = True
     threshold: float = 0.95
+    least_evidence: float = 5.0
     model: Model = Model()
     options: fitting.Options = fitting.Options()
 
@@ -54,6 +55,8 @@ class Result:
     signal: DataFrame
     null: DataFrame
     markers: DataFrame
+    barcode_evidence: DataFrame
+    group_evidence: DataFrame
     about: dict = field(default_factory=dict)
 
     def barcode_cn(self, barcodes: list[str] | None = None, threshold: float = 0.95) -> DataFrame:
@@ -73,7 +76,7 @@ class Result:
         root = Path(folder)
         root.mkdir(parents=True)
         try:
-            for name in ("groups", "posterior", "group_cn", "group_segments", "signal", "null", "markers"):
+            for name in ("groups", "posterior", "group_cn", "group_segments", "signal", "null", "markers", "barcode_evidence", "group_evidence"):
                 sinks.parquet(getattr(self, name), str(root / name))
             sinks.described(root / "membership.json", self.membership)
             sinks.described(root / "nodes.json", self.nodes)
@@ -181,12 +184,13 @@ def infer(bundle: bundles.Bundle, settings: Settings = Settings(), progress=lamb
         "barcode string, group int, called int, expression_group int, pool int, cells long, stability double",
     )
     progress("report")
-    group_cn, table = report_groups(bundle, groups, posterior, ax, model, settings)
+    group_cn, table, group_evidence = report_groups(bundle, groups, posterior, ax, model, settings)
+    barcode_evidence = segments.placed(segments.member_segments(rows, ax, model, noise.parameters, start), bundle.grid, settings.least_evidence)
     about = {
         "seconds": time.perf_counter() - began, "settings": repr(settings), "alpha_pooled": fit.dispersion.parameters.alpha, "alpha_barcodes": noise.parameters.alpha, "phase_iterations": [fit.first.iterations, fit.final.iterations],
         "bound": fit.final.bound, "hf_status": hf_status, "evidence": calls.evidence, "features": calls.features, "method": calls.method,
     }
-    return Result(groups, calls.membership, nodes, posterior, group_cn, table, tested, null, bundle.grid, about)
+    return Result(groups, calls.membership, nodes, posterior, group_cn, table, tested, null, bundle.grid, barcode_evidence, group_evidence, about)
 
 
 def _haplotypes(bundle: bundles.Bundle, phase: np.ndarray, cells: DataFrame, settings: Settings) -> dict:
@@ -199,14 +203,16 @@ def _haplotypes(bundle: bundles.Bundle, phase: np.ndarray, cells: DataFrame, set
     return resample.haplotype_features(bins, by_cell, cells.select("cell", "group"), settings.bootstraps, settings.seed, settings.seed)
 
 
-def report_groups(bundle: bundles.Bundle, groups: DataFrame, posterior: DataFrame, ax: fitting.Axis, model: Model, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """(group_cn, segments): pooled joint fits of resolved groups beside the consensus of their barcodes; empty without any."""
+def report_groups(bundle: bundles.Bundle, groups: DataFrame, posterior: DataFrame, ax: fitting.Axis, model: Model, settings: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(group_cn, segments, evidence): pooled joint fits of resolved groups beside the consensus of their barcodes, and the evidence of
+    the segments of the pooled counts' most probable paths; empty without any group."""
     labels = groups.select("barcode", "group")
     number = groups.agg(F.max("group")).head()[0] or 0
     spark = groups.sparkSession
     if not number:
         empty = spark.createDataFrame([], "group int, marker int, consensus array<double>, label int, uncertain double, conflict double, pooled_conflict double, p array<double>")
-        return empty, axis.segment_table(empty.drop("p", "pooled_conflict"), bundle.grid)
+        nothing = spark.createDataFrame([], "member int, chrom string, segment int, first int, last int, state string, log_bf double, genes long, best string")
+        return empty, axis.segment_table(empty.drop("p", "pooled_conflict"), bundle.grid), segments.placed(nothing, bundle.grid, settings.least_evidence)
     depth, pairs = bundle.pseudobulk(labels).orderBy("group", "marker", "gene").toPandas(), bundle.pooled_alleles(labels).orderBy("group", "locus").toPandas()
     counts = fitting.Counts(ax, int(number), depth.assign(group=depth["group"] - 1, weight=1.0), pairs.assign(group=pairs["group"] - 1))
     noise = fitting.fit_joint_dispersion(counts, model, settings.options)
@@ -217,7 +223,10 @@ def report_groups(bundle: bundles.Bundle, groups: DataFrame, posterior: DataFram
     pooled = spark.createDataFrame(rows, "group int, marker int, p array<double>")
     members = groups.select(F.col("barcode").alias("member"), "group", "cells")
     made = aggregate.consensus(posterior.select("member", "marker", F.col("classes").alias("p")), members, pooled, settings.threshold)
-    return made.join(pooled, ["group", "marker"]), axis.segment_table(made, bundle.grid)
+    pool = lambda frame: frame.withColumnRenamed("group", "member")
+    rows = fitting.member_rows(pool(bundle.pseudobulk(labels)), pool(bundle.pooled_alleles(labels)), bundle.grid, bundle.loci)
+    evidence = segments.placed(segments.member_segments(rows, ax, model, noise.parameters, counts.start()), bundle.grid, settings.least_evidence)
+    return made.join(pooled, ["group", "marker"]), axis.segment_table(made, bundle.grid), evidence
 
 
 def run(spark: SparkSession, matrix, cells, genes, reference, alleles=None, genetic_map: str | None = None, settings: Settings = Settings(), out: str | None = None) -> Result:

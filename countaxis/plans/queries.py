@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from countaxis.functions import columns as C
 from countaxis.functions.likelihood import with_pln
 from countaxis.operators import aggregate, axis, clones, grouping, hmm, regions, resample, smoothing, states
+from countaxis.operators import segments as evidence
 from countaxis.plans.binding import Bound, with_ctes
 
 QUERIES, SQL = {}, {}
@@ -571,6 +572,30 @@ def segment_filter(b: Bound) -> DataFrame:
     return axis.filtered_segments(best).select("group", "gene", "state", "raw_state")
 
 
+HELD = ISLANDS + """, e AS (SELECT member, marker, segment, new, -0.2e0 - value / 1000 AS e00, -0.5e0 - (event_id % 7) / 10.0e0 AS e01, -0.4e0 - (event_id % 3) / 5.0e0 AS e10, -0.3e0 - value / 500 AS e11, 0.05e0 + (event_id % 5) / 20.0e0 AS s FROM runs),
+f AS (SELECT member, marker, segment, ln(0.5e0) + e00 AS a, ln(0.5e0) + e01 AS b, ln(0.5e0) + e10 AS c, ln(0.5e0) + e11 AS d FROM e WHERE marker = 0
+UNION ALL SELECT o.member, o.marker, o.segment, o.e00 + CASE o.new WHEN 1 THEN ln(0.5e0) ELSE ln(exp(a - greatest(a, b)) * (1 - s) + exp(b - greatest(a, b)) * s) + greatest(a, b) END,
+  o.e01 + CASE o.new WHEN 1 THEN ln(0.5e0) ELSE ln(exp(a - greatest(a, b)) * s + exp(b - greatest(a, b)) * (1 - s)) + greatest(a, b) END,
+  o.e10 + CASE o.new WHEN 1 THEN ln(0.5e0) ELSE ln(exp(c - greatest(c, d)) * (1 - s) + exp(d - greatest(c, d)) * s) + greatest(c, d) END,
+  o.e11 + CASE o.new WHEN 1 THEN ln(0.5e0) ELSE ln(exp(c - greatest(c, d)) * s + exp(d - greatest(c, d)) * (1 - s)) + greatest(c, d) END
+  FROM f JOIN e o ON o.member = f.member AND o.marker = f.marker + 1),
+ends AS (SELECT member, segment, min(marker) AS first, max(marker) AS last FROM e GROUP BY 1, 2)
+SELECT f.member, f.segment, CAST(n.first AS INTEGER) AS first, CAST(n.last AS INTEGER) AS last, round(ln(exp(a - greatest(a, b)) + exp(b - greatest(a, b))) + greatest(a, b), 6) AS first_state, round(ln(exp(c - greatest(c, d)) + exp(d - greatest(c, d))) + greatest(c, d), 6) AS second_state
+FROM f JOIN ends n ON n.member = f.member AND n.segment = f.segment AND n.last = f.marker"""
+
+
+@query("states", HELD)
+def segment_evidence(b: Bound) -> DataFrame:
+    """How likely each run of one state is under two states held throughout it, phases summed over."""
+    runs = axis.segments(b.states(), ["member"], ["marker"], "state")
+    number, value = F.col("event_id"), F.col("value")
+    logs = F.array(-0.2 - value / 1000, -0.5 - (number % 7) / 10, -0.4 - (number % 3) / 5, -0.3 - value / 500)
+    rows = runs.select("member", "marker", "segment", logs.alias("e"), (0.05 + (number % 5) / 20).alias("switch"))
+    out = evidence.state_evidence(rows, ["member"], "marker", "segment", "e", "switch")
+    held = [r6(F.col("evidence")[k], name) for k, name in enumerate(("first_state", "second_state"))]
+    return out.select("member", F.col("run").alias("segment"), "first", "last", *held)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query: the permutation test of the chi-square score."""
     return QUERIES["permutation_signal"](spark, sf_dir)

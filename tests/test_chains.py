@@ -185,3 +185,51 @@ def test_segment_calls():
     emission = fitting.joint_emissions(c.depth_sums(model, Parameters(0.01)), *c.places, c.terms(model, Parameters(0.01)), c.axis, model)[0]
     calls = fitting.segment_calls(emission, c.axis, model, np.ones(12, int))
     assert calls["state"].tolist() == ["diploid", "gain", "diploid"] and calls["first"].tolist() == [0, 4, 8] and calls["log_bf"][1] > 5 and calls["log_bf"][0] == 0 and calls["genes"].tolist() == [4, 4, 4]
+
+
+def test_evidence_of_runs_anywhere():
+    """Runs that overlap, of one place and of many, against the recursion of one run, and with certain phases."""
+    from countaxis.operators import segments
+
+    r = np.random.default_rng(4)
+    emission, switch = r.normal(size=(75, 3, 2)), r.random(75) * 0.5
+    switch[[3, 9]] = 0.0, 0.5
+    emission[20, 1, 0] = -np.inf
+    starts = np.concatenate((np.arange(75), r.integers(0, 75, 200)))
+    stops = np.concatenate((np.arange(75) + 1, starts[75:] + 1 + r.integers(0, 75, 200))).clip(max=75)
+    got = segments.run_evidence(emission, switch, starts, stops)
+    want = [hmm.constant_segments(emission.reshape(75, -1), switch[1:], a, b) for a, b in zip(starts, stops, strict=True)]
+    assert np.allclose(got, want, atol=1e-10) and segments.run_evidence(emission, switch, [], []).shape == (0, 3)
+    assert np.allclose(segments.run_evidence(np.zeros((9, 2, 2)), switch[:9], [0, 2], [9, 5]), 0)
+    for wrong in ([3], [3]), ([0], [76]), ([-1], [2]):
+        with pytest.raises(ValueError):
+            segments.run_evidence(emission, switch, *wrong)
+
+
+def test_segments_of_members_agree_with_the_whole_chain(spark):
+    """Chromosome by chromosome on the executors as in one chain over all of them."""
+    from countaxis.operators import segments
+
+    r = np.random.default_rng(6)
+    markers = pd.DataFrame({"marker": range(40), "chrom": ["1"] * 25 + ["2"] * 15, "start": range(1, 40_000_001, 1_000_000), "end": range(1, 40_000_001, 1_000_000)})
+    loci = pd.DataFrame({"locus": range(4), "marker": [3, 7, 12, 30], "population_phase": [0.2, 0.9, 0.5, 0.7], "genetic_cm": [0.1, 0.2, 0.4, 0.1]})
+    model = Model(family="nb", outlier=0.0)
+    ax, parameters = fitting.Axis.of(markers, loci, model), Parameters(0.1)
+    rows = []
+    for g in range(3):
+        rows += [(f"m{g}", markers["chrom"][m], m, 0, float(r.poisson(60 if g == 1 and m < 15 else 30)), 30.0, 1.0) for m in range(40) for _ in range(2)]
+        rows += [(f"m{g}", markers["chrom"][m], m, 1, float(r.poisson(9)), float(r.poisson(4)), 0.9) for m in loci["marker"]]
+    frame = spark.createDataFrame(rows, "member string, chrom string, marker int, kind int, a double, b double, w double")
+    got = {(x.member, x.first): x for x in segments.member_segments(frame, ax, model, parameters).collect()}
+    for g in range(3):
+        own = pd.DataFrame([x for x in rows if x[0] == f"m{g}"], columns=fitting.ROWS)
+        emission = fitting._member_emission(own, ax, 0, model, parameters, parameters)[0]
+        want = fitting.segment_calls(emission, ax, model, np.full(40, 2))
+        assert len(want) == sum(k[0] == f"m{g}" for k in got)
+        for x in want.itertuples():
+            y = got[f"m{g}", x.first]
+            assert (y.chrom, y.last, y.state, y.genes, y.best) == (x.chrom, x.last, x.state, x.genes, x.best) and y.log_bf == pytest.approx(x.log_bf, abs=1e-8)
+    assert any(x.state == "gain" and x.log_bf > 5 for x in got.values())
+    grid = spark.createDataFrame(markers)
+    kept = segments.placed(spark.createDataFrame(list(got.values())), grid, 1e9).collect()
+    assert {x.state for x in kept} == {"diploid"} and {x.raw_state for x in kept} == {x.state for x in got.values()} and all(x.end >= x.start for x in kept)

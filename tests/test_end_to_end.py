@@ -46,6 +46,10 @@ def test_planted_groups_are_found(spark, study, tmp_path):
     assert max(gain[f"b{b}", m] for b in range(8) for m in range(40, 60)) < 0.1
     states = {(r.group, r.chrom): r.label for r in result.group_segments.collect()}
     assert states[label["b0"], "chr1"] == 1 and states[label["b4"], "chr2"] == 1 and states[label["b0"], "chr3"] == 0
+    evidence = {(r.member, r.chrom): r for r in result.barcode_evidence.collect()}
+    assert evidence["b0", "chr1"].state == "gain" and evidence["b0", "chr1"].log_bf > 5 and evidence["b0", "chr3"].state == "diploid" and evidence["b0", "chr1"].genes == 20
+    own = {(r.member, r.chrom): r for r in result.group_evidence.collect()}
+    assert own[label["b4"], "chr2"].state == own[label["b4"], "chr2"].best == "gain" and own[label["b4"], "chr2"].log_bf > evidence["b4", "chr2"].log_bf
     with pytest.raises(ValueError):
         result.barcode_cn(["none"])
     result.save(str(tmp_path / "out"))
