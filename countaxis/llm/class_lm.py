@@ -73,7 +73,7 @@ def _number(x: int) -> bytes:
     return int(x).to_bytes(8, "little", signed=True)
 
 
-def _cut(shards: int):
+def _cut(shards: int, key: int):
     """Chunks: their documents and token sequences (0 the end, then the chunk's words in the order of shards and hashes), and
     their words for the shards."""
 
@@ -82,7 +82,7 @@ def _cut(shards: int):
             data = LOWER[data]
             starts, ends, row = word_spans(data, offsets, NOT_SPACE)
             n = np.bincount(row, minlength=batch.num_rows) if len(starts) else np.zeros(batch.num_rows, np.int64)
-            words, place = np.unique(span_hash(data, starts, ends), return_inverse=True)
+            words, place = np.unique(span_hash(data, starts, ends, 0, key), return_inverse=True)
             shard = (mixed(words) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             number = np.empty(len(order), np.int64)
@@ -422,7 +422,9 @@ def score_texts(docs: DataFrame, held_out, settings: Settings = Settings(), shar
     spark = docs.sparkSession
     shards = shards or 3 * max(8, docs.rdd.getNumPartitions())
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), as_text().alias("text"))
-    cut = stored(source.mapInArrow(_cut(shards), ROWS), "lm-chunks")
+    # The key of the words' hashes is the corpus's own: as hard to foresee as all its texts, and the same in each run over them.
+    own = source.agg(F.bit_xor(F.xxhash64("text")), F.sum(F.xxhash64("text", "doc_id") % (1 << 40))).head()
+    cut = stored(source.mapInArrow(_cut(shards, ((own[0] or 0) ^ (own[1] or 0)) & (1 << 63) - 1), ROWS), "lm-chunks")
     of = lambda frame, *kinds: frame.filter(F.col("kind").isin(*kinds))
     tokens = of(cut, TOKENS).agg(F.sum("grp")).head()[0] or 0
     counted = stored(of(cut, WORDS).groupBy("grp").applyInArrow(_count(max(2, settings.share * tokens)), ROWS), "lm-counts")

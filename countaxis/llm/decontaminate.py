@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countaxis.llm.shared import ALNUM, LOWER, as_text, chunks, mark, ragged, span_hash, word_spans
+from countaxis.llm.shared import ALNUM, LOWER, as_text, chunks, mark, new_key, ragged, span_hash, word_spans
 
 #: Bytes of benchmark text broadcast at once; a larger benchmark is searched block by block.
 BLOCK_BYTES = 8 << 20
@@ -31,12 +31,13 @@ class Tests:
 
     def __init__(self, rows: list[tuple[str, str]]):
         self.items = [i for i, _ in rows]
+        self.key = new_key()
         texts = [(t or "").encode() for _, t in rows]
         data = LOWER[np.frombuffer(b"".join(texts), np.uint8)]
         offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
         starts, ends, item = word_spans(data, offsets, ALNUM)
-        self.vocabulary, first, numbers = np.unique(span_hash(data, starts, ends), return_index=True, return_inverse=True)
-        self.check = span_hash(data, starts[first], ends[first], 1)
+        self.vocabulary, first, numbers = np.unique(span_hash(data, starts, ends, 0, self.key), return_index=True, return_inverse=True)
+        self.check = span_hash(data, starts[first], ends[first], 1, self.key)
         self.words = np.zeros(len(starts) + len(rows), np.int32)
         at = np.arange(len(starts)) + item
         self.words[at] = numbers + 1
@@ -68,10 +69,10 @@ def shard_of(tests: Tests, data: np.ndarray, offsets: np.ndarray) -> Shard:
     first = np.cumsum(n_words + 1) - n_words - 1
     words = np.zeros(len(starts) + rows, np.int64)
     if len(starts) and len(tests.vocabulary):
-        hashes = span_hash(data, starts, ends)
+        hashes = span_hash(data, starts, ends, 0, tests.key)
         at = np.minimum(np.searchsorted(tests.vocabulary, hashes), len(tests.vocabulary) - 1)
         known = np.flatnonzero(tests.vocabulary[at] == hashes)
-        known = known[span_hash(data, starts[known], ends[known], 1) == tests.check[at[known]]]
+        known = known[span_hash(data, starts[known], ends[known], 1, tests.key) == tests.check[at[known]]]
         words[known + doc[known]] = at[known] + 1
     return Shard(words, np.repeat(np.arange(rows), n_words + 1), n_words, first)
 

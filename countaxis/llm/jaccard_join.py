@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from countaxis.llm.components import components
-from countaxis.llm.shared import BROADCAST_ROWS, HOT_KEYS, HOT_ROWS, as_text, column_bytes, forget, free_names, mixed, skew_join, small, stored, tidy
+from countaxis.llm.shared import BROADCAST_ROWS, HOT_KEYS, HOT_ROWS, as_text, column_bytes, forget, free_names, mixed, new_key, skew_join, small, stored, tidy
 from countaxis.llm.shingles import shingle_sets
 from countaxis.llm.suffix_dedup import NO_ID, ROWS, _deal, _kinds, documents, packed, rows_of, split_by, unpacked
 
@@ -49,13 +49,13 @@ def count_bits(documents: int) -> int:
 class Sets:
     """The distinct shingle sets of a group of documents, and each document's set."""
 
-    def __init__(self, table: pa.Table, schema: pa.Schema, width: int, shards: int, bits: int):
+    def __init__(self, table: pa.Table, schema: pa.Schema, width: int, shards: int, bits: int, key: int):
         ids, tags, sets, sizes, shingles = [], [], [], [], []
         self.known: dict[int, int] = {}
         for batch in documents(table, schema):
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
-                all_, offsets = shingle_sets(*column_bytes(part.column(2)), width)
+                all_, offsets = shingle_sets(*column_bytes(part.column(2)), width, key)
                 ids += part.column(0).to_pylist()
                 tags += part.column(1).to_pylist()
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -76,9 +76,9 @@ class Sets:
         self.shard = (mixed(self.distinct) % np.uint64(shards)).astype(np.int64)
 
 
-def _tell_shingles(schema: pa.Schema, width: int, shards: int, bits: int):
+def _tell_shingles(schema: pa.Schema, width: int, shards: int, bits: int, key: int):
     def run(table: pa.Table) -> pa.Table:
-        sets, rows = Sets(table, schema, width, shards, bits), []
+        sets, rows = Sets(table, schema, width, shards, bits, key), []
         for s, members in split_by(sets.shard):
             out = np.empty(len(members), COUNTED)
             out["gap"], out["count"] = np.diff(sets.distinct[members], prepend=np.uint64(0)), sets.counts[members]
@@ -114,7 +114,7 @@ def least_overlap(n: np.ndarray | int, percent: int):
     return -(-percent * n // 100)
 
 
-def _prefixes(schema: pa.Schema, width: int, shards: int, bits: int, percent: int):
+def _prefixes(schema: pa.Schema, width: int, shards: int, bits: int, percent: int, key: int):
     """All documents' sets; of sets that can be linked, their shared shingles, and the shared ones of their prefixes."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -123,7 +123,7 @@ def _prefixes(schema: pa.Schema, width: int, shards: int, bits: int, percent: in
             if kind == CODES:
                 code, tail = unpacked(blob, CODE)
                 codes[int.from_bytes(tail, "little")] = code["code"]
-        sets = Sets(table, schema, width, shards, bits)
+        sets = Sets(table, schema, width, shards, bits, key)
         rows = [(0, DOCUMENTS, packed(sets.documents))] if len(sets.documents) else []
         code = np.zeros(len(sets.distinct), np.uint8)
         for s, members in split_by(sets.shard):
@@ -375,10 +375,10 @@ def shingle_documents(docs: DataFrame, width: int = 5, percent: int = 75, block:
     schema = to_arrow_schema(keyed.schema)
     total = docs.count()
     common, bits = max(MANY, int(COMMON_SHARE * total)), count_bits(total)
-    texts = keyed.mapInArrow(_deal(KEYS, groups), ROWS)
-    told = texts.groupBy("grp").applyInArrow(_tell_shingles(schema, width, shards, bits), ROWS)
+    texts, key = keyed.mapInArrow(_deal(KEYS, groups), ROWS), new_key()
+    told = texts.groupBy("grp").applyInArrow(_tell_shingles(schema, width, shards, bits, key), ROWS)
     codes = stored(told.groupBy("grp").applyInArrow(_count_shingles(common), ROWS), "shingle-codes")
-    found = stored(texts.unionByName(codes).groupBy("grp").applyInArrow(_prefixes(schema, width, shards, bits, percent), ROWS), "shingle-sets")
+    found = stored(texts.unionByName(codes).groupBy("grp").applyInArrow(_prefixes(schema, width, shards, bits, percent, key), ROWS), "shingle-sets")
 
     forget(codes)
     documents_ = stored(found.filter(F.col("kind") == DOCUMENTS).select("blob").mapInArrow(_document_rows, "_id long, _row long, set long, n_shingles long"), "documents")

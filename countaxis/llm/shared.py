@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import hashlib
+import secrets
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -222,41 +224,62 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 #: Spans of more bytes are hashed one by one.
 LONG_SPAN = 512
+#: The key of hashes that are compared within one process only.
+PROCESS_KEY = secrets.randbits(63)
 
 
-def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hashes of spans' bytes that depend on nothing else (and on ``seed``: two seeds give 128 bits). Eight bytes after
-    another are mixed in, spans side by side; nothing in it is linear in the bytes, so there are no families of texts that
-    collide."""
+def new_key() -> int:
+    """A key for hashes that several tasks compare; the driver draws it for each run and sends it with the tasks."""
+    return secrets.randbits(63)
+
+
+@functools.lru_cache(8)
+def hash_weights(key: int, seed: int) -> np.ndarray:
+    """Odd 64-bit weights of a span's 32-bit parts, and of its size, that nobody can tell without the key."""
+    drawn = np.random.Generator(np.random.Philox(key=[key, seed])).integers(0, 1 << 64, LONG_SPAN // 4 + 3, np.uint64)
+    return drawn | np.uint64(1)
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, key: int | None = None) -> np.ndarray:
+    """64-bit hashes of spans' bytes that depend on nothing else but ``seed`` (two seeds give 128 bits) and ``key`` (by default the
+    process's own, so hashes that tasks compare need one).
+
+    A span is a row of 32-bit parts, and its hash their sum weighed by secret numbers (multilinear hashing), spans side by side. Any two
+    spans that are chosen without knowing the key agree with a chance of 2 to the -31 at most, and of about 2 to the -64 unless they
+    differ in the high bits of few parts only; whatever the key, no span is alike to another by construction.
+    """
     starts, size = np.asarray(starts, np.int64), np.asarray(ends, np.int64) - np.asarray(starts, np.int64)
-    out = mixed(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019 + seed))
+    key = PROCESS_KEY if key is None else key
+    weights = hash_weights(key, seed)
+    out = size.astype(np.uint64) * weights[-1] + weights[-2]
     if not len(starts):
         return out
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
     eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
     at = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
-    h, place, left = out[at], starts[at], size[at]
+    h, place, left, part = out[at], starts[at], size[at], 0
     while len(at):
         block = eight[place]
-        part = np.flatnonzero(left < 8)
-        if len(part):
-            block[part] &= (np.uint64(1) << (left[part].astype(np.uint64) << np.uint64(3))) - np.uint64(1)
-        h ^= block
-        np.right_shift(h, np.uint64(32), out=block)
-        h ^= block
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        np.right_shift(h, np.uint64(32), out=block)
-        h ^= block
+        short = np.flatnonzero(left < 8)
+        if len(short):
+            block[short] &= (np.uint64(1) << (left[short].astype(np.uint64) << np.uint64(3))) - np.uint64(1)
+        block *= np.uint64(0x9E3779B97F4A7C15)  # a map of blocks to blocks, after which letters differ in more than a few bits
+        high = block >> np.uint64(32)
+        block &= np.uint64(0xFFFFFFFF)
+        block *= weights[part]
+        high *= weights[part + 1]
+        h += block
+        h += high
         more = left > 8
         if not more.all():
             done = ~more
-            out[at[done]] = mixed(h[done])
+            out[at[done]] = h[done]
             at, h, place, left = at[more], h[more], place[more], left[more]
-        place, left = place + 8, left - 8
+        place, left, part = place + 8, left - 8, part + 2
     for i in np.flatnonzero(size > LONG_SPAN).tolist():
-        found = hashlib.blake2b(data[starts[i] : starts[i] + size[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little"))
+        found = hashlib.blake2b(data[starts[i] : starts[i] + size[i]].tobytes(), digest_size=8, key=key.to_bytes(8, "little"), salt=seed.to_bytes(8, "little"))
         out[i] = int.from_bytes(found.digest(), "little")
-    return out
+    return mixed(out)
 
 
 def byte_table(*ranges: tuple[int, int]) -> np.ndarray:

@@ -9,7 +9,7 @@ from countaxis.llm.shared import LOWER, NOT_SPACE, mixed, span_hash, word_spans
 _STEP = np.uint64(0xA0761D6478BD642F)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5, key: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Each text's distinct shingles, sorted by hash, one text after another; and the offsets of the texts in them.
 
     Words are runs of bytes other than white space (20, 09-0D), A-Z lower-cased; a shingle is ``width`` successive words,
@@ -20,7 +20,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple
     starts, ends, row = word_spans(data, offsets, NOT_SPACE)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
-    words = span_hash(data, starts, ends)
+    words = span_hash(data, starts, ends, 0, key)
     counts = np.bincount(row, minlength=rows)
     out, owner = [], []
     if len(words) >= width:

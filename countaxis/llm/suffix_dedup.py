@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countaxis.llm.shared import CHUNK_BYTES, as_text, column_bytes, free_names, mark, mixed, ragged, released, span_hash, stored, tidy
+from countaxis.llm.shared import CHUNK_BYTES, as_text, column_bytes, free_names, mark, mixed, new_key, ragged, released, span_hash, stored, tidy
 
 #: Bytes of the gram that anchors a window.
 GRAM = 20
@@ -157,7 +157,7 @@ def pieces(column: pa.Array, most: int, length: int) -> Iterator[tuple[np.ndarra
         low = high
 
 
-def _hash_segments(length: int, shards: int, groups: int):
+def _hash_segments(length: int, shards: int, groups: int, key: int):
     """Each chunk's segments as hashes, for the shards of their grams; repeats inside the chunk are told at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +170,8 @@ def _hash_segments(length: int, shards: int, groups: int):
                 found = np.empty(len(first), HASHED)
                 found["id"], found["row"], found["start"] = ids[row[text]], tags[row[text]], first - offsets[text] + base[text]
                 found["count"], found["anchor"] = count, anchor - first
-                found["gram"] = span_hash(data, anchor, anchor + GRAM)
-                found["content"] = span_hash(data, first, first + count + length - 1)
+                found["gram"] = span_hash(data, anchor, anchor + GRAM, 0, key)
+                found["content"] = span_hash(data, first, first + count + length - 1, 1, key)
                 kept, repeats = collapsed(found)
                 rows = [(s, HASHES, packed(kept[members])) for s, members in split_by((kept["gram"] % np.uint64(shards)).astype(np.int64))]
                 # Repeats go with the same shuffle, dealt by their documents, to the shards' tasks, which pass them on.
@@ -461,7 +461,7 @@ def remove_repeats(docs: DataFrame, columns: list[str] | None = None, length: in
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(keyed.schema)
-    hashed = keyed.select(*keys).mapInArrow(_hash_segments(length, shards, groups), ROWS)
+    hashed = keyed.select(*keys).mapInArrow(_hash_segments(length, shards, groups, new_key()), ROWS)
     compared = stored(hashed.groupBy("grp").applyInArrow(_compare_hashes(shards, groups), ROWS), "repeats")
     texts = keyed.mapInArrow(_deal(keys, groups), ROWS)
     wanted = compared.filter(F.col("kind") == CANDIDATES)

@@ -158,3 +158,54 @@ def test_columns_may_have_any_name(spark):
     assert suffix_dedup.deduplicated(docs).count() == 5 and jaccard_join.one_of_each(docs).count() < 5
     lexicon = toxicity.Lexicon({}, [])
     assert [toxicity.kept(docs, lexicon, t).count() for t in (0, 0.999, 1)] == [0, 5, 5]
+
+
+# Pairs of one hash when blocks of a word were mixed one after another by a map that everyone knows
+COLLIDING = [("abcdefghijklmnop", "f9,-i7?\\x=9?ql|'")]
+
+
+def built(seed):
+    """Sixteen bytes, and those that such a hash takes for them whatever it starts from: the top bits of both blocks' halves differ."""
+    r = np.random.default_rng(seed)
+    a = r.integers(0, 256, 16).astype(np.uint8)
+    b = a.copy()
+    b[[3, 7, 11, 15]] ^= 0x80
+    return a, b
+
+
+def test_built_pairs_are_told_apart():
+    for seed in range(50):
+        a, b = built(seed)
+        data = np.concatenate((a, b))
+        for key in (0, 1, shared.new_key()):
+            x, y = shared.span_hash(data, np.array([0, 16]), np.array([16, 32]), 0, key)
+            assert x != y
+    same = np.frombuffer(b"one two one", np.uint8)
+    x, y, z = shared.span_hash(same, np.array([0, 4, 8]), np.array([3, 7, 11]), 0, 5)
+    assert x == z != y and shared.span_hash(same, np.array([0]), np.array([3]), 0, 6)[0] != x != shared.span_hash(same, np.array([0]), np.array([3]), 1, 5)[0]
+
+
+def test_hashes_of_many_words_differ():
+    """Words that differ in one place only, in few bits, or in their lengths."""
+    words = [bytes([x]) * n for x in range(1, 256) for n in range(1, 40)] + [bytes([97] * i + [x] + [97] * (20 - i)) for i in range(21) for x in range(98, 256)] + [b"\0" * n for n in range(1, 30)]
+    data, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
+    got = shared.span_hash(data, ends - [len(w) for w in words], ends, 0, shared.new_key())
+    assert len(set(got.tolist())) == len(set(words))
+
+
+@pytest.mark.parametrize("pair", COLLIDING)
+def test_operators_tell_built_words_apart(spark, pair):
+    a, b = pair
+    docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert {(x.doc_id, x.component_id) for x in jaccard_join.jaccard_join(docs).collect()} == {(1, 1), (2, 2)}
+    assert jaccard_join.one_of_each(docs).count() == 2
+    known = class_lm.score_texts(docs, docs["doc_id"] == 2, class_lm.Settings(classes=4, clustered=10)).collect()
+    assert {x.doc_id: x.n_known for x in known} == {1: 2, 2: 1}
+    tail = "".join(chr(98 + i * 7 % 24) for i in range(84))
+    texts = spark.createDataFrame([(1, a + tail), (2, b + tail)], "doc_id long, text string")
+    assert {x.doc_id: x._n_removed for x in suffix_dedup.remove_repeats(texts, ["doc_id"]).collect()} == {1: 0, 2: 0}
+    items = spark.createDataFrame([("i", a)], "item_id string, text string")
+    assert {x.doc_id for x in decontaminate.find_contamination(docs, items).collect() if x.n_hit} == {1}
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    want = packing.encoder(path).model.encode_batch_fast([f"{a} {b}"], add_special_tokens=False)[0].ids
+    assert np.frombuffer(packing.encode([f"{a} {b}"], path)[0], "<u4").tolist() == want
