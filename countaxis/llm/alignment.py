@@ -93,41 +93,39 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
+def encoded_parts(parts: list[list[str]], a: Tokenizer, b: Tokenizer) -> Iterator[tuple[list[int], list[int], list[int]]]:
+    """Of each part (units side by side) A's ids, B's ids and its units' bytes; unit by unit where either's tokens are other bytes."""
+    whole = ["".join(x) for x in parts]
+    for part, text, own_a, own_b in zip(parts, whole, a.ids(whole), b.ids(whole), strict=True):
+        want = text.encode()
+        if b"".join([a.bytes_of[i] for i in own_a]) == want and b"".join([b.bytes_of[i] for i in own_b]) == want:
+            yield own_a, own_b, [len(x.encode()) for x in part]
+        elif len(part) == 1:
+            yield [], [], [0]
+        else:
+            yield from encoded_parts([[x] for x in part], a, b)
+
+
 def encoded(units: list[str], a: Tokenizer, b: Tokenizer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A's ids and B's ids of units of text (each begins with a space), one unit after another, and the bytes of each unit that have
     tokens: all, or none where either's tokens are other bytes than the unit. Units that can stand side by side without
     a change of their tokens are encoded together."""
-    ids_a: list[int] = []
-    ids_b: list[int] = []
-    sizes: list[int] = []
-
-    def put(parts: list[list[str]]) -> None:
-        whole = ["".join(x) for x in parts]
-        for part, text, own_a, own_b in zip(parts, whole, a.ids(whole), b.ids(whole), strict=True):
-            want = text.encode()
-            if b"".join([a.bytes_of[i] for i in own_a]) == want and b"".join([b.bytes_of[i] for i in own_b]) == want:
-                ids_a.extend(own_a)
-                ids_b.extend(own_b)
-                sizes.extend([len(x.encode()) for x in part])
-            elif len(part) == 1:
-                sizes.append(0)
-            else:
-                put([[x] for x in part])
-
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
     parts: list[list[str]] = []
     size, side_by_side = 0, False
-    for unit in units:
+    for number, unit in enumerate(units, 1):
         joinable = JOINABLE.fullmatch(unit) is not None
         if not (joinable and side_by_side and len(parts[-1]) < JOINED):
             parts.append([])
         parts[-1].append(unit)
         side_by_side = joinable
         size += len(unit)
-        if size >= ENCODE_BYTES:
-            put(parts)
+        if size >= ENCODE_BYTES or number == len(units):
+            for found in encoded_parts(parts, a, b):
+                for x, y in zip(out, found, strict=True):
+                    x.append(np.array(y, np.int64))
             parts, size, side_by_side = [], 0, False
-    put(parts)
-    return np.array(ids_a, np.int64), np.array(ids_b, np.int64), np.array(sizes, np.int64)
+    return tuple(np.concatenate(x) for x in out)
 
 
 def owners(lengths_a: np.ndarray, lengths_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
