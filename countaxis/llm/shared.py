@@ -222,8 +222,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: Spans of more bytes are hashed one by one.
-LONG_SPAN = 512
+#: Spans of more bytes are hashed one by one; and spans hashed side by side.
+LONG_SPAN, SPANS = 512, 1 << 16
 #: The key of hashes that are compared within one process only.
 PROCESS_KEY = secrets.randbits(63)
 
@@ -256,6 +256,17 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
         return out
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
     eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    for low in range(0, len(starts), SPANS):
+        part = slice(low, low + SPANS)
+        _weigh(eight, starts[part], size[part], weights, out[part])
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        found = hashlib.blake2b(data[starts[i] : starts[i] + size[i]].tobytes(), digest_size=8, key=key.to_bytes(8, "little"), salt=seed.to_bytes(8, "little"))
+        out[i] = int.from_bytes(found.digest(), "little")
+    return mixed(out)
+
+
+def _weigh(eight: np.ndarray, starts: np.ndarray, size: np.ndarray, weights: np.ndarray, out: np.ndarray) -> None:
+    """Add the weighed parts of spans that aren't long to ``out``. ``eight``: the eight bytes from each place on, as numbers."""
     at = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
     h, place, left, part = out[at], starts[at], size[at], 0
     while len(at):
@@ -276,10 +287,6 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
             out[at[done]] = h[done]
             at, h, place, left = at[more], h[more], place[more], left[more]
         place, left, part = place + 8, left - 8, part + 2
-    for i in np.flatnonzero(size > LONG_SPAN).tolist():
-        found = hashlib.blake2b(data[starts[i] : starts[i] + size[i]].tobytes(), digest_size=8, key=key.to_bytes(8, "little"), salt=seed.to_bytes(8, "little"))
-        out[i] = int.from_bytes(found.digest(), "little")
-    return mixed(out)
 
 
 def byte_table(*ranges: tuple[int, int]) -> np.ndarray:
