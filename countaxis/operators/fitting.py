@@ -345,8 +345,8 @@ def member_evidence(rows: DataFrame, axis: Axis, model: Model, grid: list[Parame
 def infer_members(rows: DataFrame, axis: Axis, model: Model, parameters: Parameters, draws: int = 0, seeds: dict | None = None, fixed: Parameters | None = None) -> DataFrame:
     """member, chrom, marker, p (states), classes, first_phase (null off loci), path (draws of broad classes), evidence.
 
-    Members without a row on a chromosome have no row here for it. seeds: member -> seed; a member's uniforms are one matrix of
-    draws x markers, cut by chromosome, so that paths don't depend on how the work is dealt.
+    Members without a row on a chromosome have no row here for it. seeds: member -> seed; the uniforms of a
+    member's chromosome are a stream of their own, so that paths don't depend on how the work is dealt.
     """
     fixed = fixed or parameters
 
@@ -362,7 +362,7 @@ def infer_members(rows: DataFrame, axis: Axis, model: Model, parameters: Paramet
         phase[cut.locus_marker] = p[cut.locus_marker].sum(1)[:, 0]
         paths = np.zeros((0, len(places)), int)
         if draws:
-            uniforms = np.random.default_rng((seeds or {}).get(member, 0)).random((draws, len(axis.rho)))[:, places]
+            uniforms = np.random.default_rng([(seeds or {}).get(member, 0), int(places[0])]).random((draws, len(places)))
             ahead, _ = hmm.filtered(initial, steps, emission)
             paths = STATES.broad[hmm.sampled(ahead[0], steps, uniforms) // 2]
         return pd.DataFrame(

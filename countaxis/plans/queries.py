@@ -367,7 +367,7 @@ def ffbs_paths(b: Bound) -> DataFrame:
 
     def draw(pdf, initial, steps, emission):
         ahead, _score = hmm.filtered(initial, steps, emission)
-        uniforms = np.random.default_rng(int(pdf["member"].iloc[0])).random((8, emission.shape[1]))
+        uniforms = np.random.default_rng(int(pdf["member"].iloc[0])).random((256, emission.shape[1]))
         return {"member": pdf["member"].to_numpy(), "marker": pdf["marker"].to_numpy(), "path": list(hmm.sampled(ahead[0], steps, uniforms).T)}
 
     return _chains(rows, draw, "member long, marker int, path array<int>")
@@ -426,7 +426,7 @@ def _small(b: Bound) -> tuple[DataFrame, DataFrame, DataFrame]:
 @query()
 def expression_profiles(b: Bound) -> DataFrame:
     values = aggregate.pseudobulk(b.counts(), b.libraries(), b.fractions()).select(F.col("group").cast("string").alias("sample"), "gene", "n")
-    return resample.profiles(values.persist(), _small(b)[2], window=11)
+    return resample.profiles(values, _small(b)[2])
 
 
 @query()
@@ -447,7 +447,7 @@ def clone_calls(b: Bound) -> DataFrame:
     return b.spark.createDataFrame([(int(g), int(k), int(q), float(s)) for g, k, q, s in zip(groups, result.labels, pools, result.stability, strict=True)], "member int, label int, pool int, stability double")
 
 
-def _joint_chain(b: Bound, genes: DataFrame, loci: DataFrame, draws: int = 4) -> DataFrame:
+def _joint_chain(b: Bound, genes: DataFrame, loci: DataFrame, draws: int = 256) -> DataFrame:
     from countaxis.operators import fitting
 
     loci = loci.select("locus", "chrom", (F.col("position") + 500).alias("position"), "population_phase", "genetic_cm", "het")
