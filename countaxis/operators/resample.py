@@ -6,10 +6,15 @@ aggregation in which the draw is one more key.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from countaxis.operators.aggregate import resampled
 from countaxis.operators.smoothing import block_means, centred_profiles, cohort_reference, expression_profiles
@@ -65,30 +70,62 @@ def feature_arrays(blocks: DataFrame, groups: list) -> tuple[np.ndarray, np.ndar
     return cube[0], cube[1:], features
 
 
-def haplotype_features(bins: DataFrame, bins_by_cell: DataFrame, cells: DataFrame, replicates: int = 64, seed: int = 42, resampling_seed: int | None = None, radius: int = 2) -> dict:
-    """x, boot, coverage, regions of the haplotype windows: cells are redrawn, each base bin's share is a beta draw from the redrawn
-    counts, and the windows' means are weighted by counts plus one; both are centred on the median over groups.
+def stream(*key) -> np.random.Generator:
+    """A stream of random numbers for a key, the same wherever and in whatever order keys are taken: a counter-based generator whose key
+    is the digest of ``key``."""
+    digest = hashlib.blake2b(":".join(map(str, key)).encode(), digest_size=16).digest()
+    return np.random.Generator(np.random.Philox(key=np.frombuffer(digest, np.uint64)))
+
+
+def haplotype_profiles(bins: DataFrame, bins_by_cell: DataFrame, cells: DataFrame, replicates: int = 64, seed: int = 42, resampling_seed: int | None = None, radius: int = 2) -> DataFrame:
+    """draw (-1: the data), group, chrom, bin, x, coverage of the haplotype windows, for every group and every bin of any group.
 
+    In a draw cells are redrawn, each base bin's share is a beta draw from the redrawn counts, and a window's mean is weighted by counts
+    plus one; x is centred on the median over groups. Windows reach ``radius`` bins to each side by number: gaps aren't bridged.
     bins_by_cell: cell, chrom, bin, a, b. Cells are drawn as by cell_draws() with ``resampling_seed``, so that they can match the
-    profiles', or else with ``seed``; the beta draws come from a stream of ``seed``. Cells stay on the executors.
+    profiles', or else with ``seed``; beta draws come from a stream of each draw and chromosome. A draw's chromosome (groups x bins) is
+    one group of a task; the driver has the names of groups and bins alone.
     """
+    spark, kind = cells.sparkSession, dict(cells.dtypes)["group"]
     groups = [r["group"] for r in cells.select("group").distinct().orderBy("group").collect()]
-    regions = [(r.chrom, r.bin) for r in bins.select("chrom", "bin").distinct().orderBy("chrom", "bin").collect()]
-    place, column = {r: i for i, r in enumerate(regions)}, {g: i for i, g in enumerate(groups)}
-    window = np.array([[float(a[0] == b[0] and abs(a[1] - b[1]) <= radius) for b in regions] for a in regions])
+    places: dict[str, list[int]] = {}
+    for r in bins.select("chrom", "bin").distinct().orderBy("chrom", "bin").collect():
+        places.setdefault(r.chrom, []).append(r.bin)
     draws = cell_draws(cells, replicates, seed if resampling_seed is None else resampling_seed)
-    weighed = bins_by_cell.join(draws, "cell").groupBy("draw", "group", "chrom", "bin").agg(F.sum(F.col("a") * F.col("mult")).alias("a"), F.sum(F.col("b") * F.col("mult")).alias("b"))
-    rows = weighed.toPandas()  # draws x groups x bins, as the result is
-    rows = rows[[r in place for r in zip(rows["chrom"], rows["bin"], strict=True)]]
-    cube = np.zeros((2, replicates + 1, len(regions), len(groups)))
-    at = rows["draw"].to_numpy(int) + 1, [place[r] for r in zip(rows["chrom"], rows["bin"], strict=True)], rows["group"].map(column).to_numpy(int)
-    cube[0][at], cube[1][at] = rows["a"], rows["b"]
-    a, b = cube
-    x = 2 * (window @ (a[0] + 0.5)) / (window @ (a[0] + b[0] + 1)) - 1
-    theta = np.random.default_rng(np.random.SeedSequence(seed).spawn(1)[0]).beta(a[1:] + 0.5, b[1:] + 0.5)
-    depth = a[1:] + b[1:] + 1
-    boot = 2 * (window @ (theta * depth)) / (window @ depth) - 1
-    return {"x": x - np.median(x, 1, keepdims=True), "boot": boot - np.median(boot, 2, keepdims=True), "coverage": window @ (a[0] + b[0]), "regions": regions, "groups": groups}
+    weighed = bins_by_cell.join(draws, "cell").groupBy("draw", "chrom", "group", "bin").agg(F.sum(F.col("a") * F.col("mult")).alias("a"), F.sum(F.col("b") * F.col("mult")).alias("b"))
+    # Chromosomes of draws in which no cell has counts have windows, too.
+    each = spark.createDataFrame([(d, c) for d in range(-1, replicates) for c in places], "draw int, chrom string")
+    weighed = weighed.join(each.select("chrom").distinct(), "chrom", "left_semi").unionByName(each, allowMissingColumns=True)
+    column = {g: i for i, g in enumerate(groups)}
+    names = pa.array(groups, to_arrow_type(cells.schema["group"].dataType))
+
+    def run(table: pa.Table) -> pa.Table:
+        draw, chrom = table.column("draw")[0].as_py(), table.column("chrom")[0].as_py()
+        own = np.array(places[chrom])
+        table = table.filter(pc.and_(pc.is_valid(table.column("bin")), pc.is_in(table.column("bin"), pa.array(own))))
+        a, b = np.zeros((2, len(groups), len(own)))
+        at = np.array([column[g] for g in table.column("group").to_pylist()], int), np.searchsorted(own, table.column("bin").to_numpy())
+        a[at], b[at] = table.column("a").to_numpy(), table.column("b").to_numpy()
+        window = (np.abs(own[:, None] - own) <= radius).astype(float)  # of a chromosome's bins
+        depth = a + b + 1
+        share = (a + 0.5) / depth if draw < 0 else stream(seed, draw, chrom).beta(a + 0.5, b + 0.5)
+        x = 2 * (share * depth @ window) / (depth @ window) - 1
+        x -= np.median(x, 0)
+        size = len(groups) * len(own)
+        return pa.table({"draw": pa.array(np.full(size, draw, np.int32)), "group": names.take(pa.array(np.repeat(np.arange(len(groups)), len(own)))), "chrom": pa.array([chrom] * size), "bin": pa.array(np.tile(own, len(groups))), "x": x.ravel(), "coverage": ((a + b) @ window).ravel()})
+
+    return weighed.groupBy("draw", "chrom").applyInArrow(run, f"draw int, group {kind}, chrom string, bin long, x double, coverage double")
+
+
+def haplotype_features(bins: DataFrame, bins_by_cell: DataFrame, cells: DataFrame, replicates: int = 64, seed: int = 42, resampling_seed: int | None = None, radius: int = 2) -> dict:
+    """haplotype_profiles() as arrays for the groups' refinement: x and coverage (regions x groups), boot (draws x regions x groups), and the
+    names of regions and groups, all in order."""
+    rows = haplotype_profiles(bins, bins_by_cell, cells, replicates, seed, resampling_seed, radius).toPandas().sort_values(["draw", "chrom", "bin", "group"])
+    groups = sorted(rows["group"].unique())
+    first = rows[(rows["draw"] == -1) & (rows["group"] == groups[0])]
+    regions = list(zip(first["chrom"], first["bin"], strict=True))
+    x, coverage = (rows[c].to_numpy().reshape(replicates + 1, len(regions), len(groups)) for c in ("x", "coverage"))
+    return {"x": x[0], "boot": x[1:], "coverage": coverage[0], "regions": regions, "groups": groups}
 
 
 def profiles(values: DataFrame, genes: DataFrame, window: int = 101) -> DataFrame:

@@ -596,6 +596,33 @@ def segment_evidence(b: Bound) -> DataFrame:
     return out.select("member", F.col("run").alias("segment"), "first", "last", *held)
 
 
+def _haplotypes(b: Bound) -> DataFrame:
+    cells = b.cells()
+    own = cells.select("cell", F.col("cell").alias("group"))
+    by_cell = regions.haplotype_bins(b.alleles(), b.loci(), own).withColumnRenamed("group", "cell")
+    return resample.haplotype_profiles(regions.haplotype_bins(b.alleles(), b.loci(), cells), by_cell, cells, seed=1)
+
+
+@query()
+def haplotype_profiles(b: Bound) -> DataFrame:
+    """Haplotype windows of the data and of 64 draws of cells and shares."""
+    return _haplotypes(b)
+
+
+@query("cells alleles loci", """, own AS (SELECT "group", cell, row_number() OVER (PARTITION BY "group" ORDER BY cell) - 1 AS place, count(*) OVER (PARTITION BY "group") AS n FROM cells),
+taken AS (SELECT draw, "group", CAST(floor(CAST('0x' || substr(md5(draw || ':1:' || "group" || ':' || place), 1, 12) AS BIGINT) / 281474976710656.0e0 * n) AS BIGINT) AS place, count(*) AS mult
+  FROM own, (SELECT unnest(range(0, 64)) AS draw) k GROUP BY ALL),
+draws AS (SELECT -1 AS draw, "group", cell, 1 AS mult FROM cells UNION ALL SELECT t.draw, t."group", o.cell, t.mult FROM taken t JOIN own o ON o."group" = t."group" AND o.place = t.place),
+bins AS (SELECT x.cell, chrom, (position - 1) // 2000000 AS bin, sum((h1 + h2) * het) AS n FROM alleles x JOIN loci l ON x.locus = l.locus GROUP BY 1, 2, 3),
+weighed AS (SELECT draw, "group", chrom, bin, sum(n * mult) AS n FROM bins b JOIN draws d ON b.cell = d.cell GROUP BY 1, 2, 3, 4),
+grid AS (SELECT d.draw, d."group", r.chrom, r.bin FROM (SELECT DISTINCT draw FROM draws) d0 JOIN (SELECT DISTINCT draw, "group" FROM draws) d ON d.draw = d0.draw, (SELECT DISTINCT chrom, bin FROM bins b JOIN cells c ON b.cell = c.cell) r)
+SELECT CAST(g.draw AS INTEGER) AS draw, g."group", g.chrom, g.bin, round(CAST(coalesce(sum(w.n), 0) AS DOUBLE), 6) AS coverage
+FROM grid g LEFT JOIN weighed w ON w.draw = g.draw AND w."group" = g."group" AND w.chrom = g.chrom AND abs(w.bin - g.bin) <= 2 GROUP BY g.draw, g."group", g.chrom, g.bin""")
+def haplotype_coverage(b: Bound) -> DataFrame:
+    """Counts in the windows of the data and of every draw of cells."""
+    return _haplotypes(b).select("draw", "group", "chrom", "bin", r6("coverage", "coverage"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query: the permutation test of the chi-square score."""
     return QUERIES["permutation_signal"](spark, sf_dir)

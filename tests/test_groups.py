@@ -185,3 +185,37 @@ def test_path_distances_of_blocks_and_gaps(spark, monkeypatch, block):
                     want[a, b, d] = np.mean([x != y for x, y in pairs])
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
     assert clones.path_distance_rows(spark.createDataFrame([], "member string, marker int, path array<string>")).count() == 0
+
+
+def test_haplotype_profiles_against_enumeration(spark):
+    """Windows with gaps, empty chromosomes of draws, and beta draws that don't depend on how the work is dealt."""
+    r = np.random.default_rng(4)
+    cells = [(f"c{i}", "abc"[i % 3]) for i in range(12)]
+    rows = [(c, chrom, b, float(r.integers(0, 5)), float(r.integers(0, 5))) for c, _ in cells[:7] for chrom, own in (("1", (0, 1, 4, 9)), ("2", (3,))) for b in own if r.random() < 0.7] + [("c11", "3", 2, 1.0, 2.0)]
+    frame, by_cell = spark.createDataFrame(cells, "cell string, group string"), spark.createDataFrame(rows, "cell string, chrom string, bin long, a double, b double")
+    bins = by_cell.join(frame, "cell").groupBy("group", "chrom", "bin").sum("a", "b").toDF("group", "chrom", "bin", "a", "b")
+    drawn = {}
+    for d in resample.cell_draws(frame, 20, 5).collect():
+        drawn.setdefault(d.draw, []).append(d)
+    first = None
+    for parts in (1, 4):
+        got = {(x.draw, x.group, x.chrom, x.bin): x for x in resample.haplotype_profiles(bins, by_cell.repartition(parts), frame, 20, 9, 5).collect()}
+        first = first or got
+        assert got == first and len(got) == 21 * 3 * len({(c, b) for _, c, b, _, _ in rows})
+    for draw, picks in drawn.items():
+        for chrom in "123":
+            own = sorted({b for _, c, b, _, _ in rows if c == chrom})
+            a, b = np.zeros((2, 3, len(own)))
+            for pick in picks:
+                for cell, c, place, x, y in rows:
+                    if cell == pick.cell and c == chrom:
+                        a["abc".index(pick.group), own.index(place)] += x * pick.mult
+                        b["abc".index(pick.group), own.index(place)] += y * pick.mult
+            share = (a + 0.5) / (a + b + 1) if draw < 0 else resample.stream(9, draw, chrom).beta(a + 0.5, b + 0.5)
+            near = [[j for j, q in enumerate(own) if abs(q - p) <= 2] for p in own]
+            x = np.array([[2 * sum(share[g, j] * (a + b + 1)[g, j] for j in n) / sum((a + b + 1)[g, j] for j in n) - 1 for n in near] for g in range(3)])
+            x -= np.median(x, 0)
+            for g in range(3):
+                for i, p in enumerate(own):
+                    row = got[draw, "abc"[g], chrom, p]
+                    assert row.x == pytest.approx(x[g, i], abs=1e-12) and row.coverage == sum((a + b)[g, j] for j in near[i])
