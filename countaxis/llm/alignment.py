@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from countaxis.llm.shared import as_text, chunks, forget, ragged, released, stored
 
 #: Bytes of text in a chunk of documents (a longer text is one alone), and bytes given to a tokenizer at once.
-ALIGN_BYTES, ENCODE_BYTES = 2 << 20, 128 << 10
+ALIGN_BYTES, ENCODE_BYTES = 5 << 20, 128 << 10
 #: Units of text that are encoded as one text.
 JOINED = 4096
 #: A pair of ids is one long: A's id above these bits, B's in them.
