@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countaxis.operators import aggregate, axis, clones, fitting, grouping, mixture, regions, resample, segments
+from countaxis.operators import aggregate, axis, clones, fitting, grouping, membership, mixture, paths, regions, resample, segments
 from countaxis.operators.states import CLASSES, STATES, Model, Parameters
 from countaxis.sources import bundle as bundles
 from countaxis.sources import matrices, sinks, tables
@@ -159,22 +159,20 @@ def infer(bundle: bundles.Bundle, settings: Settings = Settings(), progress=lamb
 
     progress("groups")
     gene_markers = bundle.genes.select("marker").distinct()
-    place = {b: i for i, b in enumerate(barcodes)}
     usable = bool(own_pairs.filter("het * (h1 + h2) > 0").limit(1).count())
     haplotypes = _haplotypes(bundle, fit.final.phase, cells, settings) if usable and (settings.hf_refinement or "hf" in settings.method) else None
     if settings.method in clones.SELF_METHODS:
         calls = clones.call_self(x, boot, counts, settings.method, haplotypes)
     else:
-        pairs_ = clones.path_distance_rows(posterior.join(gene_markers, "marker", "left_semi").select("member", "marker", "path")).toPandas()
-        distance = np.zeros((len(barcodes), len(barcodes), settings.draws))
-        a, b_ = pairs_["a"].map(place).to_numpy(), pairs_["b"].map(place).to_numpy()
-        distance[a, b_, pairs_["draw"]] = distance[b_, a, pairs_["draw"]] = pairs_["distance"]
-        p = posterior.join(gene_markers, "marker", "left_semi").select("member", "marker", "classes").orderBy("marker").toPandas()
-        p = np.stack([np.stack(p.loc[p["member"] == b, "classes"].to_numpy()) for b in barcodes])
-        calls = clones.call(distance, p, counts, settings.method, expression)
+        shared = posterior.join(gene_markers, "marker", "left_semi")
+        apart = clones.path_distance_rows(shared.select("member", "marker", "path")).persist()
+        profiles = shared.select("member", "marker", F.col("classes").alias("p"))
+        expected = paths.profile_distance_rows(profiles).persist()
+        calls = clones.call_pairs(apart, barcodes, counts, membership.impurities(profiles), settings.method, expected, initial=expression)
         if settings.cn_refinement and settings.method != "expression":
-            labels_, more = clones.subdivide(distance, calls.labels, counts)
-            calls.labels, nodes["cn"] = labels_, more
+            calls.labels, nodes["cn"] = clones.subdivide(apart, barcodes, counts, calls.labels)
+        apart.unpersist()
+        expected.unpersist()
     final, hf_status = calls.labels, "fitted_phase" if usable else "no_usable_allele_counts"
     if settings.hf_refinement and haplotypes is not None:
         final, stable, nodes["hf"] = grouping.local_refinement(haplotypes["x"], haplotypes["boot"], calls.labels)

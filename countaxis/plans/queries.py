@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from countaxis.functions import columns as C
 from countaxis.functions.likelihood import with_pln
-from countaxis.operators import aggregate, axis, clones, grouping, hmm, regions, resample, smoothing, states
+from countaxis.operators import aggregate, axis, clones, grouping, hmm, membership, regions, resample, smoothing, states
+from countaxis.operators import paths as planes
 from countaxis.operators import segments as evidence
 from countaxis.plans.binding import Bound, with_ctes
 
@@ -255,9 +256,53 @@ def path_distance_pairs(b: Bound) -> DataFrame:
 SELECT a.label AS a, b.label AS b, round(sum((a.x - b.x) ** 2) / 2 / count(*), 6) AS distance FROM c a JOIN c b ON a.i = b.i AND a.label < b.label GROUP BY 1, 2""")
 def profile_distance_pairs(b: Bound) -> DataFrame:
     rows = b.table("embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
-    mean = rows.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    pairs = mean.select("i", F.col("label").alias("a"), F.col("x").alias("xa")).join(mean.select("i", F.col("label").alias("b"), F.col("x").alias("xb")), "i").filter("a < b")
-    return pairs.groupBy("a", "b").agg(r6(F.sum(F.pow(F.col("xa") - F.col("xb"), 2)) / 2 / F.count("*"), "distance"))
+    mean = rows.groupBy("label", "i").agg(F.array(F.avg(F.col("x").cast("double"))).alias("p"))
+    return planes.profile_distance_rows(mean.select(F.col("label").alias("member"), F.col("i").alias("marker"), "p")).select("a", "b", r6("distance", "distance"))
+
+
+JOINED = """, p AS (SELECT member, marker, unnest([0, 1, 2]) AS draw, unnest([state, CAST(event_id % 3 AS VARCHAR), CAST(CAST(floor(value) AS BIGINT) % 4 AS VARCHAR)]) AS state FROM states WHERE member IS NOT NULL),
+m AS (SELECT member, 1 + member % 7 AS cells, CAST((member * 7) % 5 AS INTEGER) AS "group", (member % 10) / 100.0e0 AS u FROM (SELECT DISTINCT member FROM p)),
+d AS (SELECT a.member AS member, b.member AS other, a.draw, avg(CASE WHEN a.state <> b.state THEN 1.0e0 ELSE 0.0e0 END) AS d FROM p a JOIN p b ON a.marker = b.marker AND a.draw = b.draw AND a.member <> b.member GROUP BY 1, 2, 3)"""
+ANCHORED = JOINED + """, c AS (SELECT d.member, o."group", d.draw, sum(o.cells * d) / sum(o.cells) AS cost FROM d JOIN m o ON o.member = d.other WHERE o."group" > 0 GROUP BY 1, 2, 3),
+n AS (SELECT c.member, c.draw, max(CASE WHEN c."group" = m."group" THEN cost END) AS near, min(CASE WHEN c."group" <> m."group" THEN cost END) AS far FROM c JOIN m ON m.member = c.member WHERE m."group" > 0 GROUP BY 1, 2),
+s AS (SELECT member, CASE WHEN count(far) > 0 THEN avg(CASE WHEN far - near > 1e-12 THEN 1.0e0 ELSE 0.0e0 END) END AS stability FROM n GROUP BY 1),
+f AS (SELECT m.member, m.cells, m."group", m.u, s.stability, CASE WHEN m."group" > 0 AND coalesce(stability >= 0.6e0, true) THEN m."group" ELSE 0 END AS first FROM m LEFT JOIN s ON s.member = m.member),
+h AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY first) < 2 THEN 0 ELSE first END AS anchor FROM f)"""
+
+
+def _pairs(b: Bound) -> tuple[DataFrame, DataFrame]:
+    """Distances of users' events by type, number and value, and users with groups, cells and impurities."""
+    states = b.states().filter("member is not null")
+    own = F.array("state", (F.col("event_id") % 3).cast("string"), (F.floor("value") % 4).cast("string"))
+    member = F.col("member")
+    users = states.select("member").distinct().select("member", (1 + member % 7).alias("cells"), ((member * 7) % 5).cast("int").alias("group"), ((member % 10) / 100).alias("impurity"))
+    return membership.cut(planes.path_distance_rows(states.select("member", "marker", own.alias("path")))), users
+
+
+@query("states", ANCHORED + ' SELECT member, "group", anchor, round(stability, 6) AS stability FROM h')
+def group_anchors(b: Bound) -> DataFrame:
+    """Users that are nearest to their own group's other users in 60 % of the draws."""
+    rows = membership.anchors(*_pairs(b), support=0.6)
+    return rows.select("member", "group", "anchor", r6("stability", "stability"))
+
+
+@query("states", ANCHORED + """, e AS (SELECT d.member, d.other, d.draw, d.d AS raw, d.d - (x.u + y.u) / 2 AS d, y.cells, y.anchor AS "group" FROM d JOIN h x ON x.member = d.member JOIN h y ON y.member = d.other WHERE y.anchor > 0),
+g AS (SELECT member, "group", draw, count(*) AS peers, sum(cells * raw) / sum(cells) AS cost, sum(cells * d) / sum(cells) AS seen FROM e GROUP BY 1, 2, 3),
+t AS (SELECT g.member, CASE WHEN any_value(h.anchor) > 0 THEN any_value(h.anchor) ELSE arg_min(g."group", (mean, g."group")) END AS target FROM (SELECT member, "group", round(avg(cost), 12) AS mean FROM g GROUP BY 1, 2) g JOIN h ON h.member = g.member GROUP BY 1),
+o AS (SELECT t.member, g.draw, max(CASE WHEN g."group" = target THEN cost END) AS near, min(CASE WHEN g."group" <> target THEN cost END) AS far, max(CASE WHEN g."group" = target THEN seen END) AS seen FROM t JOIN g ON g.member = t.member GROUP BY 1, 2),
+r AS (SELECT h.member, x."group", count(*) AS fellows FROM h JOIN (SELECT member, anchor AS "group" FROM h WHERE anchor > 0) x ON x.member <> h.member GROUP BY 1, 2),
+y AS (SELECT t.member, x."group" FROM t JOIN r o ON o.member = t.member AND o."group" = t.target JOIN r x ON x.member = t.member AND CASE WHEN o.fellows >= 3 THEN x."group" = t.target ELSE x.fellows >= 3 END),
+k AS (SELECT y.member, e.member AS fellow, e.draw, sum(e.cells * e.d) / sum(e.cells) AS score FROM y JOIN h x ON x.anchor = y."group" AND x.member <> y.member JOIN e ON e.member = x.member AND e."group" = y."group" AND e.other <> y.member GROUP BY 1, 2, 3),
+w AS (SELECT member, draw, quantile_cont(score, 0.95e0) AS within FROM k GROUP BY 1, 2),
+z AS (SELECT o.member, CASE WHEN count(far) > 0 THEN avg(CASE WHEN far - near > 1e-12 THEN 1.0e0 ELSE 0.0e0 END) END AS support, avg(seen - within) AS excess, quantile_cont(seen - within, 0.05e0) AS low FROM o LEFT JOIN w ON w.member = o.member AND w.draw = o.draw GROUP BY 1),
+j AS (SELECT z.*, t.target, CASE WHEN support < 0.6e0 THEN 'ambiguous_preference' WHEN excess IS NULL THEN 'insufficient_calibration' WHEN low > 1e-12 THEN 'excess_disagreement' ELSE 'assigned' END AS first FROM z JOIN t ON t.member = z.member)
+SELECT member, target AS proposed_group, round(support, 6) AS support, round(excess, 6) AS excess_mean, round(low, 6) AS excess_lower05, CASE WHEN first = 'assigned' AND count(*) FILTER (WHERE first = 'assigned') OVER (PARTITION BY target) < 2 THEN 'unreplicated_group' ELSE first END AS reason FROM j""")
+def group_membership(b: Bound) -> DataFrame:
+    """Which group each user joins: its excess over the 95th percentile of the group's anchors, itself left out everywhere."""
+    pairs, users = _pairs(b)
+    anchored = membership.anchors(pairs, users, support=0.6).join(users.select("member", "impurity"), "member")
+    rows = membership.assess(pairs, anchored, "member_q95", support=0.6)
+    return rows.select("member", "proposed_group", r6("preference_support", "support"), r6("excess_mean", "excess_mean"), r6("excess_lower05", "excess_lower05"), "reason")
 
 
 @query("", """WITH t AS (SELECT c_custkey AS member, c_nationkey % 5 AS a, CAST(abs(c_custkey * 7) % 4 AS INTEGER) AS b FROM customer),
