@@ -106,6 +106,7 @@ def fit_reference(spark: SparkSession, matrix, cells, genes, panel: DataFrame, o
     pooled = aggregate.gene_totals(counts.join(tables.cells(spark, cells), "cell", "left_semi"))
     fit = mixture.fit_reference(pooled, panel, tables.genes(spark, genes), **settings)
     if out is not None:
+        fit.audit |= {"input_digests": {"counts": sinks.digest(pooled), "panel": sinks.digest(panel)}}
         sinks.fit(fit, out)
     return fit
 
@@ -186,6 +187,7 @@ def infer(bundle: bundles.Bundle, settings: Settings = Settings(), progress=lamb
     barcode_evidence = segments.placed(segments.member_segments(rows, ax, model, noise.parameters, start), bundle.grid, settings.least_evidence)
     about = {
         "seconds": time.perf_counter() - began, "settings": repr(settings), "alpha_pooled": fit.dispersion.parameters.alpha, "alpha_barcodes": noise.parameters.alpha, "phase_iterations": [fit.first.iterations, fit.final.iterations],
+        "input_digests": {name: sinks.digest(getattr(bundle, name)) for name in ("cells", "genes", "grid", "loci", "expression", "alleles")},
         "bound": fit.final.bound, "hf_status": hf_status, "evidence": calls.evidence, "features": calls.features, "method": calls.method,
     }
     return Result(groups, calls.membership, nodes, posterior, group_cn, table, tested, null, bundle.grid, barcode_evidence, group_evidence, about)

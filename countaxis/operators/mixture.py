@@ -114,6 +114,7 @@ class Fit:
     weights: dict[str, float]
     profile: DataFrame
     audit: dict
+    genes: DataFrame
 
 
 def regional_weights(genes: DataFrame, profiles: list[str], width: int = 200, iterations: int = 2000) -> tuple[np.ndarray, dict]:
@@ -180,4 +181,12 @@ def fit_reference(counts: DataFrame, panel: DataFrame, genes: DataFrame, method:
         w, more = regional_weights(chosen, profiles, width, iterations)
         audit |= more
     mixture = sum(F.col(f"`{p}`") * float(x) for p, x in zip(profiles, w, strict=True))
-    return Fit(dict(zip(profiles, map(float, w), strict=True)), wide.select("gene", mixture.alias("fraction")), audit)
+    return Fit(dict(zip(profiles, map(float, w), strict=True)), wide.select("gene", mixture.alias("fraction")), audit, gene_parts(counts, panel, chosen))
+
+
+def gene_parts(counts: DataFrame, panel: DataFrame, chosen: DataFrame) -> DataFrame:
+    """gene, part: fitted, shared (in both, but not fitted), absent_from_panel or absent_from_counts; each gene once."""
+    seen = lambda frame, name: frame.select("gene").filter("gene is not null").distinct().withColumn(name, F.lit(True))
+    rows = seen(counts, "counted").join(seen(panel, "listed"), "gene", "full").join(seen(chosen, "used"), "gene", "left")
+    part = F.when(F.col("used"), "fitted").when(F.col("listed").isNull(), "absent_from_panel").when(F.col("counted").isNull(), "absent_from_counts").otherwise("shared")
+    return rows.select("gene", part.alias("part"))

@@ -63,18 +63,27 @@ def genotypes(rows: DataFrame, path: str, sample: str = "donor") -> None:
 
 
 def fit(result, folder: str) -> None:
-    """A reference fit: its profile, weights and audit."""
+    """A reference fit: its profile, weights, the part that each gene had, and what it was fitted to."""
     root = Path(folder)
     root.mkdir(parents=True)
     small_table(result.profile, str(root / "reference.tsv"), "\t")
+    small_table(result.genes.orderBy("gene"), str(root / "genes.tsv"), "\t")
     with (root / "weights.tsv").open("x") as f:
         f.write("profile\tweight\n" + "".join(f"{k}\t{v!r}\n" for k, v in result.weights.items()))
-    described(root / "fit.json", result.audit)
+    described(root / "fit.json", result.audit | {"profile_digest": digest(result.profile)})
 
 
 def digest(frame: DataFrame) -> str:
-    """SHA-256 of a table's rows, whatever their order: row digests are summed by value and count before they are put together."""
-    row = F.sha2(F.concat_ws("\u0001", *(F.concat(F.lit(c), F.lit("\u0002"), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0003"))) for c in sorted(frame.columns))), 256)
-    prefix = frame.select(row.alias("h")).groupBy(F.substring("h", 1, 2).alias("p")).agg(F.sum(F.conv(F.substring("h", 3, 12), 16, 10).cast("decimal(38,0)")).alias("s"), F.bit_xor(F.conv(F.substring("h", 15, 15), 16, 10).cast("long")).alias("x"), F.count("*").alias("n"))
-    parts = [f"{r.p}:{r.s}:{r.x}:{r.n}" for r in prefix.orderBy("p").collect()]  # 256 rows at most
-    return hashlib.sha256("\n".join(parts).encode()).hexdigest()
+    """32 hex digits of a table's columns and rows, whatever the rows' order: the first 128 bits of every row's SHA-256 are summed
+    modulo 2**128 and put together with the number of rows and the columns' names and types. Rows that come twice count twice.
+
+    A row is its JSON, nulls kept, so values can't run into each other. One aggregation with partial sums; the driver gets one row.
+    """
+    names = sorted(frame.columns)
+    row = F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in names)), {"ignoreNullFields": "false"}), 256)
+    limbs = [F.sum(F.conv(F.substring("h", 1 + 8 * k, 8), 16, 10).cast("decimal(20,0)")) for k in range(4)]
+    found = frame.select(row.alias("h")).agg(F.count("*"), *limbs).head()
+    total = sum(int(limb or 0) << 32 * (3 - k) for k, limb in enumerate(found[1:])) % (1 << 128)
+    kinds = dict(frame.dtypes)
+    about = json.dumps([[c, kinds[c]] for c in names] + [found[0], total])
+    return hashlib.sha256(about.encode()).hexdigest()[:32]

@@ -162,6 +162,30 @@ def test_sinks(spark, tmp_path):
     assert sinks.digest(two) == sinks.digest(two.orderBy(F.desc("k")).repartition(3)) != sinks.digest(frame)
 
 
+def test_digests_tell_tables_apart(spark):
+    of = lambda rows, names="k string, v string": sinks.digest(spark.createDataFrame(rows, names))
+    rows = [("a", "bc"), ("ab", "c"), (None, ""), ("", None)]
+    assert of(rows) == of(rows[::-1]) and len(of([])) == 32
+    other = [of(rows[:1]), of(rows[1:2]), of(rows[2:3]), of(rows[3:]), of(rows), of(rows + rows), of(rows + rows[:1]), of([]), of([], "k string, w string"), of([], "k string, v int")]
+    assert len(set(other)) == len(other)
+    parts = spark.createDataFrame([("a", [1.5, None], 1e300), ("b", None, float("nan"))], "k string, x array<double>, y double")
+    assert sinks.digest(parts) == sinks.digest(parts.repartition(3, "k").select("y", "x", "k"))
+
+
+def test_fit_folder_tells_each_genes_part(spark, tmp_path):
+    from countaxis.operators import mixture
+
+    panel = spark.createDataFrame([(f"g{i}", k, (1 + (i * j) % 5) / 100) for i in range(20) for j, k in enumerate("ab")] + [("rare", "a", 1e-9)], "gene string, profile string, fraction double")
+    counts = spark.createDataFrame([(f"g{i}", 50 + i) for i in range(15)] + [("rare", 2), ("own", 5)], "gene string, n long")
+    genes = spark.createDataFrame([(f"g{i}", "chr1", i + 1) for i in range(20)] + [("rare", "chr2", 1)], "gene string, chrom string, position long")
+    fit = mixture.fit_reference(counts, panel, genes)
+    sinks.fit(fit, str(tmp_path / "fit"))
+    part = dict(line.split("\t") for line in (tmp_path / "fit" / "genes.tsv").read_text().splitlines()[1:])
+    assert part == {f"g{i}": "fitted" if i < 15 else "absent_from_counts" for i in range(20)} | {"rare": "shared", "own": "absent_from_panel"}
+    about = json.loads((tmp_path / "fit" / "fit.json").read_text())
+    assert about["profile_digest"] == sinks.digest(fit.profile) and about["absent"] == 1 and about["genes"] == 15
+
+
 def test_command_line(spark, folder, capsys):
     out = str(folder / "made")
     base = ["--matrix", str(folder / "m"), "--cells", str(folder / "cells.csv"), "--genes", str(folder / "genes.tsv")]
