@@ -9,30 +9,19 @@ of rows, so what is nearer by less than ``TIE`` is a tie.
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from countaxis.operators.paths import Paths
+from countaxis.operators.shared import cut
+
 SUPPORT, SEPARATION = 0.9, 0.25
 TIE = 1e-12
 #: Scores that a quantile of fellows needs.
 LEAST_SCORES = 3
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """``frame`` computed once and kept in the shared folder of spark.checkpoint.dir, for what several parts of a plan read."""
-    spark = frame.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        context.setCheckpointDir(where or tempfile.mkdtemp())
-    return frame.checkpoint()
-
-
 def impurities(posterior: DataFrame) -> DataFrame:
     """member, impurity: how often two independent draws of one member differ, over its places. posterior: member, marker, p."""
     apart = 1 - F.aggregate("p", F.lit(0.0), lambda total, x: total + x * x)
@@ -45,8 +34,12 @@ def both_ways(pairs: DataFrame, *values: str) -> DataFrame:
     return pairs.select(sides.alias("side"), *values).select("side.*", *values)
 
 
-def to_groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """member, group, draw, peers, weight, total: sums of each member's distances to each group's other members."""
+def to_groups(pairs: DataFrame | Paths, members: DataFrame) -> DataFrame:
+    """member, group, draw, peers, weight, total: sums of each member's distances to each group's other members. pairs: a table, or the
+    paths that the distances are of, for which no table of pairs is made."""
+    if isinstance(pairs, Paths):
+        sums = pairs.sums(members.withColumn("u", F.lit(0.0)))
+        return sums.withColumn("group", F.col("group").cast(members.schema["group"].dataType))
     others = members.filter("group > 0").select(F.col("member").alias("other"), F.col("cells").alias("heft"), "group")
     rows = both_ways(pairs, "draw", "distance").join(others, "other")
     sums = (F.count("*").alias("peers"), F.sum("heft").alias("weight"), F.sum(F.col("heft") * F.col("distance")).alias("total"))
@@ -57,7 +50,7 @@ def _share(condition: Column) -> Column:
     return F.avg(F.coalesce(condition, F.lit(False)).cast("double"))
 
 
-def anchors(pairs: DataFrame, members: DataFrame, support: float = SUPPORT) -> DataFrame:
+def anchors(pairs: DataFrame | Paths, members: DataFrame, support: float = SUPPORT) -> DataFrame:
     """member, cells, group, anchor, stability: the anchor is the group if its other members are nearest in ``support`` of the draws,
     else 0. A group that keeps a single member loses it. Where there is one group only, nothing is compared and stability is null."""
     cost = F.col("total") / F.col("weight")
