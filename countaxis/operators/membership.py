@@ -9,7 +9,10 @@ of rows, so what is nearer by less than ``TIE`` is a tie.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,7 +84,71 @@ def mean_within(sums: DataFrame, homes: DataFrame, targets: DataFrame) -> DataFr
     return rows.select("member", "draw", F.when(F.col("peers") >= 2, mean).otherwise(0.0).alias("within"))
 
 
-def quantile_within(pairs: DataFrame, sums: DataFrame, homes: DataFrame, targets: DataFrame) -> DataFrame:
+def inside_of_paths(paths: Paths, own: DataFrame, homes: DataFrame, members: DataFrame) -> DataFrame:
+    """member, draw, within, scores of anchors in their own groups, themselves left out of every score, without a table of pairs.
+
+    Leaving one member out moves another's score by its share of the weight at most, so bounds by group and draw tell whose scores can be
+    about the quantile; these alone are taken exactly, each against every member. Where some pairs have no common marker, all are.
+    own: scores of ``homes`` (member, home, cells, fellows, u); members: those that are wanted.
+    """
+    kind, shape, n = dict(homes.dtypes)["member"], paths.shape, LEAST_SCORES
+    scored = own.filter(F.col("fellows") > n).join(homes.select("member", "u"), "member").select("home", "draw", "member", *(F.col(c).cast("double").alias(c) for c in ("cells", "u", "weight", "total", "fellows", "peers")))
+
+    def bounded(table: pa.Table) -> pa.Table:
+        cells, u, weight, total, fellows, peers = (table.column(c).to_numpy() for c in ("cells", "u", "weight", "total", "fellows", "peers"))
+        low, high = np.full(len(cells), -np.inf), np.full(len(cells), np.inf)
+        least, most = -np.inf, np.inf
+        if len(cells) == fellows[0] and (peers == fellows - 1).all():
+            mean, gone = total / weight, cells.max() / (weight - cells.max())
+            if (weight > cells.max()).all():
+                slack = 1e-9 * (1 + np.abs(mean))  # of rounding
+                low = mean + gone * np.minimum(0, mean - (1 - (u.min() + u) / 2)) - slack
+                high = mean + gone * np.maximum(0, mean + (u.max() + u) / 2) + slack
+                at = 0.95 * (len(cells) - 2)
+                least, most = np.sort(low)[int(at)], np.sort(high)[min(int(at) + 2, len(cells) - 1)]
+        return table.append_column("side", pa.array((low > most).astype(np.int32) - (high < least)))
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in scored.schema) + ", side int"
+    marked = cut(scored.groupBy("home", "draw").applyInArrow(bounded, schema))
+    # Those below or above by all bounds are counted only.
+    side = lambda k: F.sum((F.col("side") == k).cast("long"))
+    counts = marked.groupBy("home", "draw").agg(side(-1).alias("below"), side(1).alias("above"))
+    a_draw = shape.width * np.dtype(shape.dtype).itemsize
+    near = marked.filter("side = 0").join(paths.codes, "member").withColumn("codes", F.substring("codes", F.col("draw") * a_draw + 1, F.lit(a_draw)))
+    near = near.groupBy("home", "draw").agg(*(F.collect_list(F.struct("member", "codes", "u", "weight", "total")).alias(c) for c in ("x",))).join(counts, ["home", "draw"])
+    wanted = members.join(homes.filter(F.col("fellows") > n), "member").select("member", F.col("cells").cast("double").alias("cells"), F.col("home").alias("group"), "u")
+    met = paths.blocks(wanted, ["draw", "group"]).withColumnRenamed("group", "home").join(near, ["home", "draw"]).select("ids", "codes", "cells", "u", "draw", "x", "below", "above")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, codes, cells, u = (batch.column(k)[row].values for k in range(4))
+                x = batch.column(5)[row].values
+                cells, u = cells.to_numpy()[:, None], u.to_numpy()[:, None]
+                there = x.field(0).to_pylist()
+                place = {m: i for i, m in enumerate(there)}
+                apart = shape.distances(shape.array(codes, 1)[:, 0], shape.array(x.field(1), 1)[:, 0]) - (u + x.field(2).to_numpy()) / 2
+                score = (x.field(4).to_numpy() - cells * apart) / (x.field(3).to_numpy() - cells)
+                for i, m in enumerate(ids.to_pylist()):
+                    if m in place:
+                        score[i, place[m]] = np.nan
+                score = np.sort(score, 1)  # NaN last
+                known = len(there) - np.isnan(score).sum(1)
+                draw, below, above = (pa.array(np.full(len(ids), batch.column(k)[row].as_py(), t)) for k, t in ((4, np.int32), (6, np.int64), (7, np.int64)))
+                yield pa.RecordBatch.from_arrays([ids, draw, pa.array(known), below, above, pa.array(list(score), pa.list_(pa.float64()))], ["member", "draw", "known", "below", "above", "score"])
+
+    found = met.mapInArrow(run, f"member {kind}, draw int, known long, below long, above long, score array<double>").join(marked.select("member", "draw", "side"), ["member", "draw"])
+    others = F.col("known") + F.col("below") + F.col("above") - F.abs("side")  # without itself
+    found = found.withColumn("scores", others).withColumn("below", F.col("below") - (F.col("side") == -1).cast("long")).filter("scores > 0")
+    at = 0.95 * (F.col("scores") - 1)
+    first = F.floor(at)
+    value = lambda k: F.element_at("score", (k - F.col("below") + 1).cast("int"))
+    share = at - first
+    level = F.when(share > 0, (1 - share) * value(first) + share * value(first + 1)).otherwise(value(first))
+    return found.select("member", "draw", level.alias("within"), "scores")
+
+
+def quantile_within(pairs: DataFrame | Paths, sums: DataFrame, homes: DataFrame, targets: DataFrame) -> DataFrame:
     """member, draw, within, source, scores: 95th percentile of anchors' distances to their fellows, the member left out of both.
 
     The target's anchors are taken if there are three without the member, else those of all other groups that have three.
@@ -92,13 +159,17 @@ def quantile_within(pairs: DataFrame, sums: DataFrame, homes: DataFrame, targets
     rich, poor = targets.filter(F.col("peers") >= LEAST_SCORES), targets.filter(F.col("peers") < LEAST_SCORES)
     outside = rich.filter("anchor <> target").join(whole, "target").select("member", "draw", "within", "scores")
 
-    left_out = homes.select(F.col("member").alias("other"), F.col("home").alias("there"), "cells")
-    fellows = both_ways(pairs, "draw", "distance").join(homes.select("member", "home", "fellows").filter(F.col("fellows") > LEAST_SCORES), "member")
-    fellows = fellows.join(left_out.withColumnRenamed("other", "gone").withColumnRenamed("cells", "heft"), (F.col("other") == F.col("gone")) & (F.col("home") == F.col("there")))
-    # A row is a scored member and a fellow who is taken out of its total.
-    rest = own.select("member", "draw", "weight", "total").join(fellows.select("member", "draw", "other", "heft", "distance"), ["member", "draw"])
-    rest = rest.select(F.col("other").alias("member"), "draw", (F.col("total") - F.col("heft") * F.col("distance")).alias("total"), (F.col("weight") - F.col("heft")).alias("weight"))
-    inside = rest.groupBy("member", "draw").agg(level, F.count("*").alias("scores")).join(rich.filter("anchor = target").select("member"), "member")
+    wanted = rich.filter("anchor = target").select("member")
+    if isinstance(pairs, Paths):
+        inside = inside_of_paths(pairs, sums.join(homes, "member").filter("group = home").select(*own.columns, "peers"), homes, wanted)
+    else:
+        left_out = homes.select(F.col("member").alias("other"), F.col("home").alias("there"), "cells")
+        fellows = both_ways(pairs, "draw", "distance").join(homes.select("member", "home", "fellows").filter(F.col("fellows") > LEAST_SCORES), "member")
+        fellows = fellows.join(left_out.withColumnRenamed("other", "gone").withColumnRenamed("cells", "heft"), (F.col("other") == F.col("gone")) & (F.col("home") == F.col("there")))
+        # A row is a scored member and a fellow who is taken out of its total.
+        rest = own.select("member", "draw", "weight", "total").join(fellows.select("member", "draw", "other", "heft", "distance"), ["member", "draw"])
+        rest = rest.select(F.col("other").alias("member"), "draw", (F.col("total") - F.col("heft") * F.col("distance")).alias("total"), (F.col("weight") - F.col("heft")).alias("weight"))
+        inside = rest.groupBy("member", "draw").agg(level, F.count("*").alias("scores")).join(wanted, "member")
 
     # Only groups of just three lend to others what their own members can't have; all other members share one pool.
     lent = own.filter(F.col("fellows") >= LEAST_SCORES)
@@ -110,7 +181,7 @@ def quantile_within(pairs: DataFrame, sums: DataFrame, homes: DataFrame, targets
     return named(outside, "target_group").unionByName(named(inside, "target_group")).unionByName(named(borrowed, "pooled_other_groups"))
 
 
-def assess(pairs: DataFrame, members: DataFrame, baseline: str, expected: DataFrame | None = None, support: float = SUPPORT) -> DataFrame:
+def assess(pairs: DataFrame | Paths, members: DataFrame, baseline: str, expected: DataFrame | None = None, support: float = SUPPORT) -> DataFrame:
     """A row for each member: the group that it prefers, how surely, its excess over the baseline, and the group that it gets.
 
     members: member, cells, anchor, impurity (half of both ends' is taken from a distance; null: nothing). A member prefers its
@@ -123,11 +194,15 @@ def assess(pairs: DataFrame, members: DataFrame, baseline: str, expected: DataFr
     members = cut(members)
     plain = members.select("member", "cells", F.col("anchor").alias("group"))
     noise = members.select("member", F.coalesce(F.col("impurity"), F.lit(0.0)).alias("u"))
-    fixed = pairs.join(noise.toDF("a", "ua"), "a").join(noise.toDF("b", "ub"), "b").withColumn("raw", F.col("distance")).withColumn("distance", F.col("distance") - (F.col("ua") + F.col("ub")) / 2)
-    others = plain.filter("group > 0").select(F.col("member").alias("other"), F.col("cells").alias("heft"), "group")
-    rows = both_ways(fixed, "draw", "distance", "raw").join(others, "other")
-    total = lambda x: F.sum(F.col("heft") * F.col(x))
-    sums = rows.groupBy("member", "group", "draw").agg(F.count("*").alias("peers"), F.sum("heft").alias("weight"), total("distance").alias("total"), total("raw").alias("raw"))
+    whole_paths = isinstance(pairs, Paths)
+    fixed = pairs if whole_paths else pairs.join(noise.toDF("a", "ua"), "a").join(noise.toDF("b", "ub"), "b").withColumn("raw", F.col("distance")).withColumn("distance", F.col("distance") - (F.col("ua") + F.col("ub")) / 2)
+    if whole_paths:
+        sums = pairs.sums(plain.join(noise, "member")).withColumn("group", F.col("group").cast(plain.schema["group"].dataType))
+    else:
+        others = plain.filter("group > 0").select(F.col("member").alias("other"), F.col("cells").alias("heft"), "group")
+        rows = both_ways(fixed, "draw", "distance", "raw").join(others, "other")
+        total = lambda x: F.sum(F.col("heft") * F.col(x))
+        sums = rows.groupBy("member", "group", "draw").agg(F.count("*").alias("peers"), F.sum("heft").alias("weight"), total("distance").alias("total"), total("raw").alias("raw"))
     sums = cut(sums.withColumn("cost", F.col("raw") / F.col("weight")))
 
     sizes = plain.filter("group > 0").groupBy("group").agg(F.count("*").alias("fellows"))
@@ -143,7 +218,7 @@ def assess(pairs: DataFrame, members: DataFrame, baseline: str, expected: DataFr
     if baseline == "mean":
         within = mean_within(sums, homes, targets).withColumns({"source": F.lit(None).cast("string"), "scores": F.lit(None).cast("long")})
     elif baseline == "member_q95":
-        within = quantile_within(fixed, sums, homes, targets)
+        within = quantile_within(fixed, sums, homes.join(noise, "member") if whole_paths else homes, targets)
     else:
         still = expected.select("a", "b", F.lit(0).alias("draw"), "distance")
         within = quantile_within(still, to_groups(still, plain), homes, targets).drop("draw")
