@@ -227,3 +227,14 @@ def test_labels_at_the_borders():
     border = [order[10], order[10], order[37]]
     got = permutations.labelled(data, border, permutations.leading(b"".join(border)))
     assert got.tolist() == [0 if k < order[10] else 2 if k < order[37] else 3 for k in keys]
+
+
+def test_permuted_scores_shuffle_no_cubes(spark, monkeypatch):
+    """What is shuffled is the counts with their labels; a region that only cells without a label have still adds its expectation."""
+    cells = spark.createDataFrame([(i, i % 3, 2.0) for i in range(60)], "cell long, group int, library double")
+    region = spark.createDataFrame([("1", i % 5, i, 3.0, 1.0, 2.0) for i in range(60)] + [("2", 0, 99, 6.0, 1.0, 0.0)], "chrom string, bin long, cell long, depth double, h1 double, h2 double")
+    rates = regions.region_rates(region, cells)
+    monkeypatch.setattr(permutations, "CUBE_BYTES", 1)
+    want = {x.perm: x for x in regions.chi_square(region, rates, regions.permuted_labels(cells, 5, 2)).collect()}
+    got = permutations._scores(region.withColumn("cell", region.cell.cast("string")), rates, cells.withColumn("cell", cells.cell.cast("string")), 5, 2)
+    assert [x[0] for x in got] == sorted(want) and all(x[1:] == pytest.approx(tuple(want[x[0]])[1:]) for x in got)
