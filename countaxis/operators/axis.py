@@ -41,7 +41,9 @@ def interpolated(sites: DataFrame, steps: DataFrame) -> DataFrame:
     rows = rows.unionByName(sites.select("chrom", F.col("position").alias("at"), F.lit(None).cast(rows.schema["step"].dataType).alias("step"), F.struct(*sites.columns).alias("site")))
     w = W.partitionBy("chrom").orderBy("at", F.col("step").isNull())
     before = F.last("step", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    after = F.first("step", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
+    # The same order backwards: a frame that reaches to the end is taken anew for each row.
+    back = W.partitionBy("chrom").orderBy(F.col("at").desc(), F.col("step").isNull().desc())
+    after = F.last("step", ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, 0))
     both = rows.withColumn("b", before).withColumn("a", after).filter("site is not null")
     share = (F.col("at") - F.col("b.bp")) / (F.col("a.bp") - F.col("b.bp"))
     inner = F.when(F.col("b.bp") == F.col("at"), F.col("b.cm")).otherwise(F.col("b.cm") + share * (F.col("a.cm") - F.col("b.cm")))

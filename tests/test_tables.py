@@ -238,3 +238,12 @@ def test_permuted_scores_shuffle_no_cubes(spark, monkeypatch):
     want = {x.perm: x for x in regions.chi_square(region, rates, regions.permuted_labels(cells, 5, 2)).collect()}
     got = permutations._scores(region.withColumn("cell", region.cell.cast("string")), rates, cells.withColumn("cell", cells.cell.cast("string")), 5, 2)
     assert [x[0] for x in got] == sorted(want) and all(x[1:] == pytest.approx(tuple(want[x[0]])[1:]) for x in got)
+
+
+def test_interpolation_takes_no_frame_to_the_end(spark):
+    """Frames that grow backwards are taken anew for each row: work would grow with the square of a chromosome's sites."""
+    steps = spark.createDataFrame([("1", 10, 1.0), ("1", 20, 3.0), ("1", 40, 4.0)], "chrom string, bp long, cm double")
+    sites = spark.createDataFrame([("1", p) for p in (5, 10, 15, 20, 30, 40, 50)], "chrom string, position long")
+    out = axis.interpolated(sites, steps)
+    assert {x.position: x.cm for x in out.collect()} == {5: 1.0, 10: 1.0, 15: 2.0, 20: 3.0, 30: 3.5, 40: 4.0, 50: 4.0}
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
