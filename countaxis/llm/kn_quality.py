@@ -19,8 +19,6 @@ from countaxis.llm.suffix_dedup import NO_ID, ROWS, _deal, _kinds, documents, pa
 
 #: Bytes of a gram. Codes of grams of up to four bytes are numbers below 2**32.
 ORDER = 4
-#: Trusted texts that the model is trained on at most: those whose ids' hashes are smallest.
-TRAIN_ROWS = 50_000
 #: Margins over the quantile that are chosen from.
 MARGINS = tuple(1 + k / 20 for k in range(11))
 TOLD, MODEL, ANSWERS = 10, 11, 12
@@ -174,23 +172,21 @@ def chosen_margin(rows: DataFrame) -> float:
     return max(enumerate(MARGINS), key=lambda m: (share(1, m[0]) - share(0, m[0]), m[1]))[1]
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def judge_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin: float | None = None, train_rows: int | None = None) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity (per byte), threshold, keep for each row of ``docs`` (doc_id, text, lang).
 
-    Trusted are all rows of ``labels`` (doc_id, quality) with quality 1; the model is trained on up to ``train_rows`` of
-    them, those with the smallest hashes of doc_id. A text is kept when its perplexity is at most ``margin`` times the
+    Trusted are all rows of ``labels`` (doc_id, quality) with quality 1, and the model is trained on all of them, or, if asked for, on
+    the ``train_rows`` with the smallest hashes of doc_id. A text is kept when its perplexity is at most ``margin`` times the
     ``quantile`` of that of trusted texts
     of its language; without ``margin`` it is chosen from MARGINS by the labels of both qualities: the share of junk kept plus
     that of trusted texts lost is least, and of equals the widest. A language without trusted texts takes the quantile over all. Null and empty texts have no perplexity
     and aren't kept; a null doc_id or language stays null; repeated rows are judged each on its own; an empty table gives
     no rows; without trusted texts all grams are alike, and all texts with a byte are kept.
     """
-    spark = docs.sparkSession
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_t")).distinct()
-    taken = good.orderBy(F.xxhash64("_t"), "_t").limit(train_rows).collect()
-    sample = F.broadcast(spark.createDataFrame([(r._t,) for r in taken], "_t long"))  # train_rows at most
+    taken = good if train_rows is None else good.orderBy(F.xxhash64("_t"), "_t").limit(train_rows)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), as_text().alias("_bytes"))
-    counted = keyed.join(sample, F.col("doc_id") == F.col("_t"), "left_semi").select("_bytes").mapInArrow(_count_grams, "gram long, c long")
+    counted = keyed.join(taken, F.col("doc_id") == F.col("_t"), "left_semi").select("_bytes").mapInArrow(_count_grams, "gram long, c long")
     tables = model_tables(stored(counted.groupBy("gram").agg(F.sum("c").alias("c")), "kn-counts"))
 
     shards = 8 * max(8, docs.rdd.getNumPartitions())

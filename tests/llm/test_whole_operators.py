@@ -56,3 +56,12 @@ def test_one_of_each_component_and_not_of_each_id(spark):
     rows = [(None, text(1)), (None, text(2)), (None, text(2)), (None, text(3)), (4, text(3)), (5, text(3)), (6, text(6)), (6, text(7)), (8, text(8)), (8, text(8)), (9, ""), (10, None), (10, None)]
     kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((x.doc_id or 0, x.text or "") for x in kept.collect()) == sorted([(0, text(1)), (0, text(2)), (4, text(3)), (6, text(6)), (6, text(7)), (8, text(8)), (9, ""), (10, "")])
+
+
+def test_quality_learns_from_every_trusted_text(spark):
+    """The text whose id's hash is the greatest of more than 50,000 has a part in the counts."""
+    n = 50_001
+    last = spark.range(n).selectExpr("id as i").orderBy(F.xxhash64("i").desc(), F.col("i").desc()).first().i
+    frame = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") == last, "zq" * 40).otherwise("ab").alias("text"), F.lit("a").alias("lang"))
+    got = kn_quality.judge_quality(frame, frame.selectExpr("doc_id", "1 as quality"), margin=1.0).filter(F.col("doc_id") == last).first()
+    assert got.perplexity < 10  # unseen bytes have about 256
