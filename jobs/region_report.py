@@ -31,16 +31,17 @@ TABLES = {"regions": REGIONS, "segments": SEGMENTS}
 KEYS = ["group", "chrom"]
 
 
-def region_rows(tables: Bound, width: int, chromosomes: list[str]) -> DataFrame:
-    """group, chrom, bin, depth, expected, share (of the first haplotype; null without counts), ratio: every group has every bin."""
+def region_rows(tables: Bound, width: int, chromosomes: list[str], held: list[DataFrame]) -> DataFrame:
+    """group, chrom, bin, depth, expected, share (of the first haplotype; null without counts), ratio: every group has every bin. What is
+    persisted is added to ``held``."""
     genes, loci = tables.genes(), tables.loci()
     if chromosomes:
         genes, loci = (x.filter(F.col("chrom").isin(chromosomes)) for x in (genes, loci))
-    cells = tables.libraries()
-    binned = regions.region_counts(tables.counts(), tables.alleles(), genes, loci, width)
-    rates = regions.region_rates(binned, cells)
-    sums = binned.join(cells.select("cell", "group"), "cell").groupBy(*KEYS, "bin").agg(*(F.sum(x).alias(x) for x in ("depth", "h1", "h2")))
-    grid = cells.groupBy("group").agg(F.sum("library").alias("exposure")).crossJoin(rates)  # the size of the result
+    exposures = tables.libraries().groupBy("group").agg(F.sum("library").alias("exposure")).persist()
+    sums = regions.region_sums(tables.count_rows(), tables.allele_rows(), genes, loci, width, tables.cells(), tables.tasks()).persist()  # both are read twice
+    held += [exposures, sums]
+    rates = regions.region_rates(sums, exposures.withColumnRenamed("exposure", "library"))
+    grid = exposures.crossJoin(rates)  # the size of the result
     dense = grid.join(sums, [*KEYS, "bin"], "left").fillna(0.0, ["depth", "h1", "h2"])
     expected = F.col("exposure") * F.col("rate")
     dense = dense.select(*KEYS, "bin", "depth", expected.alias("expected"), (F.col("h1") / F.nullif(F.col("h1") + F.col("h2"), F.lit(0.0))).alias("share"))
@@ -69,8 +70,12 @@ def run(spark: SparkSession, tables: str, out: str, width: int = 100_000, radius
     rows written (of all that ``out`` holds)."""
     bound = Bound(spark, tables)
     LOG.info("read %s line items of %s orders from %s", bound.table("lineitem").count(), bound.table("orders").count(), tables)
-    rows = with_segments(region_rows(bound, width, chromosomes or []), radius, gain, loss)
-    _write(rows, out, "regions")
+    held: list[DataFrame] = []
+    try:
+        _write(with_segments(region_rows(bound, width, chromosomes or [], held), radius, gain, loss), out, "regions")
+    finally:
+        for frame in held:
+            frame.unpersist()
     # Segments are summed from the regions as they were written, so both agree whatever becomes of the inputs.
     written = read(spark, out, "regions")
     if chromosomes:

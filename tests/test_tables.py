@@ -220,6 +220,24 @@ def test_permuted_scores_are_those_of_permuted_labels(spark, monkeypatch):
     assert permutations.permuted_scores(region, rates, cells.limit(0), 2, 5).count() == 0
 
 
+def test_region_sums_are_the_sums_of_cells_without_their_rows(spark):
+    """Repeated rows, cells without a group and cells that no table has count as in region_counts(), but no aggregation is by cell."""
+    r = np.random.default_rng(4)
+    counts = spark.createDataFrame([(int(r.integers(30)), int(r.integers(40)), int(r.integers(1, 9))) for _ in range(400)], "gene int, cell int, n long")
+    alleles = spark.createDataFrame([(int(r.integers(9)), int(r.integers(40)), int(r.integers(5)), int(r.integers(5))) for _ in range(200)], "locus int, cell int, h1 long, h2 long")
+    genes = spark.createDataFrame([(g, str(g % 2), 100 * g + 1) for g in range(28)], "gene int, chrom string, position long")
+    loci = spark.createDataFrame([(k, str(k % 3), 300 * k + 1, 0.9 if k % 2 else 0.2) for k in range(9)], "locus int, chrom string, position long, population_phase double")
+    cells = spark.createDataFrame([(i, i % 3 or None, 5.0) for i in range(36)], "cell int, group int, library double")
+    whole = regions.region_counts(counts, alleles, genes, loci, 500)
+    total = lambda rows, *keys: sorted((tuple(x) for x in rows.groupBy(*keys, "chrom", "bin").agg(F.sum("depth"), F.sum("h1"), F.sum("h2")).collect()), key=repr)
+    assert total(regions.region_sums(counts, alleles, genes, loci, 500)) == total(whole)
+    sums = regions.region_sums(counts, alleles, genes, loci, 500, cells)
+    assert total(sums, "group") == total(whole.join(cells, "cell", "left"), "group") and sums.count() == sums.select("group", "chrom", "bin").distinct().count()
+    for frame in (sums, regions.region_rates(sums, cells)):
+        aggregates = [x for x in frame._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in x]
+        assert aggregates and not any("cell#" in x for x in aggregates)
+
+
 def test_labels_at_the_borders():
     data = permutations.digests(1, 42, [b"%d" % i for i in range(50)])
     keys = [data[16 * i : 16 * i + 16] for i in range(50)]
