@@ -355,7 +355,8 @@ def infer_members(rows: DataFrame, axis: Axis, model: Model, parameters: Paramet
         places, cut = _chromosome(axis, chrom)
         steps, initial = chain_steps(cut, model, True)
         emission = _member_emission(pdf, cut, int(places[0]), model, parameters, fixed)
-        p, score = hmm.marginals(initial, steps, emission)
+        ahead = hmm.filtered(initial, steps, emission)
+        p, score = hmm.marginals(initial, steps, emission, ahead)
         p = p[0].reshape(len(places), len(STATES), 2)
         states = p.sum(-1)
         phase = np.full(len(places), np.nan)
@@ -363,8 +364,7 @@ def infer_members(rows: DataFrame, axis: Axis, model: Model, parameters: Paramet
         paths = np.zeros((0, len(places)), int)
         if draws:
             uniforms = np.random.default_rng([(seeds or {}).get(member, 0), int(places[0])]).random((draws, len(places)))
-            ahead, _ = hmm.filtered(initial, steps, emission)
-            paths = STATES.broad[hmm.sampled(ahead[0], steps, uniforms) // 2]
+            paths = STATES.broad[hmm.sampled(ahead[0][0], steps, uniforms) // 2]
         return pd.DataFrame(
             {"member": member, "chrom": chrom, "marker": places, "p": list(states), "classes": list(STATES.classes(states)), "first_phase": [None if np.isnan(x) else x for x in phase], "path": list(paths.T.astype(np.int32)), "evidence": float(score[0])}
         )

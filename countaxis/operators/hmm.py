@@ -7,6 +7,7 @@ to stay, else a draw from the prior, and two phases, a step costs as many operat
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -43,9 +44,9 @@ class Dense:
         y = x[..., :, None] + self.logs[t]
         return y.max(-2), y.argmax(-2)
 
-    def into(self, t: int, state: np.ndarray) -> np.ndarray:
-        """Logs of the transitions of all states into the given ones."""
-        return self.logs[t].T[state]
+    def into(self, low: int, high: int) -> np.ndarray:
+        """Logs of the transitions from places low ... high - 1, as places x states at the next place x states."""
+        return self.logs[low:high].swapaxes(1, 2)
 
 
 @dataclass(frozen=True)
@@ -57,24 +58,28 @@ class Structured:
     prior: np.ndarray
     switch: np.ndarray | None = None
 
+    @cached_property
+    def _logs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
+        """Of all places at once: the chance to stay, the draws from the prior, and the phases' to stay and to turn."""
+        sides = (None, None) if self.switch is None else (safe_log(1 - self.switch), safe_log(self.switch))
+        return safe_log(self.rho), safe_log((1 - self.rho)[:, None] * self.prior)[..., None], *sides
+
     def _phases(self, t: int, m: np.ndarray) -> np.ndarray:
-        if self.switch is None:
-            return m
-        stay, turn = safe_log(1 - self.switch[t]), safe_log(self.switch[t])
-        return np.logaddexp(m + stay, m[..., ::-1] + turn)
+        _, _, stay, turn = self._logs
+        return m if stay is None else np.logaddexp(m + stay[t], m[..., ::-1] + turn[t])
 
     def _split(self, x: np.ndarray) -> np.ndarray:
         return x.reshape(*x.shape[:-1], len(self.prior), -1)
 
     def forward(self, t: int, x: np.ndarray) -> np.ndarray:
         m = self._phases(t, self._split(x))
-        drawn = safe_log((1 - self.rho[t]) * self.prior)[:, None] + log_sum(m, -2)[..., None, :]
-        return np.logaddexp(safe_log(self.rho[t]) + m, drawn).reshape(x.shape)
+        drawn = self._logs[1][t] + log_sum(m, -2)[..., None, :]
+        return np.logaddexp(self._logs[0][t] + m, drawn).reshape(x.shape)
 
     def backward(self, t: int, x: np.ndarray) -> np.ndarray:
         m = self._split(x)
-        drawn = log_sum(safe_log((1 - self.rho[t]) * self.prior)[:, None] + m, -2)[..., None, :]
-        return self._phases(t, np.logaddexp(safe_log(self.rho[t]) + m, drawn)).reshape(x.shape)
+        drawn = log_sum(self._logs[1][t] + m, -2)[..., None, :]
+        return self._phases(t, np.logaddexp(self._logs[0][t] + m, drawn)).reshape(x.shape)
 
     def matrix(self, t: int) -> np.ndarray:
         k = len(self.prior)
@@ -88,8 +93,14 @@ class Structured:
         y = x[..., :, None] + self.matrix(t)
         return y.max(-2), y.argmax(-2)
 
-    def into(self, t: int, state: np.ndarray) -> np.ndarray:
-        return self.matrix(t).T[state]
+    def into(self, low: int, high: int) -> np.ndarray:
+        rho, k = self.rho[low:high, None, None], len(self.prior)
+        cn = rho * np.eye(k) + (1 - rho) * self.prior[None, None, :]
+        if self.switch is not None:
+            s = self.switch[low:high]
+            turns = np.stack([np.stack([1 - s, s], -1), np.stack([s, 1 - s], -1)], -2)
+            cn = (cn[:, :, None, :, None] * turns[:, None, :, None, :]).reshape(-1, 2 * k, 2 * k)
+        return safe_log(cn).swapaxes(1, 2)
 
 
 def _checked(initial: np.ndarray, emissions: np.ndarray) -> None:
@@ -118,9 +129,9 @@ def evidence(initial: np.ndarray, steps, emissions: np.ndarray) -> np.ndarray:
     return log_sum(now, -1)
 
 
-def marginals(initial: np.ndarray, steps, emissions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior state probabilities (keys x places x states) and log evidence."""
-    ahead, score = filtered(initial, steps, emissions)
+def marginals(initial: np.ndarray, steps, emissions: np.ndarray, forward: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior state probabilities (keys x places x states) and log evidence. forward: filtered()'s result, if it is at hand."""
+    ahead, score = forward or filtered(initial, steps, emissions)
     out = np.empty_like(ahead)
     back = np.zeros_like(emissions[:, 0])
     for t in range(emissions.shape[1] - 1, -1, -1):
@@ -148,22 +159,33 @@ def viterbi(initial: np.ndarray, steps, emissions: np.ndarray) -> np.ndarray:
     return path
 
 
-def _pick(logs: np.ndarray, uniform: np.ndarray) -> np.ndarray:
-    """States by inversion of the distribution functions; the last state where rounding leaves none."""
-    p = np.exp(logs - logs.max(-1, keepdims=True))
-    total = np.cumsum(p, -1)
-    return np.minimum((total <= uniform[..., None] * total[..., -1:]).sum(-1), logs.shape[-1] - 1)
+def _pick(total: np.ndarray, uniform: np.ndarray) -> np.ndarray:
+    """States by inversion of the distribution functions (sums so far); the last state where rounding leaves none."""
+    return np.minimum((total <= uniform[..., None] * total[..., -1:]).sum(-1), total.shape[-1] - 1)
+
+
+def _sums(logs: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.exp(logs - logs.max(-1, keepdims=True)), -1)
+
+
+#: Places whose distributions are made at once for sampled().
+PLACES = 1024
 
 
 def sampled(ahead: np.ndarray, steps, uniforms: np.ndarray) -> np.ndarray:
     """Paths (draws x places) from one key's forward variables (places x states) by filtering ahead and sampling back.
-    uniforms: draws x places."""
+    uniforms: draws x places. A place has one distribution for each state that may follow, whatever the number of draws; those of many
+    places are made at once."""
     draws, places = uniforms.shape
-    path = np.empty((draws, places), np.int64)
-    path[:, -1] = _pick(np.broadcast_to(ahead[-1], (draws, ahead.shape[1])), uniforms[:, -1])
-    for t in range(places - 2, -1, -1):
-        path[:, t] = _pick(ahead[t] + steps.into(t, path[:, t + 1]), uniforms[:, t])
-    return path
+    path = np.empty((places, draws), np.int32)
+    back = np.ascontiguousarray(uniforms.T)
+    path[-1] = _pick(np.broadcast_to(_sums(ahead[-1]), (draws, ahead.shape[1])), back[-1])
+    for high in range(places - 1, 0, -PLACES):
+        low = max(high - PLACES, 0)
+        totals = _sums(ahead[low:high, None, :] + steps.into(low, high))
+        for t in range(high - 1, low - 1, -1):
+            path[t] = _pick(totals[t - low].take(path[t + 1], 0), back[t])
+    return path.T
 
 
 def constant_segments(emissions: np.ndarray, switch: np.ndarray | None, start: int, stop: int) -> np.ndarray:

@@ -123,6 +123,31 @@ def test_phase_fit_climbs_and_recovers(counts):
     assert gain[0, :4].min() > 0.5 and gain[1, 4:].min() > 2 * gain[1, :4].max() and gain[0, 4:].max() < 0.5
 
 
+def test_sampled_paths_make_distributions_for_many_places_at_once():
+    """The same paths as place by place, with one call for the transitions of all places of a stretch."""
+    r = np.random.default_rng(3)
+    places, k = hmm.PLACES + 70, 3
+    rho, switch, prior = r.random(places - 1), r.random(places - 1), r.dirichlet(np.ones(k))
+    rho[::50], switch[::9] = 0, 0
+    steps, calls = hmm.Structured(rho, prior, switch), []
+    ahead, _ = hmm.filtered(np.log(np.repeat(prior, 2) / 2), steps, r.normal(size=(1, places, 2 * k)) * 3)
+    u = r.random((8, places))
+
+    class Counted:
+        def into(self, low, high):
+            calls.append(high - low)
+            return steps.into(low, high)
+
+    got, want = hmm.sampled(ahead[0], Counted(), u), np.empty((8, places), int)
+    for d in range(8):
+        logs = ahead[0][-1]
+        for t in range(places - 1, -1, -1):
+            total = np.cumsum(np.exp(logs - logs.max()))
+            want[d, t] = min((total <= u[d, t] * total[-1]).sum(), 2 * k - 1)
+            logs = ahead[0][t - 1] + steps.matrix(t - 1)[:, want[d, t]] if t else logs
+    assert (got == want).all() and calls == [hmm.PLACES, 69]
+
+
 def test_joint_chain_against_enumeration():
     model = Model(family="nb", outlier=0.0, locus_weight=0.5)
     markers = pd.DataFrame({"marker": [0, 1], "chrom": ["1", "1"], "start": [1, 5_000_000], "end": [1, 5_000_000]})
