@@ -1,8 +1,8 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of byte 4-grams, trained on trusted texts.
 
 Counts, continuation counts, discounts and interpolation weights are DataFrame aggregates and joins. Documents are dealt to
-groups; a group tells the shards of grams which grams it has, the distinct ones are joined with the model's tables, and
-the shards answer each group with the log probabilities of its grams. A text's limit is a quantile of the perplexities of
+groups, and so are the ids of trusted texts; a group tells the shards of grams which grams it has, and how often its trusted
+texts have them, the distinct ones are joined with the model's tables, and the shards answer each group with the log probabilities of its grams. A text's limit is a quantile of the perplexities of
 trusted texts of its language.
 """
 
@@ -14,15 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from countaxis.llm.shared import as_text, column_bytes, mixed, stored, tidy
-from countaxis.llm.suffix_dedup import NO_ID, ROWS, _deal, _kinds, documents, packed, rows_of, split_by, unpacked
+from countaxis.llm.shared import as_text, column_bytes, forget, mixed, stored, tidy
+from countaxis.llm.suffix_dedup import NO_ID, ROWS, _deal, _kinds, documents, group_of, packed, rows_of, split_by, unpacked
 
 #: Bytes of a gram. Codes of grams of up to four bytes are numbers below 2**32.
 ORDER = 4
 #: Margins over the quantile that are chosen from.
 MARGINS = tuple(1 + k / 20 for k in range(11))
-TOLD, MODEL, ANSWERS = 10, 11, 12
+TOLD, MODEL, ANSWERS, TRUSTED, COUNTS = 10, 11, 12, 13, 14
 GRAM = np.dtype([("gap", "<u4")])
+ID = np.dtype([("id", "<i8")])
+COUNT = np.dtype([("gram", "<u4"), ("c", "<u8")])
 ENTRY = np.dtype([("gram", "<u4"), ("log", "<f4")])
 LOG = np.dtype([("log", "<f4")])
 SCORED = "doc_id long, lang string, n_bytes long, log_sum double"
@@ -40,13 +42,27 @@ def grams_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return code
 
 
-def _count_grams(batches):
-    """Training: grams of trusted texts with their counts, summed within each batch."""
-    for batch in batches:
-        for low in range(0, batch.num_rows, 1024):
-            data, offsets = column_bytes(batch.column(0).slice(low, 1024))
-            grams, counts = np.unique(grams_of(data, offsets), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), pa.array(counts.astype(np.int64))], ["gram", "c"])
+def _deal_ids(groups: int):
+    """Training: the ids of trusted texts to the groups that have the texts."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            rows = [(g, TRUSTED, packed(ids[members].view(ID))) for g, members in split_by(group_of(ids, ids, groups))]
+            if NO_ID in ids:  # a text of this id is dealt by its hash, as one without an id
+                rows += [(g, TRUSTED, packed(np.array([NO_ID]).view(ID))) for g in range(groups)]
+            yield rows_of(rows)
+
+    return run
+
+
+def _sum_counts(table: pa.Table) -> pa.Table:
+    """Training: grams of one shard with their counts in all trusted texts."""
+    told = np.concatenate([unpacked(b, COUNT)[0] for _, b in _kinds(table)])
+    grams, own = np.unique(told["gram"], return_inverse=True)
+    counts = np.zeros(len(grams), np.int64)
+    np.add.at(counts, own, told["c"].astype(np.int64))
+    return pa.table({"gram": pa.array(grams.astype(np.int64)), "c": pa.array(counts)})
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -107,7 +123,13 @@ def _shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
 
 def _tell(schema: pa.Schema, shards: int):
     def run(table: pa.Table) -> pa.Table:
-        parts = [np.unique(g) for _, g, _ in _group_grams(table, schema)]
+        trusted = np.concatenate([np.zeros(0, np.int64), *(unpacked(b, ID)[0]["id"] for k, b in _kinds(table) if k == TRUSTED)])
+        parts, learnt = [], []
+        for batch, g, offsets in _group_grams(table, schema):
+            parts.append(np.unique(g))
+            ids = batch.column(schema.get_field_index("doc_id"))
+            taken = np.asarray(ids.is_valid()) & np.isin(np.asarray(ids.fill_null(NO_ID)), trusted)
+            learnt.append(g[np.repeat(taken, np.diff(offsets))])
         grams = np.unique(np.concatenate([np.zeros(0, np.uint32), *parts]))
         group = int(table.column("grp")[0].as_py()).to_bytes(8, "little")
         rows = []
@@ -115,6 +137,11 @@ def _tell(schema: pa.Schema, shards: int):
             out = np.empty(len(members), GRAM)
             out["gap"] = np.diff(grams[members], prepend=np.uint32(0))
             rows.append((s, TOLD, packed(out, group)))
+        grams, counts = np.unique(np.concatenate([np.zeros(0, np.uint32), *learnt]), return_counts=True)
+        for s, members in split_by(_shard_of(grams, shards)):
+            out = np.empty(len(members), COUNT)
+            out["gram"], out["c"] = grams[members], counts[members]
+            rows.append((s, COUNTS, packed(out)))
         return pa.Table.from_batches([rows_of(rows)])
 
     return tidy(run)
@@ -186,17 +213,18 @@ def judge_quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, ma
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_t")).distinct()
     taken = good if train_rows is None else good.orderBy(F.xxhash64("_t"), "_t").limit(train_rows)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), as_text().alias("_bytes"))
-    counted = keyed.join(taken, F.col("doc_id") == F.col("_t"), "left_semi").select("_bytes").mapInArrow(_count_grams, "gram long, c long")
-    tables = model_tables(stored(counted.groupBy("gram").agg(F.sum("c").alias("c")), "kn-counts"))
-
     shards = 8 * max(8, docs.rdd.getNumPartitions())
     keyed = keyed.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64("_bytes").alias("_row"), "doc_id", "lang", "_bytes")
     schema = to_arrow_schema(keyed.schema)
     texts = keyed.mapInArrow(_deal(("_id", "_row", "_bytes"), shards), ROWS)
-    told = stored(texts.groupBy("grp").applyInArrow(_tell(schema, shards), ROWS), "kn-told")
+    # Texts meet the ids in their groups: a join of the texts with them would shuffle all texts a third time.
+    all_told = stored(texts.unionByName(taken.mapInArrow(_deal_ids(shards), ROWS)).groupBy("grp").applyInArrow(_tell(schema, shards), ROWS), "kn-told")
+    told, counted = (all_told.filter(F.col("kind") == x) for x in (TOLD, COUNTS))
+    tables = model_tables(stored(counted.groupBy("grp").applyInArrow(_sum_counts, "gram long, c long"), "kn-counts"))
     grams = told.groupBy("grp").applyInArrow(_distinct, "shard long, gram long")
     model = probabilities(grams, tables).groupBy("shard").applyInArrow(_pack_model, ROWS)
     answers = stored(told.unionByName(model).groupBy("grp").applyInArrow(_answer, ROWS), "kn-answers")
+    forget(all_told)
     scored = texts.unionByName(answers).groupBy("grp").applyInArrow(_score(schema, shards), SCORED)
     scored = stored(scored.withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.pow(F.lit(10.0), -F.col("log_sum") / F.col("n_bytes")))), "kn-scores")
 

@@ -65,3 +65,40 @@ def test_quality_learns_from_every_trusted_text(spark):
     frame = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") == last, "zq" * 40).otherwise("ab").alias("text"), F.lit("a").alias("lang"))
     got = kn_quality.judge_quality(frame, frame.selectExpr("doc_id", "1 as quality"), margin=1.0).filter(F.col("doc_id") == last).first()
     assert got.perplexity < 10  # unseen bytes have about 256
+
+
+@pytest.mark.parametrize("most", ["10m", "-1"])
+def test_training_shuffles_no_text_for_its_labels(spark, monkeypatch, most):
+    """Trusted ids go to the groups that texts are dealt to, so no join has texts on a side, however many labels there are; counts are
+    those of all rows of trusted ids, the one that stands for null among them."""
+    words = ["red", "green", "blue", "häuser", "x" * 90]
+    r = random.Random(4)
+    rows = [(i % 40 - 3, " ".join(r.choice(words) for _ in range(9)), "en") for i in range(60)] + [(None, "null null", "en"), (-(1 << 63), "least", "en"), (5, None, "en"), (6, "", None)]
+    trusted = [*range(-3, 30, 2), -(1 << 63), 999]
+    want = {}
+    for i, text, _ in rows:
+        if i in trusted:
+            data = (text or "").encode()
+            for k in range(len(data)):
+                gram = int.from_bytes(data[max(0, k - 3) : k + 1])
+                want[gram] = want.get(gram, 0) + 1
+    got, real, texts = {}, kn_quality.model_tables, []
+    monkeypatch.setattr(kn_quality, "model_tables", lambda counts: got.update({x.gram: x.c for x in counts.collect()}) or real(counts))
+    kept = kn_quality.stored
+
+    def stored(frame, what):
+        plan = frame._jdf.queryExecution().optimizedPlan()
+        if "_bytes" in plan.toString() and "Join" in plan.toString():
+            texts.append(what)
+        return kept(frame, what)
+
+    monkeypatch.setattr(kn_quality, "stored", stored)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    try:
+        frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+        out = kn_quality.judge_quality(frame, spark.createDataFrame([(i, 1) for i in trusted] + [(4, 0)], "doc_id long, quality int"))
+        assert out.count() == len(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == want and not texts
