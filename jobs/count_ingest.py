@@ -38,6 +38,7 @@ def words(text: str) -> Column:
 
 def add_batch(batch: DataFrame, number: int, out: str, group: str) -> None:
     """Libraries and sums of one batch, in place of what an earlier try of the same batch has written."""
+    _empty(batch.sparkSession, out, "dispersion", "overwrite")  # profiles are out of date until it has its row again
     held = F.coalesce(F.col(f"`{group}`").cast("string"), F.lit("unknown"))
     docs = batch.select(F.col("doc_id").cast("long").alias("cell"), held.alias("group"), F.array_sort(words("text")).alias("words"), F.lit(number).cast("long").alias("batch"))
     cells = docs.select("cell", F.size("words").cast("long").alias("library"), F.size(F.array_distinct("words")).cast("long").alias("genes"), "batch", "group")
@@ -49,6 +50,11 @@ def add_batch(batch: DataFrame, number: int, out: str, group: str) -> None:
     _replace(sums.select("gene", "n", "cells", "batch", "group"), f"{out}/sums", ["batch", "group"])
 
 
+def _empty(spark: SparkSession, out: str, name: str, mode: str, *keys: str) -> None:
+    """A table without rows, or (append) only the folder where there is none."""
+    spark.createDataFrame([], TABLES[name]).write.mode(mode).partitionBy(*keys).parquet(f"{out}/{name}")
+
+
 def _replace(frame: DataFrame, path: str, keys: list[str]) -> None:
     """Write ``frame`` in place of the partitions that it has rows of; other partitions stay."""
     frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
@@ -72,7 +78,8 @@ def run(spark: SparkSession, documents: str, out: str, checkpoint: str, group: s
     files nothing is added and the profiles stay as they are. Returns how many documents were taken, in how many batches.
     """
     for name in ("cells", "sums"):  # tables without rows, where nothing has come yet
-        spark.createDataFrame([], TABLES[name]).write.mode("append").partitionBy("batch", "group").parquet(f"{out}/{name}")
+        _empty(spark, out, name, "append", "batch", "group")
+    _empty(spark, out, "dispersion", "append")
     schema = ", ".join(dict.fromkeys(["doc_id long", "text string", f"`{group}` string"]))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(documents)
     query = stream.writeStream.foreachBatch(lambda batch, number: add_batch(batch, number, out, group)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -83,6 +90,10 @@ def run(spark: SparkSession, documents: str, out: str, checkpoint: str, group: s
         LOG.info("batch %s: read %s documents of %s", batch["batch"], batch["count"], documents)
     done = {"documents": sum(x["count"] for x in taken), "batches": len(taken)}
     LOG.info("read %s documents in %s batches", done["documents"], done["batches"])
+    # The dispersion is emptied before a batch and written last, so its row says that the profiles are those of all batches.
+    if not made and read(spark, out, "dispersion").head():
+        LOG.info("nothing new: profiles in %s stay as they are", out)
+        return done
     frame = profiles(spark, out)
     # Dealt by ranges, so that a group of a third of all words is written by several tasks.
     frame.repartitionByRange("group", "gene").write.mode("overwrite").partitionBy("group").parquet(f"{out}/profiles")

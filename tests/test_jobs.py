@@ -149,3 +149,21 @@ def test_command_line(spark, tmp_path):
         done = subprocess.run([sys.executable, "-m", "jobs.count_ingest", *args], cwd=ROOT, env=os.environ | {"SPARK_LOCAL_DIRS": str(tmp_path)}, capture_output=True, text=True, timeout=300)
         assert done.returncode == 0, done.stderr[-2000:]
     assert "read 0 documents" in done.stderr and found(spark, f"{tmp_path}/out") == brute(FIRST)
+
+
+def test_profiles_are_renewed_only_for_what_is_new(spark, tmp_path, monkeypatch):
+    """A run without new files leaves finished profiles alone; one after a run that broke off before they were written makes them."""
+    src, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+    documents(spark, src, FIRST, 1)
+    run = lambda: count_ingest.run(spark, f"{src}/part*", out, mark)
+    made, real = [], count_ingest.profiles
+    monkeypatch.setattr(count_ingest, "profiles", lambda *x: made.append(1) or real(*x))
+    run(), run()
+    assert made == [1] and found(spark, out) == brute(FIRST) and count_ingest.read(spark, out, "dispersion").count() == 1
+    documents(spark, src, SECOND, 2)
+    with monkeypatch.context() as m:
+        m.setattr(count_ingest, "profiles", lambda *x: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            run()
+    assert run() == {"documents": 0, "batches": 0} and made == [1, 1]
+    assert found(spark, out) == brute(FIRST + SECOND) and count_ingest.read(spark, out, "dispersion").count() == 1
