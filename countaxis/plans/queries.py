@@ -487,12 +487,11 @@ def bootstrap_blocks(b: Bound) -> DataFrame:
 @query()
 def clone_calls(b: Bound) -> DataFrame:
     counts, cells, genes = _small(b)
-    blocks = resample.bootstrap_profiles(counts, cells, genes, seed=1).persist()
-    groups = [r.group for r in blocks.select("group").distinct().orderBy("group").collect()]
-    x, boot, _ = resample.feature_arrays(blocks, groups)
-    size = {r.group: r["count"] for r in cells.groupBy("group").count().collect()}
-    result = clones.call_self(x, boot, np.array([size[g] for g in groups]), "self_expression")
-    pools = grouping.phase_pools(x)
+    blocks = resample.bootstrap_profiles(counts, cells, genes, seed=1, wide=True)
+    groups = [r.group for r in cells.select("group").filter("group is not null").distinct().orderBy("group").collect()]
+    features = grouping.Features(blocks, len(groups))
+    result, moments = clones.call_expression(features), features.moments
+    pools = grouping.pools_of(moments.raw.products, moments.low == moments.high)
     return b.spark.createDataFrame([(int(g), int(k), int(q), float(s)) for g, k, q, s in zip(groups, result.labels, pools, result.stability, strict=True)], "member int, label int, pool int, stability double")
 
 
