@@ -31,19 +31,19 @@ def members(cells: DataFrame, exclude_unresolved: bool = False) -> DataFrame:
     return cells.filter(F.col("group") != 0) if exclude_unresolved else cells
 
 
-def pseudobulk(counts: DataFrame, cells: DataFrame, genes: DataFrame, exclude_unresolved: bool = False) -> DataFrame:
+def pseudobulk(counts: DataFrame, cells: DataFrame, genes: DataFrame, exclude_unresolved: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """group, gene, n, exposure, expected for every group and gene: a gene without counts where some are expected is evidence, so
     zeros are rows too.
 
     counts: gene, cell, n (sparse); cells: cell, group, library; genes: gene, fraction. Genes on one marker stay apart. The
-    shuffle carries sums per group and gene, never cells; the grid is the size of the result.
+    shuffle carries sums per group and gene, never cells; the grid is the size of the result. keep: further columns of the genes.
     """
     cells = members(cells, exclude_unresolved)
     exposures = cells.groupBy("group").agg(F.sum("library").alias("exposure"))
     sums = counts.join(cells.select("cell", "group"), "cell").groupBy("group", "gene").agg(F.sum("n").cast("long").alias("n"))
-    grid = exposures.crossJoin(genes.select("gene", "fraction"))
+    grid = exposures.crossJoin(genes.select("gene", "fraction", *keep))
     return grid.join(sums, ["group", "gene"], "left").select(
-        "group", "gene", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "exposure", (F.col("exposure") * F.col("fraction")).alias("expected")
+        "group", "gene", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "exposure", (F.col("exposure") * F.col("fraction")).alias("expected"), *keep
     )
 
 

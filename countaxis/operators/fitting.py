@@ -12,6 +12,8 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -304,10 +306,20 @@ ROWS = ["member", "chrom", "marker", "kind", "a", "b", "w"]
 
 
 def member_rows(depth: DataFrame, alleles: DataFrame, markers: DataFrame, loci: DataFrame) -> DataFrame:
-    """depth: member, marker, n, expected; alleles: member, locus, h1, h2, het; both long, with their markers' chromosomes."""
-    d = depth.select("member", "marker", F.lit(0).alias("kind"), F.col("n").cast("double").alias("a"), F.col("expected").cast("double").alias("b"), F.lit(1.0).alias("w"))
-    a = alleles.join(loci.select("locus", "marker"), "locus").select("member", "marker", F.lit(1).alias("kind"), F.col("h1").cast("double").alias("a"), F.col("h2").cast("double").alias("b"), F.col("het").cast("double").alias("w"))
-    return d.unionByName(a).join(markers.select("marker", "chrom"), "marker").select(*ROWS)
+    """depth: member, marker, n, expected (chrom, if it is at hand); alleles: member, locus, h1, h2, het; both long, with their markers'
+    chromosomes."""
+    named = markers.select("marker", "chrom")
+    d = (depth if "chrom" in depth.columns else depth.join(named, "marker")).select("member", "chrom", "marker", F.lit(0).alias("kind"), F.col("n").cast("double").alias("a"), F.col("expected").cast("double").alias("b"), F.lit(1.0).alias("w"))
+    a = alleles.join(loci.select("locus", "marker"), "locus").join(named, "marker").select("member", "chrom", "marker", F.lit(1).alias("kind"), F.col("h1").cast("double").alias("a"), F.col("h2").cast("double").alias("b"), F.col("het").cast("double").alias("w"))
+    return d.unionByName(a).select(*ROWS)
+
+
+def axis_rows(markers: DataFrame, loci: DataFrame) -> DataFrame:
+    """The axis as rows beside those of members, so that it needn't go through the driver. kind 2, markers: start, end; kind 3, loci:
+    population phase, genetic_cm. markers, loci: as for Axis.of(), in any order."""
+    m = markers.select("chrom", "marker", F.lit(2).alias("kind"), F.col("start").cast("double").alias("a"), F.col("end").cast("double").alias("b"))
+    x = loci.join(markers.select("marker", "chrom"), "marker") if "chrom" not in loci.columns else loci
+    return m.unionByName(x.select("chrom", "marker", F.lit(3).alias("kind"), F.col("population_phase").cast("double").alias("a"), F.col("genetic_cm").cast("double").alias("b")))
 
 
 def _chromosome(axis: Axis, chrom: str) -> tuple[np.ndarray, Axis]:
@@ -342,35 +354,156 @@ def member_evidence(rows: DataFrame, axis: Axis, model: Model, grid: list[Parame
     return rows.groupBy("member", "chrom").applyInPandas(run, f"member {kind}, chrom string, i int, evidence double")
 
 
-def infer_members(rows: DataFrame, axis: Axis, model: Model, parameters: Parameters, draws: int = 0, seeds: dict | None = None, fixed: Parameters | None = None) -> DataFrame:
+#: Members whose chains are one loop over places, and bytes of their states at the places that are held at once.
+MEMBERS, CHAIN_BYTES = 8, 32 << 20
+
+
+def infer_members(rows: DataFrame, axis: Axis | DataFrame, model: Model, parameters: Parameters, draws: int = 0, seeds: dict | None = None, fixed: Parameters | None = None) -> DataFrame:
     """member, chrom, marker, p (states), classes, first_phase (null off loci), path (draws of broad classes), evidence.
 
     Members without a row on a chromosome have no row here for it. seeds: member -> seed; the uniforms of a
-    member's chromosome are a stream of their own, so that paths don't depend on how the work is dealt.
+    member's chromosome are a stream of their own, so that paths don't depend on how the work is dealt. axis: may be axis_rows(), and
+    goes to the members' chromosomes then. Some members' chains of a chromosome are one loop, over a stretch of places after another;
+    forward variables are kept at the stretches' starts and made again on the way back.
     """
-    fixed = fixed or parameters
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        member, chrom = pdf["member"].iloc[0], pdf["chrom"].iloc[0]
-        places, cut = _chromosome(axis, chrom)
-        steps, initial = chain_steps(cut, model, True)
-        emission = _member_emission(pdf, cut, int(places[0]), model, parameters, fixed)
-        ahead = hmm.filtered(initial, steps, emission)
-        p, score = hmm.marginals(initial, steps, emission, ahead)
-        p = p[0].reshape(len(places), len(STATES), 2)
-        states = p.sum(-1)
-        phase = np.full(len(places), np.nan)
-        phase[cut.locus_marker] = p[cut.locus_marker].sum(1)[:, 0]
-        paths = np.zeros((0, len(places)), int)
-        if draws:
-            uniforms = np.random.default_rng([(seeds or {}).get(member, 0), int(places[0])]).random((draws, len(places)))
-            paths = STATES.broad[hmm.sampled(ahead[0][0], steps, uniforms) // 2]
-        return pd.DataFrame(
-            {"member": member, "chrom": chrom, "marker": places, "p": list(states), "classes": list(STATES.classes(states)), "first_phase": [None if np.isnan(x) else x for x in phase], "path": list(paths.T.astype(np.int32)), "evidence": float(score[0])}
-        )
-
+    fixed, seeds = fixed or parameters, seeds or {}
     kind = dict(rows.dtypes)["member"]
-    return rows.groupBy("member", "chrom").applyInPandas(run, f"member {kind}, chrom string, marker int, p array<double>, classes array<double>, first_phase double, path array<int>, evidence double")
+    blocks = max(1, -(-(len(seeds) or rows.select("member").distinct().count()) // MEMBERS))
+    dealt = rows.select(F.pmod(F.xxhash64("member"), F.lit(blocks)).cast("int").alias("block"), *ROWS)
+    if isinstance(axis, DataFrame):
+        places = axis.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(None).cast(kind).alias("member"), "chrom", "marker", "kind", "a", "b", F.lit(None).cast("double").alias("w"))
+        dealt = dealt.unionByName(places)
+    held = axis if isinstance(axis, Axis) else None
+    tasks = max(16 * rows.sparkSession.sparkContext.defaultParallelism, blocks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chrom, table in _runs(batches):
+            yield from _infer(chrom, table, held, model, parameters, fixed, draws, seeds)
+
+    schema = f"member {kind}, chrom string, marker int, p array<double>, classes array<double>, first_phase double, path array<int>, evidence double"
+    return dealt.repartition(tasks, "chrom", "block").sortWithinPartitions("chrom", "block").mapInArrow(run, schema)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Table]]:
+    """The rows of each chromosome and block of members, which stand together."""
+    own, pieces = None, []
+    for batch in batches:
+        chrom, block = batch.column("chrom").dictionary_encode(), batch.column("block").to_numpy()
+        codes = chrom.indices.to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero((np.diff(codes) != 0) | (np.diff(block) != 0)) + 1).tolist(), len(block)]
+        for low, high in zip(edges, edges[1:], strict=False):
+            if low == high:
+                continue
+            key = chrom[low].as_py(), int(block[low])
+            if key != own and pieces:
+                yield own[0], pa.Table.from_batches(pieces)
+                pieces = []
+            own = key
+            pieces.append(batch.slice(low, high - low).drop_columns(["chrom", "block"]))
+    if pieces:
+        yield own[0], pa.Table.from_batches(pieces)
+
+
+def _axis_of(chrom: str, table: pa.Table, model: Model) -> tuple[np.ndarray, Axis]:
+    """_chromosome() out of axis_rows()."""
+    kind, marker, a, b = (table.column(c).to_numpy() for c in ("kind", "marker", "a", "b"))
+    at, locus = (np.flatnonzero(kind == k)[np.argsort(marker[kind == k], kind="stable")] for k in (2, 3))
+    places = marker[at].astype(np.int64)
+    markers = pd.DataFrame({"chrom": np.full(len(at), chrom), "start": a[at], "end": b[at]})
+    loci = pd.DataFrame({"marker": marker[locus] - (places[0] if len(places) else 0), "population_phase": a[locus], "genetic_cm": b[locus]})
+    return places, Axis.of(markers, loci, model)
+
+
+def _infer(chrom: str, table: pa.Table, axis: Axis | None, model: Model, parameters: Parameters, fixed: Parameters, draws: int, seeds: dict) -> Iterator[pa.RecordBatch]:
+    places, cut = _chromosome(axis, chrom) if axis else _axis_of(chrom, table, model)
+    table = table.filter(pc.less(table.column("kind"), 2))
+    if not table.num_rows:
+        return
+    coded = table.column("member").combine_chunks().dictionary_encode(null_encoding="encode")
+    who, names, first, size = coded.indices.to_numpy(), coded.dictionary, int(places[0]), len(places)
+    kind, a, b, w = (table.column(c).to_numpy() for c in ("kind", "a", "b", "w"))
+    marker = table.column("marker").to_numpy().astype(np.int64) - first
+    sides = []
+    for k in (0, 1):  # depth, alleles: by marker
+        order = (own := np.flatnonzero(kind == k))[np.argsort(marker[own], kind="stable")]
+        sides.append((marker[order], who[order], a[order], b[order], w[order]))
+    del table, coded, kind, a, b, w, marker, who
+    members, states = len(names), 2 * len(STATES)
+    steps, initial = chain_steps(cut, model, True)
+    long = max(hmm.PLACES, CHAIN_BYTES // (8 * members * states))
+
+    def emissions(low: int, high: int) -> np.ndarray:
+        depth = np.zeros((members * (high - low), len(STATES)))
+        ends = [slice(*np.searchsorted(side[0], (low, high))) for side in sides]
+        (at, m, n, e, weight), (at_a, m_a, h1, h2, het) = ([x[own] for x in side] for side, own in zip(sides, ends, strict=True))
+        np.add.at(depth, m * (high - low) + at - low, depth_logs(model, parameters, n, e) * weight[:, None])
+        inside = (cut.locus_marker >= low) & (cut.locus_marker < high)
+        part = Axis(cut.chrom[low:high], cut.rho[low:high], cut.locus_marker[inside] - low, cut.population[inside], cut.locus_switch[inside])
+        return joint_emissions(depth.reshape(members, high - low, -1), m_a, at_a - low, allele_logs(model, fixed, h1, h2, het), part, model)
+
+    def forward(low: int, high: int, now: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Emissions and forward variables of a stretch. now: those of its first place."""
+        e = emissions(low, high)
+        hmm._checked(initial, e)
+        out = np.empty_like(e)
+        out[:, 0] = initial + e[:, 0] if low == 0 else now if now is not None else steps.forward(low - 1, last) + e[:, 0]
+        for t in range(1, high - low):
+            out[:, t] = steps.forward(low + t - 1, out[:, t - 1]) + e[:, t]
+        return e, out
+
+    starts, last = {}, None
+    for low in range(0, size, long):
+        e, ahead = forward(low, min(low + long, size), None)
+        starts[low], last = ahead[:, 0].copy(), ahead[:, -1].copy()
+    score = hmm.log_sum(last, -1)
+    streams = [np.random.default_rng([seeds.get(name, 0), first]).bit_generator for name in names.to_pylist()] if draws else []
+    states0 = [x.state for x in streams]
+
+    def uniforms(low: int, high: int) -> np.ndarray:
+        """Places x members x draws of each member's stream, which has all places of a draw after those of another."""
+        out = np.empty((members, draws, high - low))
+        for m, (bits, state) in enumerate(zip(streams, states0, strict=True)):
+            bits.state = state
+            bits.advance(low)
+            generator = np.random.Generator(bits)
+            for d in range(draws):
+                out[m, d] = generator.random(high - low)
+                bits.advance(size - (high - low))
+        return np.ascontiguousarray(out.transpose(2, 0, 1))
+
+    whole = np.zeros(size, bool)
+    whole[cut.locus_marker] = True
+    back, after = np.zeros((members, states)), None
+    for low in sorted(starts, reverse=True):
+        high = min(low + long, size)
+        if high < size:
+            e, ahead = forward(low, high, starts[low])
+        p = np.empty_like(ahead)
+        for t in range(high - low - 1, -1, -1):
+            joint = ahead[:, t] + back
+            p[:, t] = np.exp(joint - hmm.log_sum(joint, -1)[:, None])
+            if low + t:
+                back = steps.backward(low + t - 1, back + e[:, t])
+                back = back - back.max(-1, keepdims=True)
+        p = (p / p.sum(-1, keepdims=True)).reshape(members, high - low, len(STATES), 2)
+        for top in range(high, low, -hmm.PLACES):
+            bottom = max(low, top - hmm.PLACES)
+            at, n = slice(bottom - low, top - low), top - bottom
+            path = np.zeros((n, members, 0), np.int32)
+            if draws:
+                path = hmm.sampled_back(ahead[:, at], steps, bottom, uniforms(bottom, top), after)
+                after, path = path[0], STATES.broad.astype(np.int32)[path // 2]
+            one = p[:, at].sum(-1)
+            phase = p[:, at].sum(2)[..., 0].ravel()
+            columns = names.take(pa.array(np.repeat(np.arange(members), n))), pa.array([chrom]).take(pa.array(np.zeros(members * n, int))), pa.array(np.tile(places[bottom:top], members).astype(np.int32)), _lists(one), _lists(STATES.classes(one))
+            columns += pa.array(phase, mask=~np.tile(whole[bottom:top], members)), _lists(path.transpose(1, 0, 2)), pa.array(np.repeat(score, n))
+            yield pa.RecordBatch.from_arrays(list(columns), ["member", "chrom", "marker", "p", "classes", "first_phase", "path", "evidence"])
+
+
+def _lists(x: np.ndarray) -> pa.ListArray:
+    """A list for each of the first two axes' cells."""
+    offsets = np.arange(x.shape[0] * x.shape[1] + 1, dtype=np.int32) * x.shape[2]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(x).reshape(-1)))
 
 
 def fit_member_dispersion(rows: DataFrame, axis: Axis, model: Model, start: Parameters, options: Options = Options(), points: int = 8) -> DispersionFit:

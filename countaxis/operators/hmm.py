@@ -168,8 +168,8 @@ def _sums(logs: np.ndarray) -> np.ndarray:
     return np.cumsum(np.exp(logs - logs.max(-1, keepdims=True)), -1)
 
 
-#: Places whose distributions are made at once for sampled().
-PLACES = 1024
+#: Places whose distributions are made at once for sampled(), and for sampled_back(), which has many keys.
+PLACES, FEW = 1024, 64
 
 
 def sampled(ahead: np.ndarray, steps, uniforms: np.ndarray) -> np.ndarray:
@@ -188,6 +188,26 @@ def sampled(ahead: np.ndarray, steps, uniforms: np.ndarray) -> np.ndarray:
     return path.T
 
 
+def sampled_back(ahead: np.ndarray, steps, first: int, uniforms: np.ndarray, after: np.ndarray | None = None) -> np.ndarray:
+    """sampled() for many keys at once and some places, from ``first`` on, of longer chains: states as places x keys x draws. ahead: keys x
+    places x states; uniforms: places x keys x draws; after: the states of the next place (keys x draws), none at a chain's end."""
+    keys, places, states = ahead.shape
+    path = np.empty(uniforms.shape, np.int32)
+    if after is None:
+        places -= 1
+        after = path[places] = _pick(np.broadcast_to(_sums(ahead[:, places])[:, None], (*uniforms.shape[1:], states)), uniforms[places])
+    base, code = (np.arange(keys) * states)[:, None], np.dtype("u1" if states < 256 else "i8")
+    for high in range(places, 0, -FEW):
+        low = max(high - FEW, 0)
+        totals = _sums(ahead[:, low:high, None, :] + steps.into(first + low, first + high))
+        totals = np.ascontiguousarray(totals.transpose(1, 3, 0, 2)).reshape(high - low, states, -1)  # places x states x (keys x next states)
+        for t in range(high - 1, low - 1, -1):
+            total = totals[t - low].take((base + after).ravel(), 1)
+            below = (total <= uniforms[t].ravel() * total[-1]).view("u1").sum(0, dtype=code)
+            after = path[t] = np.minimum(below, states - 1).reshape(after.shape)
+    return path
+
+
 def constant_segments(emissions: np.ndarray, switch: np.ndarray | None, start: int, stop: int) -> np.ndarray:
     """Log likelihood of each state held over places start ... stop - 1 of one key; phases are summed over if there are any."""
     part = emissions[start:stop]

@@ -54,7 +54,7 @@ class Bound:
 
     def fractions(self) -> DataFrame:
         """gene, fraction: parts' shares of all quantity; parts never sold have 0."""
-        sums = self.counts().groupBy("gene").agg(F.sum("n").alias("n"))
+        sums = self.count_rows().groupBy("gene").agg(F.sum("n").alias("n"))
         total = sums.agg(F.sum("n").alias("total"))
         return self.genes().select("gene").join(sums, "gene", "left").crossJoin(F.broadcast(total)).select("gene", (F.coalesce("n", F.lit(0)) / F.col("total")).alias("fraction"))
 

@@ -499,16 +499,16 @@ def _joint_chain(b: Bound, genes: DataFrame, loci: DataFrame, draws: int = 256)
     from countaxis.operators import fitting
 
     loci = loci.select("locus", "chrom", (F.col("position") + 500).alias("position"), "population_phase", "genetic_cm", "het")
-    markers = axis.grid(genes, loci).drop("chrom_rank")
-    placed = loci.join(markers.select("marker", "chrom", F.col("start").alias("position")), ["chrom", "position"])
-    libraries = b.libraries()
-    depth = aggregate.pseudobulk(b.counts(), libraries, b.fractions().join(genes.select("gene"), "gene", "left_semi"))
-    depth = depth.join(genes.join(markers.select("marker", "chrom", F.col("start").alias("position")), ["chrom", "position"]).select("gene", "marker"), "gene").withColumnRenamed("group", "member")
-    alleles = aggregate.pooled_alleles(b.alleles(), libraries).join(placed.select("locus", "het"), "locus").withColumnRenamed("group", "member")
+    markers = cut(axis.grid(genes, loci).drop("chrom_rank"))
+    at = markers.select("marker", "chrom", F.col("start").alias("position"))
+    placed = loci.join(at, ["chrom", "position"])
+    libraries = cut(b.libraries())
+    sites = b.fractions().join(genes.join(at, ["chrom", "position"]).select("gene", "chrom", "marker"), "gene")
+    depth = aggregate.pseudobulk(b.count_rows(), libraries, sites, keep=("chrom", "marker")).withColumnRenamed("group", "member")
+    alleles = aggregate.pooled_alleles(b.allele_rows(), libraries).join(placed.select("locus", "het"), "locus").withColumnRenamed("group", "member")
     rows = fitting.member_rows(depth, alleles, markers, placed)
     model = states.Model(family="nb", outlier=0.0)
-    ax = fitting.Axis.of(markers.orderBy("marker").toPandas(), placed.orderBy("marker").toPandas(), model)
-    return fitting.infer_members(rows, ax, model, states.Parameters(0.2), draws=draws, seeds={k: k for k in range(25)})
+    return fitting.infer_members(rows, fitting.axis_rows(markers, placed), model, states.Parameters(0.2), draws=draws, seeds={k: k for k in range(25)})
 
 
 @query()

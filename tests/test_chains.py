@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from countaxis.operators import fitting, hmm
@@ -258,3 +259,45 @@ def test_segments_of_members_agree_with_the_whole_chain(spark):
     grid = spark.createDataFrame(markers)
     kept = segments.placed(spark.createDataFrame(list(got.values())), grid, 1e9).collect()
     assert {x.state for x in kept} == {"diploid"} and {x.raw_state for x in kept} == {x.state for x in got.values()} and all(x.end >= x.start for x in kept)
+
+
+def test_many_members_in_stretches_equal_whole_chains(spark, counts, monkeypatch):
+    """Members together, a stretch of places after another, with the axis as rows: bit for bit what each member's whole chain gives."""
+    model, parameters = Model(family="nb", outlier=0.0), Parameters(0.15, 0.1)
+    c = build(counts, model)
+    markers, loci, depth, alleles = counts
+    tables = [spark.createDataFrame(x) for x in (depth.rename(columns={"group": "member"}), alleles.rename(columns={"group": "member"}), markers, loci)]
+    rows = fitting.member_rows(*tables)
+    for axis, places, size in ((c.axis, 1024, 32 << 20), (fitting.axis_rows(*tables[2:]), 1024, 32 << 20), (fitting.axis_rows(*tables[2:]), 1, 1)):
+        monkeypatch.setattr(hmm, "PLACES", places)
+        monkeypatch.setattr(fitting, "CHAIN_BYTES", size)
+        run = {r.member: [] for r in rows.select("member").distinct().collect()}
+        tasks = [x for x in rows.toPandas().groupby("chrom")]
+        for chrom, own in tasks:
+            whole = fitting.axis_rows(*tables[2:]).filter(f"chrom = '{chrom}'").toPandas().assign(member=None, w=None)
+            table = pa.Table.from_pandas(pd.concat([own, whole])[["member", "marker", "kind", "a", "b", "w"]], preserve_index=False)
+            for batch in fitting._infer(chrom, table, axis if isinstance(axis, fitting.Axis) else None, model, parameters, parameters, 7, {0: 11, 1: 12}):
+                for r in batch.to_pylist():
+                    run[r["member"]].append(r)
+        for member, got in run.items():
+            got = sorted(got, key=lambda r: r["marker"])
+            for chrom, own in tasks:
+                at, cut = fitting._chromosome(c.axis, chrom)
+                steps, initial = fitting.chain_steps(cut, model, True)
+                ahead = hmm.filtered(initial, steps, fitting._member_emission(own[own["member"] == member], cut, int(at[0]), model, parameters, parameters))
+                uniforms = np.random.default_rng([11 + member, int(at[0])]).random((7, len(at)))
+                want = fitting.STATES.broad[hmm.sampled(ahead[0][0], steps, uniforms) // 2]
+                some = [r for r in got if r["chrom"] == chrom]
+                assert [r["marker"] for r in some] == at.tolist() and np.array([r["path"] for r in some]).T.tolist() == want.tolist()
+                assert {r["evidence"] for r in some} == {ahead[1][0]}
+                back = fitting._member_emission(own[own["member"] == member], cut, int(at[0]), model, parameters, parameters)
+                assert np.array_equal([r["p"] for r in some], hmm.marginals(initial, steps, back, ahead)[0][0].reshape(len(at), -1, 2).sum(-1))
+
+
+def test_joint_chain_keeps_the_axis_off_the_driver(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    import __spark_entry__ as entry
+
+    monkeypatch.setattr(DataFrame, "toPandas", lambda self: pytest.fail("markers in the driver"))
+    assert entry.queries()["joint_chain"](spark, "/root/testdata/sf0.001").count() > 0
