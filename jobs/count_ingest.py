@@ -16,38 +16,34 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from countaxis.operators import aggregate
+from countaxis.streaming.counts import word_counts
 from jobs.settings import settings
 
 LOG = logging.getLogger("count_ingest")
-#: Letters and digits beyond ASCII, too; A-Z are lower-cased before.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PROFILES = "gene string, n long, cells long, exposure long, expected double, score double, group string"
 CELLS = "cell long, library long, genes long, batch long, group string"
 SUMS = "gene string, n long, cells long, batch long, group string"
 TABLES = {"cells": CELLS, "sums": SUMS, "profiles": PROFILES, "dispersion": "sigma double, alpha double, used long"}
 
 
-def words(text: str) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
-
-
 def add_batch(batch: DataFrame, number: int, out: str, group: str) -> None:
     """Libraries and sums of one batch, in place of what an earlier try of the same batch has written."""
     _empty(batch.sparkSession, out, "dispersion", "overwrite")  # profiles are out of date until it has its row again
     held = F.coalesce(F.col(f"`{group}`").cast("string"), F.lit("unknown"))
-    docs = batch.select(F.col("doc_id").cast("long").alias("cell"), held.alias("group"), F.array_sort(words("text")).alias("words"), F.lit(number).cast("long").alias("batch"))
-    cells = docs.select("cell", F.size("words").cast("long").alias("library"), F.size(F.array_distinct("words")).cast("long").alias("genes"), "batch", "group")
-    _replace(cells, f"{out}/cells", ["batch", "group"])
-    # A word that isn't the one before it, in order, is new in its document: so one sum counts words and documents, before any shuffle.
-    each = docs.select("group", "batch", "words", F.posexplode("words").alias("i", "gene"))
-    new = F.when((F.col("i") == 0) | (F.get("words", F.col("i") - 1) != F.col("gene")), 1).otherwise(0)
-    sums = each.select("group", "batch", "gene", new.alias("new")).groupBy("gene", "batch", "group").agg(F.count("*").alias("n"), F.sum("new").alias("cells"))
-    _replace(sums.select("gene", "n", "cells", "batch", "group"), f"{out}/sums", ["batch", "group"])
+    docs = batch.select(F.col("doc_id").cast("long").alias("cell"), held.alias("group"), F.col("text").cast("string").alias("text"))
+    # Texts of a file may be one task's to read; words are split by as many as there are.
+    tasks = max(3 * batch.sparkSession.sparkContext.defaultParallelism, batch.rdd.getNumPartitions())
+    made = word_counts(docs.repartition(tasks, F.xxhash64("cell", "text"))).withColumn("batch", F.lit(number).cast("long")).persist()
+    try:
+        _replace(made.filter("library is not null").select("cell", "library", "genes", "batch", "group"), f"{out}/cells", ["batch", "group"])
+        sums = made.filter("gene is not null").groupBy("gene", "batch", "group").agg(F.sum("n").alias("n"), F.sum("cells").alias("cells"))
+        _replace(sums.select("gene", "n", "cells", "batch", "group"), f"{out}/sums", ["batch", "group"])
+    finally:
+        made.unpersist()
 
 
 def _empty(spark: SparkSession, out: str, name: str, mode: str, *keys: str) -> None:

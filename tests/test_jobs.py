@@ -94,6 +94,23 @@ def test_a_batch_written_twice_counts_once(spark, tmp_path):
     assert sorted((r.group, r.gene, r.n) for r in rows) == [x[:3] for x in brute(FIRST)]
 
 
+def test_texts_of_one_task_are_split_by_many(spark, tmp_path, monkeypatch):
+    """A file of one row group is read by one task; its words are split by several, once, with bounded sums."""
+    from countaxis.streaming import counts
+
+    rows = [(i, f"w{i % 7} W{i % 5} é{i}", "en") for i in range(200)] + FIRST
+    monkeypatch.setattr(counts, "HELD", 3)
+    made, whole = [], count_ingest.word_counts
+    monkeypatch.setattr(count_ingest, "word_counts", lambda docs: made.append(whole(docs)) or made[-1])
+    batch = spark.createDataFrame([(i, t, "s", g, 1, "x", "y") for i, t, g in rows], SCHEMA).coalesce(1)
+    count_ingest.add_batch(batch, 0, str(tmp_path), "lang")
+    assert len(made) == 1 and made[0].rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
+    busy = made[0].selectExpr("spark_partition_id() as p").distinct().count()
+    assert busy > spark.sparkContext.defaultParallelism
+    got = count_ingest.profiles(spark, str(tmp_path)).collect()
+    assert sorted((r.group, r.gene, r.n, r.cells, r.exposure) for r in got) == [x[:5] for x in brute(rows)]
+
+
 SF = "/root/testdata/sf0.001"
 
 
