@@ -258,6 +258,22 @@ def test_permuted_scores_shuffle_no_cubes(spark, monkeypatch):
     assert [x[0] for x in got] == sorted(want) and all(x[1:] == pytest.approx(tuple(want[x[0]])[1:]) for x in got)
 
 
+def test_permuted_scores_in_slabs_shuffle_blocks(spark, monkeypatch):
+    """Counts and labels travel in compressed blocks, some permutations at a time; rows for a cell and region may be several."""
+    cells = spark.createDataFrame([(i, i % 3, 2.0 + i % 2) for i in range(300)], "cell long, group int, library double")
+    region = spark.createDataFrame([("1", i % 5, i, 3.0 + i % 4, 1.0, 2.0) for i in range(300) for _ in range(2)] + [("2", 0, 999, 6.0, 1.0, 0.0)], "chrom string, bin long, cell long, depth double, h1 double, h2 double")
+    rates = regions.region_rates(region, cells)
+    want = {x.perm: x for x in regions.chi_square(region, rates, regions.permuted_labels(cells, 8, 2)).collect()}
+    seen, whole = [], permutations._slab
+    monkeypatch.setattr(permutations, "_slab", lambda packed, rows, some, *a: seen.append((rows, list(some))) or whole(packed, rows, some, *a))
+    monkeypatch.setattr(permutations, "SLAB_BYTES", 1)
+    monkeypatch.setattr(permutations, "LEAST_SLAB", 4)
+    monkeypatch.setattr(permutations, "PART_BYTES", 2000)
+    got = {x.perm: x for x in permutations.permuted_scores(region, rates, cells, 8, 2).collect()}
+    assert seen == [(600, [0, 1, 2, 3]), (600, [4, 5, 6, 7]), (600, [8])]
+    assert got.keys() == want.keys() and all(got[p][k] == pytest.approx(want[p][k], rel=1e-10) for p in want for k in ("joint", "depth", "allele"))
+
+
 def test_interpolation_takes_no_frame_to_the_end(spark):
     """Frames that grow backwards are taken anew for each row: work would grow with the square of a chromosome's sites."""
     steps = spark.createDataFrame([("1", 10, 1.0), ("1", 20, 3.0), ("1", 40, 4.0)], "chrom string, bp long, cm double")
